@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, simhash, toxicity, urls
+from . import embeddings, lines, mixing, ngrams, simhash, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_read(spark, sf_dir, "documents"), similarity=0.8)
+    return out.select("doc_id", "lines_dropped", F.length("text").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_read(spark, sf_dir, "documents"), max_repeats=2.0)
     return out.select("doc_id", "source", "mix_epoch", "mix_block", "mix_order")
@@ -41,7 +46,11 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"), block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"])
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_embedding_near_dups, op7_toxicity, op8_simhash, op9_url_filters)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(_read(spark, sf_dir, "documents"), held_out(10))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mixing, op6_embedding_near_dups, op7_toxicity, op8_simhash, op9_url_filters, op10_lm_scoring)}
 
 _OP9 = r"""
 WITH p AS (

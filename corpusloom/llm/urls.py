@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,23 +26,28 @@ def path_of(url: Column) -> Column:
 
 
 class DigestArray:
-    """A set of strings as three files: sorted 64-bit xxhash keys, offsets, and the strings in that order.
+    """A set of strings in one file: their number, sorted 64-bit xxhash keys, offsets, and the strings in
+    that order.
 
-    ``find`` probes many keys at once with a vectorised binary search and compares the stored string, so a
-    digest collision can't give a wrong answer.
+    The file is mapped into memory.  ``find`` probes many keys at once with a vectorised binary search and
+    compares the stored string, so a digest collision can't give a wrong answer.
     """
 
-    def __init__(self, folder: str):
-        self.keys = np.load(f"{folder}/keys.npy", mmap_mode="r")
-        self.at = np.load(f"{folder}/offsets.npy", mmap_mode="r")
-        self.text = np.load(f"{folder}/strings.npy", mmap_mode="r")
+    def __init__(self, path: str):
+        words = np.memmap(path, dtype=np.uint8, mode="r")
+        n = int(words[:8].view("<u8")[0])
+        self.keys = words[8 : 8 + 8 * n].view("<u8")
+        self.at = words[8 + 8 * n : 16 + 16 * n].view("<u8")
+        self.text = words[16 + 16 * n :]
 
     @staticmethod
-    def write(folder: str, strings: Iterable[str]) -> None:
+    def write(path: str, strings: Iterable[str]) -> None:
         raw = sorted({s.encode() for s in strings}, key=lambda s: (xxhash.xxh64_intdigest(s), s))
-        np.save(f"{folder}/keys.npy", np.array([xxhash.xxh64_intdigest(s) for s in raw], dtype=np.uint64))
-        np.save(f"{folder}/offsets.npy", np.cumsum([0, *map(len, raw)], dtype=np.int64))
-        np.save(f"{folder}/strings.npy", np.frombuffer(b"".join(raw), dtype=np.uint8))
+        ends = np.cumsum([0, *map(len, raw)], dtype="<u8")
+        with open(path, "wb") as f:
+            for part in (np.array([len(raw)], dtype="<u8"), np.array([xxhash.xxh64_intdigest(s) for s in raw], dtype="<u8"), ends):
+                f.write(part.tobytes())
+            f.write(b"".join(raw))
 
     def find(self, probes: list[bytes]) -> np.ndarray:
         """For each probe whether the set holds it."""
@@ -75,17 +80,14 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], id_col: str = "p
         raise ValueError(f"more than max_rules = {max_rules} rules")
     if bad := [r for r in [*block, *allow] if not r.endswith("/")]:
         raise ValueError(f"rules must end with '/': {bad[:3]}")
-    top = tempfile.mkdtemp(prefix="url-rules-")
-    name = os.path.basename(top)
+    top, name = tempfile.mkdtemp(prefix="url-rules-"), uuid.uuid4().hex
     for kind, rules in (("block", block), ("allow", allow)):
-        os.makedirs(f"{top}/{kind}")
-        DigestArray.write(f"{top}/{kind}", rules)
-    pages.sparkSession.sparkContext.addFile(top, recursive=True)
+        DigestArray.write(f"{top}/{name}-{kind}", rules)
+        pages.sparkSession.sparkContext.addFile(f"{top}/{name}-{kind}")
     kind, longest = pages.schema[id_col].dataType.simpleString(), max(map(len, [*block, *allow]), default=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = SparkFiles.get(name)
-        arrays = {k: DigestArray(f"{at}/{k}") for k in ("block", "allow")}
+        arrays = {k: DigestArray(SparkFiles.get(f"{name}-{k}")) for k in ("block", "allow")}
         for b in batches:
             tried = [rule_candidates(h, p, longest) for h, p in zip(b["host"], b["path"], strict=True)]
             flat = [c.encode("utf-8", "surrogatepass") for c in (x for cs in tried for x in cs)]
