@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lines, mixing, ngrams, simhash, toxicity, urls
+from . import audio, counts, embeddings, lines, mixing, ngrams, pieces, simhash, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", F.size("piece_ids").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document, made from its columns: a replacement, an insertion and a deletion."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    size = F.coalesce(F.length("text"), F.lit(0)) + 1
+
+    def edit(k: int, length: int, insert) -> object:
+        return F.struct(F.pmod(F.xxhash64("doc_id", F.lit(k)), size).cast("int").alias("start"), F.lit(length).alias("length"), insert.alias("insert"))
+
+    edits = F.array(edit(1, 12, F.concat_ws(" ", "source", "doc_id", "lang")), edit(2, 0, F.concat(F.lit("\n"), "lang", F.lit("'s  "))), edit(3, 30, F.lit("")))
+    out = counts.count_with_edits(docs.withColumn("edits", edits))
+    return out.select("doc_id", "n_before", "n_after", "n_edits", "encoded_again")
+
+
+def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn sounded as a recording; those of conversations with an id divisible by 50 against all."""
+    turns = _read(spark, sf_dir, "conversations")
+    prints = audio.fingerprints(audio.recordings(turns, ["conv_id", "turn"]), ["conv_id", "turn"])
+    out = audio.align(prints, ["conv_id", "turn"], F.coalesce(F.col("conv_id") % 50 == 0, F.lit(False)))
+    return out.select("conv_id", "turn", F.col("matched.conv_id").alias("match_conv_id"), F.col("matched.turn").alias("match_turn"), "copies", "shift", "votes", "errors")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_read(spark, sf_dir, "documents"), similarity=0.8)
     return out.select("doc_id", "lines_dropped", F.length("text").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
@@ -50,7 +76,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(_read(spark, sf_dir, "documents"), held_out(10))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mixing, op6_embedding_near_dups, op7_toxicity, op8_simhash, op9_url_filters, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_edit_counts, op4_audio_fingerprints, op5_mixing, op6_embedding_near_dups, op7_toxicity, op8_simhash, op9_url_filters, op10_lm_scoring)}
 
 _OP9 = r"""
 WITH p AS (
