@@ -9,10 +9,14 @@ fold merges edges in the order of their scores; it runs on the same lattice.
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -59,23 +63,49 @@ class Model:
         )
 
 
-def words_of(text: Column, model: Model) -> Column:
-    """The words of a text that no piece goes across: spaces with what follows them, and each ASCII character
-    that is in no longer piece by itself.  None in a null or empty text."""
-    alone = "".join(f"\\x{{{ord(c):x}}}" for c in model.alone)
-    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
+def word_pattern(model: Model) -> re.Pattern:
+    """The words of a marked text that no piece goes across: marks with what follows them, and each ASCII
+    character that is in no longer piece by itself."""
+    alone = "".join(map(re.escape, model.alone))
     inner = f"[^{SPACE}{alone}]"
-    found = F.regexp_extract_all(marked, F.lit(f"(?s){SPACE}*{inner}+|{SPACE}+" + (f"|[{alone}]" if alone else "")), F.lit(0))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, found).otherwise(F.array().cast("array<string>"))
+    return re.compile(f"{SPACE}*{inner}+|{SPACE}+" + (f"|[{alone}]" if alone else ""), re.DOTALL)
+
+
+def marked(text: str | None) -> str:
+    return SPACE + text.replace(" ", SPACE) if text else ""
+
+
+def count_words(docs: DataFrame, text_col: str, model: Model, most: int = 400_000) -> DataFrame:
+    """``word, n`` for the distinct words of all texts; tasks count before the shuffle."""
+    pattern = word_pattern(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b["text"]:
+                seen.update(pattern.findall(marked(t)))
+                if len(seen) > most:
+                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                    seen.clear()
+        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """``word, edges``: for each distinct word the pieces in it, structs of start, end (exclusive), id, score."""
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda s: F.transform(F.sequence(s + 1, F.least(s + F.lit(longest), F.length("word"))), lambda e: F.struct(s.alias("s"), e.alias("e")))))
-    parts = words.select("word", F.explode(spans).alias("x")).select("word", "x.s", "x.e", F.expr("substring(word, x.s + 1, x.e - x.s)").alias("piece"))
+    """``word, n, edges``: for each distinct word the pieces in it, structs of start, end (exclusive), id, score.
+
+    ``words`` comes from a grouping by word; the rows made of a word stay where it is, so gathering its edges
+    needs no further shuffle.
+    """
+    size = F.length("word")
+    parts = words.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    parts = parts.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s")))).alias("k"))
+    parts = parts.select("word", "n", "s", "k", F.expr("substring(word, s + 1, k)").alias("piece"))
     # the piece table is the model's vocabulary: of fixed size, so it can go to every executor
-    hits = parts.join(F.broadcast(table), "piece").select("word", F.struct("s", "e", "id", "score").alias("x"))
-    return words.join(hits.groupBy("word").agg(F.collect_list("x").alias("edges")), "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<s:int,e:int,id:int,score:double>>")))
+    hits = parts.join(F.broadcast(table), "piece", "left").where("id is not null or (s = 0 and k = 1)")
+    edge = F.when(F.col("id").isNotNull(), F.struct("s", (F.col("s") + F.col("k")).alias("e"), "id", "score"))
+    return hits.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
 def _let(value: Column, use) -> Column:
@@ -163,13 +193,12 @@ def merged(word: str, score: dict[str, float]) -> list[int]:
 
 
 def dictionary(words: DataFrame, model: Model) -> DataFrame:
-    """``word, ids`` for each distinct word."""
+    """``word, n, ids`` for each of the distinct words ``word, n``."""
     spark = words.sparkSession
     table = spark.createDataFrame(pd.DataFrame(model.pieces, columns=["piece", "id", "score"]), "piece string, id int, score double")
     size = F.length("word")
-    short = words if model.unigram else words.where(size <= _LONG)
-    net = lattice(short, table, model.longest)
-    cuts = viterbi_cuts(F.col("edges"), F.col("n"), model.longest, model.least_score - _UNKNOWN_PENALTY) if model.unigram else merge_cuts(F.col("edges"), F.col("n"))
+    net = lattice(words if model.unigram else words.where(size <= _LONG), table, model.longest)
+    cuts = viterbi_cuts(F.col("edges"), size, model.longest, model.least_score - _UNKNOWN_PENALTY) if model.unigram else merge_cuts(F.col("edges"), size)
 
     def ids(ends: Column) -> Column:
         def one(e: Column, i: Column) -> Column:
@@ -179,7 +208,7 @@ def dictionary(words: DataFrame, model: Model) -> DataFrame:
 
         return F.flatten(F.transform(ends, one))
 
-    out = net.withColumn("n", size).select("word", _let(cuts, ids).alias("ids"))
+    out = net.select("word", "n", _let(cuts, ids).alias("ids"))
     if model.unigram:
         return out
     score, at = {p: s for p, _, s in model.pieces}, {p: i for p, i, _ in model.pieces}
@@ -191,10 +220,10 @@ def dictionary(words: DataFrame, model: Model) -> DataFrame:
                 ends = merged(w, score)
                 parts = [w[s:e] for s, e in zip([0, *ends], ends, strict=False)]
                 rows.append([i for t in parts for i in ([at[t]] if t in at else [model.bytes[c] for c in t.encode()] if model.bytes else [model.unknown])])
-            yield pd.DataFrame({"word": b["word"], "ids": rows})
+            yield pd.DataFrame({"word": b["word"], "n": b["n"], "ids": rows})
 
     # a set of boundaries of longer words doesn't fit one long
-    return out.union(words.where(size > _LONG).mapInPandas(rest, "word string, ids array<int>"))
+    return out.union(words.where(size > _LONG).mapInPandas(rest, "word string, n bigint, ids array<int>"))
 
 
 def _fallback(char: Column, model: Model) -> Column:
@@ -208,23 +237,113 @@ def _fallback(char: Column, model: Model) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: (F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") + base))
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
+class Packed:
+    """Words' ids in three arrays, by sorted 64-bit digests; a lookup takes many words at once."""
+
+    def __init__(self, digests: np.ndarray, ends: np.ndarray, ids: np.ndarray):
+        self.digests, self.ends, self.ids = digests, ends, ids
+
+    @staticmethod
+    def of(known: DataFrame) -> Packed:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({
+                    "d": [np.array([_digest(w) for w in b["word"]], dtype="<u8").tobytes()],
+                    "k": [np.array([len(x) for x in b["ids"]], dtype="<i4").tobytes()],
+                    "i": [np.concatenate([np.asarray(x, dtype="<i4") for x in b["ids"]]).tobytes() if len(b) else b""],
+                })
+
+        parts = known.select("word", "ids").mapInPandas(run, "d binary, k binary, i binary").collect()
+        d, k, i = (np.frombuffer(b"".join(p[c] for p in parts), dtype=t) for c, t in (("d", "<u8"), ("k", "<i4"), ("i", "<i4")))
+        order, starts = np.argsort(d), np.cumsum(k) - k
+        sizes = k[order].astype(np.int64)
+        ends = np.cumsum(sizes)
+        from_ = np.repeat(starts[order] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        return Packed(d[order], ends, i[from_])
+
+    def get(self, words: list[str]) -> list[tuple | None]:
+        if not len(self.digests):
+            return [None] * len(words)
+        d = np.fromiter(map(_digest, words), dtype=np.uint64, count=len(words))
+        at = np.minimum(np.searchsorted(self.digests, d), len(self.digests) - 1)
+        ok = self.digests[at] == d
+        end = self.ends[at]
+        begin = np.where(at > 0, self.ends[at - 1], 0)
+        return [tuple(self.ids[i:j].tolist()) if k else None for i, j, k in zip(begin.tolist(), end.tolist(), ok.tolist(), strict=True)]
+
+
+def _digest(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None, max_sent: int = 6_000_000) -> DataFrame:
     """``docs`` with ``piece_ids``, an array of ints, the ids that the model gives the whole text.
 
     Null and empty texts have no ids; repeated rows are encoded each; an empty table gives none; ids are the
-    same for a word wherever it stands.  Words are counted once for all documents and encoded once; their ids
-    go back to the documents by a join on the word, in which a frequent word's rows can be split among tasks.
+    same for a word wherever it stands.  Words are counted over all documents and each distinct word is encoded
+    once.  The ids of the most frequent words, at most ``max_sent`` of them (about 25 bytes each), go to every executor as sorted
+    arrays; the words beyond that bound reach the texts that hold them by joins on the word and on the
+    text's digest.
     """
     model = model or Model.load()
-    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    each = base.select("__row", F.posexplode(words_of(F.col(text_col), model)).alias("at", "word"))
-    known = written(dictionary(each.select("word").distinct(), model), "dictionary")
-    places = each.groupBy("__row", "word").agg(F.collect_list("at").alias("places"))
-    found = places.join(known, "word").groupBy("__row").agg(F.collect_list(F.struct("places", "ids")).alias("found"))
-    flat = F.flatten(F.transform("found", lambda x: F.transform(x["places"], lambda p: F.struct(p.alias("p"), x["ids"].alias("ids")))))
-    ids = F.flatten(F.transform(F.array_sort(flat), lambda x: x["ids"]))
-    out = base.join(found.select("__row", ids.alias("piece_ids")), "__row", "left").drop("__row")
-    return out.withColumn("piece_ids", F.coalesce("piece_ids", F.array().cast("array<int>")))
+    spark, pattern = docs.sparkSession, word_pattern(model)
+    known = written(dictionary(count_words(docs, text_col, model), model), "dictionary")
+    rates = known.groupBy("n").agg(F.count("*").alias("words"))
+    rates = rates.withColumn("band", F.floor(F.log2("n") * 64)).groupBy("band").agg(F.sum("words").alias("words"), F.min("n").alias("least"))
+    left, least = max_sent, None
+    bands = sorted(rates.collect(), key=lambda r: -r["band"])  # at most 64 for each power of two
+    for r in bands:
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["least"]
+    all_sent = left >= 0
+    sent = spark.sparkContext.broadcast((lambda p: (p.digests, p.ends, p.ids))(Packed.of(known if all_sent else known.where(F.col("n") >= (least or 1 << 62)))))
+    fields = [f for f in docs.schema.fields if f.name != "piece_ids"]
+    names = [f.name for f in fields]
+    more = "array<struct<word:string,ids:array<int>>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packed, cache = Packed(*sent.value), {}
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                split = [pattern.findall(marked(t)) for t in part["__text"]]
+                new = list({w for ws in split for w in ws} - cache.keys())
+                if len(cache) + len(new) > 400_000:
+                    cache = {}
+                    new = list({w for ws in split for w in ws})
+                cache.update(zip(new, packed.get(new), strict=True))
+                coded, missing = [], []
+                for ws, extra in zip(split, part["__more"], strict=True):
+                    own = {x["word"]: tuple(x["ids"]) for x in extra} if extra is not None else None
+                    if own:
+                        got = [own.get(w) or cache[w] for w in ws]
+                    else:
+                        got = [cache[w] for w in ws]
+                    lack = None in got
+                    missing.append(sorted({w for w, g in zip(ws, got, strict=True) if g is None}) if lack else None)
+                    coded.append([i for g in got if g for i in g])
+                out = part[[f"__{k}" for k in range(len(names))]].copy()
+                out["piece_ids"], out["__missing"] = coded, missing
+                yield out
+
+    def apply(rows: DataFrame) -> DataFrame:
+        schema = ", ".join(f"__{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)) + ", piece_ids array<int>, __missing array<string>"
+        return rows.select(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(names)], F.col(f"`{text_col}`").alias("__text"), "__more").mapInPandas(run, schema)
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(names)], "piece_ids")
+
+    first = apply(docs.select(*names, F.lit(None).cast(more).alias("__more")))
+    if all_sent:
+        return named(first)
+    digest = [F.xxhash64("__text").alias("t1"), F.xxhash64("__text", F.lit(1)).alias("t2")]
+    keep = names.index(text_col)
+    lacking = first.where("__missing is not null").select(F.col(f"__{keep}").alias("__text"), "__missing").select(*digest, F.explode("__missing").alias("word")).distinct()
+    found = lacking.join(known.select("word", "ids"), "word").groupBy("t1", "t2").agg(F.collect_list(F.struct("word", "ids")).alias("__more"))
+    again = docs.withColumn("__text", F.col(text_col)).select(*names, *digest).join(found, ["t1", "t2"], "left")
+    return named(apply(again))
 
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded", model: Model | None = None) -> DataFrame:
