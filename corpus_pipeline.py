@@ -1,2 +1,55 @@
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again for the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import lines, mixing, pieces, simhash, toxicity
+from corpusloom.llm.queries import held_out
+from corpusloom.llm.shared import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents scored 0.7 or more by a model of the labelled ones that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(held_out(7).eqNullSafe(False))
+    return toxicity.score(docs, toxicity.fit(docs, labels), keep=tuple(docs.columns)).where("score < 0.7").drop("score")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one occurrence of each group of near-equal lines; drops documents of which nothing is left."""
+    out = lines.dedup_lines(docs, similarity=0.8)
+    return out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("lines_dropped")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of each group of SimHash near-duplicates, the document of the smallest id; rows without an id stay."""
+    groups = simhash.near_duplicates(docs, width=5, distance=2)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
+    return once.union(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of small sources, none more than twice, so that weights are as flat as that allows."""
+    return mixing.mix(docs, max_repeats=2.0).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the SentencePiece ids of each text."""
+    return pieces.encode(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("simhash", drop_near_duplicates), ("mixing", mix_sources), ("sentencepiece", encode)]
+#: SQL can't express the label model, SimHash components or the lattice; tests hold the stages against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is a Parquet table in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
