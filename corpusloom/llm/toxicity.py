@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for b in batches:
                 for t in b["text"]:
                     seen.update(terms(t) if names is None else terms(t) & names)
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
         return run
 
