@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .shared import Forest, connected_components, written
 
 _SLACK = 1e-9
+_TILE = 256
 #: Cells along an axis at most; so the table of cells has a bound: blocks x _CELLS^2 rows.
 _CELLS = 48
 
@@ -91,16 +92,22 @@ class Blocks:
 def _pairs(x: np.ndarray, y: np.ndarray | None, block: int, how: Blocks) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within the block's share of which no earlier block is; those are found there."""
     a, b = how.spans()[block]
-    p, q = x[:, a:b], (x if y is None else y)[:, a:b]
-    near = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T <= how.share[block] + 1e-6
-    i, j = np.nonzero(np.triu(near, 1) if y is None else near)
-    keep = []
-    for at in range(0, len(i), 1 << 16):
-        s = slice(at, at + (1 << 16))
-        within = how.distances(x[i[s]] - (x if y is None else y)[j[s]]) <= how.share
-        keep.append(within[:, block] & ~within[:, :block].any(axis=1))
-    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-    return i[keep], j[keep]
+    y_all = x if y is None else y
+    q, rows, cols = y_all[:, a:b], [], []
+    size = (q * q).sum(1)[None, :]
+    for at in range(0, len(x), _TILE):
+        p = x[at : at + _TILE, a:b]
+        i, j = np.nonzero((p * p).sum(1)[:, None] + size - 2 * p @ q.T <= how.share[block] + 1e-6)
+        i += at
+        if y is None:
+            i, j = i[i < j], j[i < j]
+        for part in range(0, len(i), 1 << 14):
+            s = slice(part, part + (1 << 14))
+            within = how.distances(x[i[s]] - y_all[j[s]]) <= how.share
+            keep = within[:, block] & ~within[:, :block].any(axis=1)
+            rows.append(i[s][keep])
+            cols.append(j[s][keep])
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, n_blocks: int = 8, chunk: int = 2000) -> DataFrame:
@@ -161,21 +168,23 @@ def _links(reps: DataFrame, dim: int, threshold: float, n_blocks: int, chunk: in
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            cells = how.cells(how.rotate(_unit(list(b["vec"]))[1]))
-            row, task, mine = [], [], []
-            for i, key in enumerate(b["key"]):
-                for block, cell in enumerate(cells[i].tolist()):
-                    own = (cell, key % chunks[block, cell])
-                    for c in how.around(cell):
-                        for k in range(chunks.get((block, c), 0)):
-                            low, high = sorted((own, (c, k)))
-                            row.append(i)
-                            task.append(f"{block}:{low[0]}.{low[1]}:{high[0]}.{high[1]}")
-                            mine.append(2 if low == high else int(own == high))
-            row = np.array(row)
-            yield pd.DataFrame({"task": task, "side": mine, "key": b["key"].to_numpy()[row], "copies": b["copies"].to_numpy()[row], "vec": b["vec"].to_numpy()[row]})
+            for at in range(0, len(b), 128):
+                yield few(b.iloc[at : at + 128])
+
+    def few(b: pd.DataFrame) -> pd.DataFrame:
+        cells = how.cells(how.rotate(_unit(list(b["vec"]))[1]))
+        row, task, mine = [], [], []
+        for i, key in enumerate(b["key"]):
+            for block, cell in enumerate(cells[i].tolist()):
+                own = (cell, key % chunks[block, cell])
+                for c in how.around(cell):
+                    for k in range(chunks.get((block, c), 0)):
+                        low, high = sorted((own, (c, k)))
+                        row.append(i)
+                        task.append(f"{block}:{low[0]}.{low[1]}:{high[0]}.{high[1]}")
+                        mine.append(2 if low == high else int(own == high))
+        row = np.array(row)
+        return pd.DataFrame({"task": task, "side": mine, "key": b["key"].to_numpy()[row], "copies": b["copies"].to_numpy()[row], "vec": b["vec"].to_numpy()[row]})
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         block, group = int(group["task"].iloc[0].split(":")[0]), group.sort_values(["side", "key"])
@@ -187,7 +196,7 @@ def _links(reps: DataFrame, dim: int, threshold: float, n_blocks: int, chunk: in
         x = how.rotate(unit)
         i, j = _pairs(x, None, block, how) if sides[0] == 2 else _pairs(x[:first], x[first:], block, how)
         j = j if sides[0] == 2 else j + first
-        keep = [(unit[i[s]] * unit[j[s]]).sum(axis=1) >= threshold for s in (slice(at, at + (1 << 16)) for at in range(0, len(i), 1 << 16))]
+        keep = [(unit[i[s]] * unit[j[s]]).sum(axis=1) >= threshold for s in (slice(at, at + (1 << 14)) for at in range(0, len(i), 1 << 14))]
         keep = np.concatenate(keep) if keep else np.zeros(0, bool)
         i, j = i[keep], j[keep]
         n = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
