@@ -87,7 +87,8 @@ def count_words(docs: DataFrame, text_col: str, model: Model, most: int = 400_00
                 if len(seen) > most:
                     yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
