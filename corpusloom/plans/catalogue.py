@@ -1,2 +1,317 @@
+"""Named queries over the given tables, each beside the SQL it is held against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import context, graph, markdown, search
+from ..sources.tables import part_edges, table, turn_files
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+_FILES = """files AS (SELECT 'c/' || conv_id || '/' || turn || '.md' AS path, conv_id, turn, role, coalesce(text, '') AS text FROM conversations)"""
+_EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, (p_partkey * 3 + 1) % 1999 + 1 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey // 2 + 1 FROM part) WHERE src <> dst)"""
+_BM25 = r"""
+ t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ts, text FROM documents),
+ r AS (SELECT doc_id, text, len(ts) AS dl, len(list_filter(ts, lambda x: x = 'esat')) AS f0, len(list_filter(ts, lambda x: x = 'ndat')) AS f1 FROM t),
+ s AS (SELECT count(*) AS n, avg(dl) AS mean, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM r),
+ hits AS (SELECT doc_id, text, -(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / mean))
+   + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / mean))) AS rank FROM r, s WHERE f0 > 0 AND f1 > 0),
+ top AS (SELECT doc_id, text, rank, row_number() OVER (ORDER BY rank, doc_id) AS position FROM hits QUALIFY position <= 100)"""
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+@query(f"WITH {_BM25} SELECT doc_id, position, round(rank, 6) AS rank FROM top")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.bm25(table(spark, sf_dir, "documents"), ["esat", "ndat"], "doc_id")
+    return context.ranked(hits, F.col("rank"), F.col("doc_id")).select("doc_id", "position", F.round("rank", 6).alias("rank"))
+
+
+@query(f"""WITH RECURSIVE {_BM25},
+ c AS (SELECT doc_id, position, (length(text) + 3) // 4 AS tokens, rank FROM top),
+ walk AS (SELECT 0 AS position, CAST(0 AS BIGINT) AS used, false AS kept UNION ALL
+  SELECT c.position, CASE WHEN used + tokens <= 6000 THEN used + tokens ELSE used END, used + tokens <= 6000 FROM walk JOIN c ON c.position = walk.position + 1)
+SELECT doc_id, position, tokens, round(rank, 6) AS rank, kept FROM c JOIN walk USING (position)""")
+def bm25_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: search, rank and fill a budget of 6000 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    hits = context.ranked(search.bm25(docs, ["esat", "ndat"], "doc_id"), F.col("rank"), F.col("doc_id"))
+    items = docs.join(F.broadcast(hits), "doc_id").select("doc_id", "position", S.token_estimate(F.col("text")).alias("tokens"), "rank")
+    kept = context.budget(items.withColumn("g", F.lit(1)), 6000, ["g"], F.col("position"), F.col("tokens"), F.lit(False))
+    return items.join(kept, "position").select("doc_id", "position", "tokens", F.round("rank", 6).alias("rank"), "kept")
+
+
+@query("SELECT source, count(*) AS n, sum((length(coalesce(text, '')) + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY source")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(S.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query("SELECT 'sha256:' || sha256(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def fingerprint_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", S.fingerprint(F.col("text")).alias("fingerprint"))
+    return docs.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_filled FROM documents")
+def lines_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ls = F.split("text", "\n", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(ls).cast("long").alias("n_lines"), F.size(F.filter(ls, lambda x: F.trim(x) != "")).cast("long").alias("n_filled"))
+
+
+@query("SELECT c_custkey, id, CASE WHEN c_custkey > 0 THEN 'spec' END AS kind, CASE WHEN c_custkey > 0 THEN c_custkey END AS number, CASE WHEN c_custkey > 0 THEN length(id) - 5 END AS width FROM (SELECT c_custkey, printf('SPEC-%03d', c_custkey) AS id FROM customer)")
+def id_parse_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", S.format_id("SPEC", F.col("c_custkey")).alias("id")).withColumn("x", S.parse_id(F.col("id")))
+    return rows.select("c_custkey", "id", F.col("x.type").alias("kind"), F.col("x.number").cast("long").alias("number"), F.col("x.width").cast("long").alias("width"))
+
+
+@query("""SELECT n_nationkey, path, CASE WHEN n_nationkey % 5 = 0 THEN 'program' WHEN n_nationkey % 5 = 1 THEN 'feature' WHEN n_nationkey % 5 = 2 THEN 'tasks' WHEN n_nationkey % 5 = 3 THEN 'knowledge' END AS kind
+FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'ai/programs/PRG-' || n_nationkey || '/program.md' WHEN n_nationkey % 5 = 1 THEN 'ai/programs/PRG-1/features/FEAT-' || n_nationkey || '/feature.md'
+ WHEN n_nationkey % 5 = 2 THEN 'ai/programs/PRG-1/features/FEAT-1/specs/SPEC-' || n_nationkey || '/tasks.md' WHEN n_nationkey % 5 = 3 THEN 'ai/knowledge/KNOW-' || n_nationkey || '-' || lower(n_name) || '.md' ELSE 'ai/notes/' || n_nationkey || '.md' END AS path FROM nation)""")
+def classify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    s = k.cast("string")
+    path = (F.when(k % 5 == 0, F.concat(F.lit("ai/programs/PRG-"), s, F.lit("/program.md"))).when(k % 5 == 1, F.concat(F.lit("ai/programs/PRG-1/features/FEAT-"), s, F.lit("/feature.md")))
+            .when(k % 5 == 2, F.concat(F.lit("ai/programs/PRG-1/features/FEAT-1/specs/SPEC-"), s, F.lit("/tasks.md"))).when(k % 5 == 3, F.concat(F.lit("ai/knowledge/KNOW-"), s, F.lit("-"), F.lower("n_name"), F.lit(".md")))
+            .otherwise(F.concat(F.lit("ai/notes/"), s, F.lit(".md"))))
+    return table(spark, sf_dir, "nation").select("n_nationkey", path.alias("path")).withColumn("kind", S.classify_path(F.col("path")))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+def slugify_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", S.slug(F.concat("p_name", F.lit(" / "), "p_type", F.lit("!"))).alias("slug"))
+
+
+@query(r"""SELECT page_id, rule FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages) p,
+ (VALUES ('http*://*.example.com/**', '^http[^/]*://[^/]*\.example\.com/(?s:.*)$'), ('**/en/*', '^(?s:.*)/en/[^/]*$'), ('https://m.??????.*.net/**', '^https://m\.(?s:.)(?s:.)(?s:.)(?s:.)(?s:.)(?s:.)\.[^/]*\.net/(?s:.*)$')) r(rule, rx)
+ WHERE regexp_matches(u, rx)""")
+def glob_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with every glob rule that its url matches; the rules are a fixed list, so no join is needed."""
+    rules = ["http*://*.example.com/**", "**/en/*", "https://m.??????.*.net/**"]
+    u = F.regexp_replace("url", r"(?s)[?#].*\z", "")
+    hit = F.array_compact(F.array(*[F.when(u.rlike(S.glob_regex(g)), F.lit(g)) for g in rules]))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(hit).alias("rule"))
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT *, len(string_split(text, chr(10))) AS k FROM files)
+SELECT path, 1 AS ord, 1 AS level, 'Conv ' || conv_id AS heading, 'c' || conv_id AS anchor, 1 AS start_line, 2 AS end_line, 'see [[C-' || ((conv_id * 7 + 3) % 50) || '#top|next]]' AS body FROM n
+UNION ALL SELECT path, 2, 2, role, NULL, 3, 6 + k, text || chr(10) || '```' || chr(10) || '# not [[a-link]]' || chr(10) || '```' FROM n
+UNION ALL SELECT path, 3, 2, 'End', NULL, 7 + k, 8 + k, 'back to [[C-' || turn || ']]' FROM n""")
+def md_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = markdown.sections(turn_files(spark, sf_dir))
+    return out.select("path", "ord", "level", "heading", "anchor", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "body")
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT *, len(string_split(text, chr(10))) AS k FROM files), b AS (
+ SELECT path, 2 AS o, 'see [[C-' || ((conv_id * 7 + 3) % 50) || '#top|next]]' AS body FROM n UNION ALL SELECT path, 3, text || chr(10) || '```' || chr(10) || '# not [[a-link]]' || chr(10) || '```' FROM n UNION ALL SELECT path, 4, 'back to [[C-' || turn || ']]' FROM n)
+SELECT path, count(*) AS n, sum((length(body) + 3) // 4)::BIGINT AS tokens FROM b GROUP BY path""")
+def md_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.chunks(markdown.sections(turn_files(spark, sf_dir))).groupBy("path").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT *, len(string_split(text, chr(10))) AS k FROM files)
+SELECT path, 2 AS line, 'C-' || ((conv_id * 7 + 3) % 50) AS target, 'top' AS anchor, 'next' AS alias FROM n UNION ALL SELECT path, 8 + k, 'C-' || turn, NULL, NULL FROM n""")
+def md_wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.wikilinks(turn_files(spark, sf_dir)).select("path", F.col("line").cast("long").alias("line"), "target", "anchor", "alias")
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT *, len(string_split(text, chr(10))) AS k FROM files)
+SELECT path, 2 AS line, 'Conv ' || conv_id AS section FROM n UNION ALL SELECT path, 8 + k, 'End' FROM n""")
+def link_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = turn_files(spark, sf_dir)
+    return markdown.occurrences(markdown.wikilinks(files), markdown.sections(files)).select("path", F.col("line").cast("long").alias("line"), "section")
+
+
+@query(f"""WITH {_FILES} SELECT path, 3 AS fenced_lines, len(string_split(text, chr(10))) + 8 AS n_lines FROM files""")
+def fence_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ls = F.split("content", "\n", -1)
+    return turn_files(spark, sf_dir).select("path", F.size(F.filter(markdown.fence_mask(ls), lambda x: x)).alias("fenced_lines"), F.size(ls).cast("long").alias("n_lines"))
+
+
+@query("""SELECT c_custkey, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS state, coalesce(n, 0) AS n_paths, coalesce(p, '') AS first_path
+FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT o_orderkey) AS n, min('o/' || o_orderkey) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def resolve_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ents = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("path"))
+    out = graph.resolve(table(spark, sf_dir, "customer").select("c_custkey"), ents, "c_custkey")
+    return out.select("c_custkey", "state", F.size("paths").cast("long").alias("n_paths"), F.coalesce(F.try_element_at("paths", F.lit(1)), F.lit("")).alias("first_path"))
+
+
+@query("""SELECT l_suppkey AS spec, l_partkey AS task, count(*) AS n, count(DISTINCT l_orderkey) AS n_places FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+def duplicates_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("spec"), F.col("l_partkey").alias("task"))
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("n_places")).where("n > 1")
+
+
+@query("SELECT r_name AS parent, n_name AS child FROM region JOIN nation ON n_regionkey = r_regionkey")
+def children_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
+
+
+@query("SELECT c_custkey, n_name AS parent, n_name IS NOT NULL AS has_parent FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND c_custkey % 7 <> 0")
+def parent_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh customer declares no parent."""
+    c = table(spark, sf_dir, "customer").withColumn("k", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")))
+    out = c.join(table(spark, sf_dir, "nation"), F.col("k") == F.col("n_nationkey"), "left")
+    return out.select("c_custkey", F.col("n_name").alias("parent"), F.col("n_name").isNotNull().alias("has_parent"))
+
+
+@query(f"WITH {_EDGES} SELECT dst, count(DISTINCT src) AS n_sources, min(src) AS first_source FROM edges GROUP BY dst")
+def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.backlinks(part_edges(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = a.src AND e.dst = b.dst)")
+def second_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.second_hop(part_edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, w USING KEY (id) AS (SELECT 7::BIGINT AS id, 0 AS hops UNION
+SELECT e.src, min(w.hops) + 1 FROM w JOIN edges e ON e.dst = w.id WHERE e.src NOT IN (SELECT id FROM recurring.w) GROUP BY e.src) SELECT id, hops FROM w WHERE hops > 0""")
+def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = spark.range(7, 8).select("id")
+    return graph.affected(part_edges(spark, sf_dir), changed)
+
+
+@query("""SELECT doc_id, relation, w + t AS score FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'wikilink' WHEN 2 THEN 'backlink' ELSE 'mention' END AS relation,
+ CASE doc_id % 4 WHEN 0 THEN 90 WHEN 1 THEN 80 WHEN 2 THEN 65 ELSE 45 END AS w, least(40, floor(length(text) / 100.0 * 10))::INTEGER AS t FROM documents WHERE text IS NOT NULL)""")
+def rank_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    rel = F.when(k == 0, "depends_on").when(k == 1, "wikilink").when(k == 2, "backlink").otherwise("mention")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", rel.alias("relation"), (-F.length("text") / 100.0).alias("rank"))
+    return docs.select("doc_id", "relation", (context.relation_weight(F.col("relation")) + context.text_bonus(F.col("rank"))).alias("score"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) AS position, (length(coalesce(text, '')) + 3) // 4 AS tokens, turn = 0 AS must FROM conversations),
+ w AS (SELECT conv_id, position, turn, tokens AS used, must OR tokens <= 200 AS kept, CASE WHEN must OR tokens <= 200 THEN tokens ELSE 0 END AS total FROM c WHERE position = 1
+ UNION ALL SELECT c.conv_id, c.position, c.turn, c.tokens, c.must OR w.total + c.tokens <= 200, CASE WHEN c.must OR w.total + c.tokens <= 200 THEN w.total + c.tokens ELSE w.total END FROM w JOIN c ON c.conv_id = w.conv_id AND c.position = w.position + 1)
+SELECT conv_id, position, kept FROM w""")
+def budget_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of each conversation within 200 tokens; the first is mandatory."""
+    t = table(spark, sf_dir, "conversations")
+    t = t.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", F.coalesce("text", F.lit("")))).cast("long"))
+    return context.budget(t, 200, ["conv_id"], F.col("position"), S.token_estimate(F.col("text")), F.col("turn") == 0)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 5 = 1 THEN 'removed' WHEN doc_id % 5 = 2 THEN 'modified' ELSE 'reused' END AS change FROM documents WHERE text IS NOT NULL""")
+def pack_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of the documents: some only in one, some changed."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", S.fingerprint(F.col("text")).alias("fingerprint"), "text")
+    base = docs.where("doc_id % 5 <> 0").select("doc_id", "fingerprint")
+    new = docs.where("doc_id % 5 <> 1").select("doc_id", F.when(F.col("doc_id") % 5 == 2, S.fingerprint(F.concat("text", F.lit("!")))).otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return context.pack_diff(base, new, ["doc_id"])
+
+
+@query("""SELECT source, 'sha256:' || sha256(string_agg(doc_id || '=' || sha256(text), chr(31) ORDER BY doc_id)) AS pack_id, count(*) AS n FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0 GROUP BY source""")
+def pack_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack of each source's every third document, named by what it holds."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and doc_id % 3 = 0").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("="), F.sha2("text", 256)).alias("x"))
+    packs = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "x"))).alias("xs"), F.count("*").alias("n"))
+    return packs.select("source", S.fingerprint(F.array_join(F.transform("xs", lambda x: x["x"]), "\x1f")).alias("pack_id"), "n")
+
+
+@query("""SELECT CASE WHEN doc_id % 5 = 0 THEN 'indexed' WHEN doc_id % 5 = 1 THEN 'removed' WHEN doc_id % 5 = 2 THEN 'updated' ELSE 'skipped' END AS action, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"added": "indexed", "removed": "removed", "modified": "updated", "reused": "skipped"}
+    action = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("change"))
+    return pack_diff(spark, sf_dir).groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def coverage_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements (customers) that no finished task (order) serves."""
+    served = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return graph.unresolved(table(spark, sf_dir, "customer").select("c_custkey"), served, "c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey * 2 AS ref FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)")
+def coverage_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("ref"))
+    return graph.unresolved(refs, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref")), "ref").select("o_orderkey", "ref")
+
+
+@query("""SELECT c_custkey, count(*) FILTER (o_orderstatus <> 'F') AS open_tasks, count(*) AS tasks FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) FILTER (o_orderstatus <> 'F') > 0""")
+def phase_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.when(F.col("o_orderstatus") != "F", 1)).alias("open_tasks"), F.count("*").alias("tasks"))
+    return o.where("open_tasks > 0").join(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "left_semi")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS status FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'P'")
+def invalid_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = spark.createDataFrame([("P", "1-URGENT"), ("P", "2-HIGH")], "kind string, status string")
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("status"))
+    return rows.join(F.broadcast(allowed), ["kind", "status"], "left_anti").select("o_orderkey", "status")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'unverified' WHEN 2 THEN 'stale' ELSE 'verified' END AS state FROM events""")
+def evidence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task body for each event, with evidence lines; verified only where the fingerprint is the body's."""
+    k, text = F.col("event_id") % 4, F.concat(F.lit("- [x] "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))
+    result = F.when(k == 0, "fail").when(k == 1, "none").otherwise("pass")
+    mark = F.when(k == 2, F.lit("sha256:0")).otherwise(S.fingerprint(text))
+    body = F.concat(text, F.lit("\nEvidence-Result: "), result, F.lit("\nEvidence-Fingerprint: "), mark)
+    return table(spark, sf_dir, "events").select("event_id", S.evidence_state(body).alias("state"))
+
+
+_READY = """d AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dep FROM orders), r AS (SELECT o_custkey, o_orderkey FROM d WHERE o_orderstatus <> 'F' AND coalesce(dep, 'F') = 'F')"""
+
+
+def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dep = F.lag("o_orderstatus").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", dep.alias("dep"))
+    return rows.where("o_orderstatus <> 'F' and coalesce(dep, 'F') = 'F'").select("o_custkey", "o_orderkey")
+
+
+@query(f"WITH {_READY} SELECT o_custkey, o_orderkey FROM r")
+def ready_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open tasks whose dependency, the task before them, is complete."""
+    return _ready(spark, sf_dir)
+
+
+@query(f"WITH {_READY} SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM r GROUP BY o_custkey")
+def next_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ready(spark, sf_dir).groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+
+
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'modified' END AS change
+FROM (SELECT doc_id, trim(text) AS t FROM documents WHERE doc_id % 6 <> 0) a FULL JOIN (SELECT doc_id, trim(CASE WHEN doc_id % 6 = 2 THEN text || ' x' ELSE text || '  ' END) AS t FROM documents WHERE doc_id % 6 <> 1) b ON a.doc_id = b.doc_id
+WHERE a.t IS DISTINCT FROM b.t""")
+def changed_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    a = docs.where("doc_id % 6 <> 0").select("doc_id", F.trim("text").alias("fingerprint"))
+    b = docs.where("doc_id % 6 <> 1").select("doc_id", F.trim(F.when(F.col("doc_id") % 6 == 2, F.concat("text", F.lit(" x"))).otherwise(F.concat("text", F.lit("  ")))).alias("fingerprint"))
+    return context.pack_diff(a, b, ["doc_id"]).where("change <> 'reused'")
+
+
+@query("""SELECT a.doc_id, CASE WHEN a.toxic > b.toxic THEN 'regressed' ELSE 'improved' END AS direction FROM labels a JOIN (SELECT doc_id, (toxic + doc_id % 2) % 2 AS toxic FROM labels) b USING (doc_id) WHERE a.toxic <> b.toxic""")
+def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the same cases in two runs; the second flips every odd one."""
+    a = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("was"))
+    b = table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") + F.col("doc_id") % 2) % 2).alias("now"))
+    return a.join(b, "doc_id").where("was <> now").select("doc_id", F.when(F.col("was") > F.col("now"), "regressed").otherwise("improved").alias("direction"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS outcomes FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
+def run_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("outcomes")).where("outcomes > 1")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus AS kind, max(o_orderkey) + 1 AS next_id FROM orders GROUP BY 1")
+def next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_id"))
