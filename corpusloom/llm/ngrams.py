@@ -135,6 +135,15 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps between them, all lowest bytes first: what Spark's compression makes small."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _build(train: DataFrame, tokens: int, max_bits: int) -> Filter:
     """The filter of all single tokens and pairs of ``train``, of at most ``max_bits`` bits however many there
     are.  Tasks count their keys and send them, packed, to the segments they belong to; a segment's task sums
@@ -151,7 +160,7 @@ def _build(train: DataFrame, tokens: int, max_bits: int) -> Filter:
             seg = shape.segment(keys)
             cuts = np.flatnonzero(np.diff(seg, prepend=-1))
             ends = [*cuts[1:], len(keys)]
-            return pd.DataFrame({"seg": seg[cuts].astype(np.int32), "keys": [keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "counts": [counts[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends, strict=True)]})
+            return pd.DataFrame({"seg": seg[cuts].astype(np.int32), "keys": [_steps(keys[a:b]) for a, b in zip(cuts, ends, strict=True)], "counts": [counts[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends, strict=True)]})
 
         for b in batches:
             for i, j in _pieces(b["text"]):
@@ -165,7 +174,7 @@ def _build(train: DataFrame, tokens: int, max_bits: int) -> Filter:
             yield out()
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = np.frombuffer(b"".join(rows["keys"]), dtype="<u8"), np.frombuffer(b"".join(rows["counts"]), dtype="<u4")
+        keys, counts = np.concatenate([_unsteps(k) for k in rows["keys"]]), np.frombuffer(b"".join(rows["counts"]), dtype="<u4")
         keys, at = np.unique(keys, return_inverse=True)
         return pd.DataFrame({"seg": [key[0]], "bits": [shape.build(keys, np.bincount(at, counts, len(keys)))]})
 
