@@ -53,21 +53,24 @@ def label_model(votes: np.ndarray, prior: np.ndarray, rounds: int = 30) -> tuple
     ``votes`` has -1 for abstain, else 0 or 1.  Expectation-maximisation of a generative model: given the
     class, a voter gives each of its three outcomes at its own rate.  Voters that agree beyond what the
     class explains share their evidence: a voter's weight is one over one plus the sum of its positive
-    residual correlations, estimated again in every round.  It starts from ``prior``.
+    correlations within the likelier classes, estimated again in every round.  It starts from ``prior``, and the share of class 1
+    stays as ``prior`` has it: it can't shrink to nothing.
     """
     n, m = votes.shape
     shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
     post, weight = prior.astype(np.float64), np.ones(m)
+    balance = np.log(np.clip([1 - prior.mean(), prior.mean()], 1e-6, 1))
     for _ in range(rounds):
         mass = np.stack([1 - post, post])
         rate = (np.einsum("cn,nmv->cmv", mass, shown) + 0.5) / (mass.sum(1)[:, None, None] + 1.5)
         spoke = (votes >= 0) * np.where(votes == 1, 1.0, -1.0)
-        rest = spoke - np.einsum("cn,cm->nm", mass, (rate[:, :, 2] - rate[:, :, 1]))
+        side = post >= 0.5
+        rest = spoke - np.stack([spoke[side == c].mean(0) if (side == c).any() else np.zeros(m) for c in (False, True)])[side.astype(int)]
         size = np.sqrt((rest * rest).sum(0)) + 1e-9
         tie = np.clip((rest.T @ rest) / np.outer(size, size), 0, 1)
         tie[tie < 0.1] = 0
         weight = 1 / np.maximum(1, tie.sum(1))
-        log = np.einsum("nmv,cmv,m->nc", shown, np.log(rate), weight) + np.log(np.clip(mass.mean(1), 1e-6, 1))
+        log = np.einsum("nmv,cmv,m->nc", shown, np.log(rate), weight) + balance
         after = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
         moved, post = np.abs(after - post).max(), after
         if moved < 1e-4:
