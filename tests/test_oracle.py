@@ -17,7 +17,7 @@ def rows(df: pd.DataFrame) -> list:
 
 
 def _plain(x):
-    if x is None or x != x or x is pd.NA:
+    if x is None or x is pd.NA or x != x:
         return None
     if hasattr(x, "item"):
         x = x.item()
