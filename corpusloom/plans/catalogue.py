@@ -213,12 +213,14 @@ def pack_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.pack_diff(base, new, ["doc_id"])
 
 
-@query("""SELECT source, 'sha256:' || sha256(string_agg(doc_id || '=' || sha256(text), chr(31) ORDER BY doc_id)) AS pack_id, count(*) AS n FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0 GROUP BY source""")
+@query("""SELECT l_orderkey, 'sha256:' || sha256(string_agg(l_linenumber || '=' || sha256(l_partkey || ':' || l_suppkey), chr(31) ORDER BY l_linenumber, sha256(l_partkey || ':' || l_suppkey))) AS pack_id, count(*) AS n FROM lineitem GROUP BY l_orderkey""")
 def pack_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pack of each source's every third document, named by what it holds."""
-    docs = table(spark, sf_dir, "documents").where("text is not null and doc_id % 3 = 0").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("="), F.sha2("text", 256)).alias("x"))
-    packs = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "x"))).alias("xs"), F.count("*").alias("n"))
-    return packs.select("source", S.fingerprint(F.array_join(F.transform("xs", lambda x: x["x"]), "\x1f")).alias("pack_id"), "n")
+    """A pack of each order's lines, named by what it holds; an order has a few lines, so a pack is small."""
+    mark = F.sha2(F.concat(F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_suppkey").cast("string")), 256)
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", mark.alias("mark")).alias("item"))
+    packs = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("items"), F.count("*").alias("n"))
+    parts = F.transform("items", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit("="), x["mark"]))
+    return packs.select("l_orderkey", S.fingerprint(F.array_join(parts, "\x1f")).alias("pack_id"), "n")
 
 
 @query("""SELECT CASE WHEN doc_id % 5 = 0 THEN 'indexed' WHEN doc_id % 5 = 1 THEN 'removed' WHEN doc_id % 5 = 2 THEN 'updated' ELSE 'skipped' END AS action, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1""")
