@@ -311,7 +311,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
                 part = b.iloc[at : at + 256]
                 split = [pattern.findall(marked(t)) for t in part["__text"]]
                 new = list({w for ws in split for w in ws} - cache.keys())
-                if len(cache) + len(new) > 400_000:
+                if len(cache) + len(new) > 100_000:
                     cache = {}
                     new = list({w for ws in split for w in ws})
                 cache.update(zip(new, packed.get(new), strict=True))
