@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import context, graph, markdown, search
-from ..sources.tables import part_edges, table, turn_files
+from ..operators import architecture, context, graph, markdown, search, tasks
+from ..sources.tables import part_edges, part_references, table, task_files, turn_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -296,6 +296,42 @@ def changed_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.pack_diff(a, b, ["doc_id"]).where("change <> 'reused'")
 
 
+_TASKS = """t AS (SELECT 'specs/SPEC-' || l_orderkey || '/tasks.md' AS path, l_linenumber AS number, l_linestatus = 'F' AS checked,
+ CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'N' THEN 'verified' ELSE 'stale' END AS state,
+ CASE WHEN l_linestatus = 'F' AND l_returnflag = 'N' THEN 'complete' ELSE 'pending' END AS status, printf('SPEC-%03d:R%d', l_partkey % 999 + 1, l_linenumber) AS serves, l_suppkey % 4 = 0 AS bad FROM lineitem)"""
+
+
+@query(f"WITH {_TASKS} SELECT path, number, checked, state, status, serves, CASE WHEN bad THEN 'R9' ELSE '' END AS bad_serves, CASE WHEN number > 1 THEN number - 1 END AS depends_on, 'line ' || number AS scope FROM t")
+def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tasks.rows(task_files(spark, sf_dir))
+    return out.select("path", "number", "checked", "state", "status", F.array_join("serves", ",").alias("serves"), F.array_join("bad_serves", ",").alias("bad_serves"), F.try_element_at("depends_on", F.lit(1)).alias("depends_on"), "scope")
+
+
+@query(f"""WITH {_TASKS}, o AS (SELECT DISTINCT path, number FROM t WHERE status <> 'complete')
+SELECT path, number, CAST(number > 1 AND NOT EXISTS (SELECT 1 FROM t WHERE t.path = o.path AND t.number = o.number - 1 AND t.status = 'complete') AS BIGINT) AS blockers FROM o""")
+def task_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.readiness(tasks.rows(task_files(spark, sf_dir)))
+
+
+@query(f"""WITH {_TASKS}
+SELECT 'duplicate_id' AS code, path, printf('TASK-%03d is declared %d times', number, count(*)) AS message FROM t GROUP BY path, number HAVING count(*) > 1
+UNION ALL SELECT 'malformed_reference', path, printf('TASK-%03d refers to R9', number) FROM t WHERE bad
+UNION ALL SELECT DISTINCT 'unresolved_dependency', path, printf('TASK-%03d depends on TASK-%03d', number, number - 1) FROM t WHERE number > 1 AND NOT EXISTS (SELECT 1 FROM t u WHERE u.path = t.path AND u.number = t.number - 1)""")
+def task_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.findings(tasks.rows(task_files(spark, sf_dir)))
+
+
+@query(f"""WITH {_EDGES}, r AS (SELECT 'src/m' || src % 9 || '/p' || src || '.go' AS path, src % 9 AS m, dst % 7 AS k FROM edges),
+ v AS (SELECT 0 AS rule, path FROM r WHERE m = 3 AND k = 2 UNION ALL SELECT 2, path FROM r WHERE k = 5)
+SELECT rule, CASE WHEN rule = 3 THEN 'not_evaluated' WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status, n AS violations, first_path
+FROM (SELECT q.rule, count(path) AS n, min(path) AS first_path FROM (VALUES (0), (1), (2), (3)) q(rule) LEFT JOIN v ON v.rule = q.rule GROUP BY q.rule)""")
+def architecture_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rules: one that some references break, one that none can, one for all files, one of another kind."""
+    rule = architecture.Rule
+    rules = [rule("forbidden_dependency", "src/m3/*.go", "lib/k2/**"), rule("forbidden_dependency", "src/m??/**", "lib/**"), rule("forbidden_dependency", "**", "lib/k5/*"), rule("required_contract", "src/**", "lib/**")]
+    return architecture.check(part_references(spark, sf_dir), rules)
+
+
 @query("""SELECT a.doc_id, CASE WHEN a.toxic > b.toxic THEN 'regressed' ELSE 'improved' END AS direction FROM labels a JOIN (SELECT doc_id, (toxic + doc_id % 2) % 2 AS toxic FROM labels) b USING (doc_id) WHERE a.toxic <> b.toxic""")
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of the same cases in two runs; the second flips every odd one."""

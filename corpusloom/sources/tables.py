@@ -35,6 +35,28 @@ def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.concat(F.lit("c/"), n, F.lit("/"), F.col("turn").cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
 
 
+def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task file for each order, with a task for each of its lines: finished lines are checked, each but the
+    first depends on the one before, and the evidence of lines that were not returned is up to date."""
+    n = F.col("l_linenumber")
+    text = F.concat(
+        F.when(F.col("l_linestatus") == "F", "- [x] ship").otherwise("- [ ] ship"), F.lit("\nServes: "), F.format_string("SPEC-%03d:R%d", F.col("l_partkey") % 999 + 1, n), F.when(F.col("l_suppkey") % 4 == 0, ", R9").otherwise(""),
+        F.lit("\nDepends on: "), F.when(n > 1, F.format_string("TASK-%03d", n - 1)).otherwise("none"), F.lit("\nScope: line "), n.cast("string"),
+    )
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", text.alias("text"))
+    mark = F.concat(F.lit("sha256:"), F.sha2("text", 256))
+    task = F.concat(F.format_string("## TASK-%03d line\n", n), F.col("text"), F.when(F.col("l_returnflag") == "R", "\nEvidence-Result: fail").otherwise("\nEvidence-Result: pass"), F.lit("\nEvidence-Fingerprint: "), F.when(F.col("l_returnflag") == "N", mark).otherwise("sha256:0"))
+    files = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", task.alias("task")))).alias("xs"))
+    path = F.concat(F.lit("specs/SPEC-"), F.col("l_orderkey").cast("string"), F.lit("/tasks.md"))
+    return files.select(path.alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["task"]), "\n")).alias("content"))
+
+
+def part_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, target``: the edges between parts as files that refer to packages."""
+    e = part_edges(spark, sf_dir)
+    return e.select(F.concat(F.lit("src/m"), (F.col("src") % 9).cast("string"), F.lit("/p"), F.col("src").cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit("lib/k"), (F.col("dst") % 7).cast("string"), F.lit("/p"), F.col("dst").cast("string")).alias("target"))
+
+
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``src, dst``: each part refers to two others by arithmetic on its key."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
