@@ -30,8 +30,9 @@ def usable(vec: Column) -> Column:
     return F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _unit(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    full = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as they were packed, in double precision, and at length one; their size tells their width."""
+    full = np.frombuffer(b"".join(raw), dtype="<f4" if len(raw[0]) == 4 * dim else "<f8").reshape(len(raw), dim).astype("<f8")
     scaled = full / np.abs(full).max(axis=1, keepdims=True)
     return full, scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
@@ -43,7 +44,7 @@ def _spread(reps: DataFrame, dim: int) -> np.ndarray:
         total = np.zeros((dim + 1, dim + 1))
         for b in batches:
             if len(b):
-                x = np.hstack([_unit(list(b["vec"]))[1], np.ones((len(b), 1))])
+                x = np.hstack([_unit(list(b["vec"]), dim)[1], np.ones((len(b), 1))])
                 total += x.T @ x
         yield pd.DataFrame({"at": np.arange((dim + 1) ** 2), "x": total.ravel()})
 
@@ -110,7 +111,7 @@ def _pairs(x: np.ndarray, y: np.ndarray | None, block: int, how: Blocks) -> tupl
     return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, n_blocks: int = 8, chunk: int = 2000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, n_blocks: int = 4, chunk: int | None = None) -> DataFrame:
     """Every row of ``vectors`` with its direct links and the smallest id of its group.
 
     Returns ``id_col, n_links`` (other rows linked directly, copies included), ``component_id`` (smallest
@@ -119,7 +120,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows count as often as they come; an empty table gives none.
 
     Equal vectors are folded before the join.  A cell of a block is dealt into chunks of about ``chunk``
-    vectors, and each pair of neighbouring chunks is a task of its own, so no task holds a whole cell; a
+    vectors (if none is given, those that take 4 MB as doubles), and each pair of neighbouring chunks is a task of its own, so no task holds a whole cell; a
     task gives a count for each vector and the links that join its vectors, not all pairs.
     """
     vec = F.col(vec_col)
@@ -128,9 +129,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         rows.where("v is not null").groupBy("v").agg(F.min(id_col).alias("low_id"), F.count("*").alias("copies")).select(F.xxhash64("v").alias("key"), F.size("v").alias("dim"), "v", "low_id", "copies"),
         "vectors",
     )
-    found = None
+    found, narrow = None, vectors.schema[vec_col].dataType.elementType.typeName() == "float"
     for dim in sorted(r[0] for r in reps.select("dim").distinct().collect()):
-        part = _links(_packed(reps.where(F.col("dim") == dim)), dim, threshold, n_blocks, chunk)
+        part = _links(_packed(reps.where(F.col("dim") == dim), narrow), dim, threshold, n_blocks, chunk or max(64, (4 << 20) // (8 * dim)))
         found = part if found is None else found.union(part)
     if found is None:
         found = reps.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
@@ -145,10 +146,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     return out.select(id_col, F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col(id_col) == comp).alias("kept"))
 
 
-def _packed(reps: DataFrame) -> DataFrame:
+def _packed(reps: DataFrame, narrow: bool) -> DataFrame:
+    """Vectors as bytes: as floats if they came so, which loses nothing, else as doubles."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "copies": b["copies"], "vec": [np.asarray(v, dtype="<f8").tobytes() for v in b["v"]]})
+            yield pd.DataFrame({"key": b["key"], "copies": b["copies"], "vec": [np.asarray(v, dtype="<f4" if narrow else "<f8").tobytes() for v in b["v"]]})
 
     return reps.select("key", "copies", "v").mapInPandas(run, "key bigint, copies bigint, vec binary")
 
@@ -160,7 +163,7 @@ def _links(reps: DataFrame, dim: int, threshold: float, n_blocks: int, chunk: in
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                cells = how.cells(how.rotate(_unit(list(b["vec"]))[1]))
+                cells = how.cells(how.rotate(_unit(list(b["vec"]), dim)[1]))
                 yield pd.DataFrame({"block": np.tile(np.arange(cells.shape[1]), len(b)), "cell": cells.ravel()})
 
     sizes = reps.select("vec").mapInPandas(homes, "block int, cell bigint").groupBy("block", "cell").count().collect()
@@ -172,7 +175,7 @@ def _links(reps: DataFrame, dim: int, threshold: float, n_blocks: int, chunk: in
                 yield few(b.iloc[at : at + 128])
 
     def few(b: pd.DataFrame) -> pd.DataFrame:
-        cells = how.cells(how.rotate(_unit(list(b["vec"]))[1]))
+        cells = how.cells(how.rotate(_unit(list(b["vec"]), dim)[1]))
         row, task, mine = [], [], []
         for i, key in enumerate(b["key"]):
             for block, cell in enumerate(cells[i].tolist()):
@@ -192,7 +195,7 @@ def _links(reps: DataFrame, dim: int, threshold: float, n_blocks: int, chunk: in
         first = int((sides != 1).sum())
         if len(keys) < 2 or sides[0] != 2 and first in (0, len(keys)):
             return pd.DataFrame({"a": [], "b": [], "n": []})
-        unit = _unit(list(group["vec"]))[1]
+        unit = _unit(list(group["vec"]), dim)[1]
         x = how.rotate(unit)
         i, j = _pairs(x, None, block, how) if sides[0] == 2 else _pairs(x[:first], x[first:], block, how)
         j = j if sides[0] == 2 else j + first
