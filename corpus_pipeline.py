@@ -25,9 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of SimHash near-duplicates, the document of the smallest id; rows without an id stay."""
-    groups = simhash.near_duplicates(docs, width=5, distance=2)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """Keeps, of each group that a Jaccard similarity of 5-word shingles of 0.8 connects, the document of the smallest id; rows without an id stay."""
+    kept = simhash.near_copies(docs, width=5, similarity=0.8).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
     return once.union(docs.where("doc_id is null"))
 

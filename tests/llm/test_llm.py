@@ -174,3 +174,41 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
     assert all((got[i] >= 0.7) == y for i, _, y in rows) and got[900] < 0.5 and got[901] < 0.5
     assert toxicity.fit(d, spark.createDataFrame([], "doc_id bigint, toxic int")).score("x") == 0.0
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(40):
+        base = [f"w{int(i)}" for i in rng.integers(0, 10**6, int(rng.integers(40, 400)))]
+        for changes in (0, 1, len(base) // 60, len(base) // 40, len(base) // 20):
+            t = list(base)
+            for at in rng.choice(len(t), changes, replace=False):
+                t[at] = f"x{int(rng.integers(0, 10**6))}"
+            texts.append(" ".join(t))
+    texts += ["", None, "one two", "One TWO"]
+    got = {r["doc_id"]: r["root"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), width=5, similarity=0.8).collect()}
+
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, up, apart = [cut(t) for t in texts], list(range(len(texts))), 0
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in pairs:
+            up[i] = up[j] = min(up[i], up[j])
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    apart = sum(((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() > 2 for i, j in pairs)
+    assert apart > 40  # out of reach of the 2-bit rule
+    assert [[got[i] == got[j] for j in got] for i in got] == [[up[i] == up[j] for j in got] for i in got]
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(300)]
+    near = [*base[:100], "changed", *base[101:200], "words", *base[201:]]
+    rows = [(2, " ".join(near)), (1, " ".join(base)), (3, " ".join(base[:150])), (None, " ".join(base))]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 3, None]
