@@ -16,10 +16,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import connected_components, links_of_meetings, written
 
 #: A-Z to a-z, other bytes as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -78,8 +78,6 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     half = (distance + 1) // 2
     at = fps.select("fp").distinct().select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
     if distance % 2 == 0:
-        from pyspark.sql import Window
-
         low = at.withColumn("low", F.min("fp").over(Window.partitionBy("variant"))).where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
     else:
         low = at.alias("x").join(at.alias("y"), "variant").where("x.fp > y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
@@ -145,9 +143,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two rows are linked if the Jaccard similarity of their distinct word shingles is at least ``similarity``; a
     group is what links connect.  Equal sets are folded first.  Sets that meet at a variant are candidates
-    (found with 0.9994 at 0.8, nearer ones more surely); links are candidates whose exact similarity holds.  In
-    a first pass every set is held against the smallest of its meeting place; in a second, all pairs of a
-    meeting place that the first didn't bring together.  Null and empty texts are one set.
+    (found with 0.9994 at 0.8, nearer ones more surely); links are candidates whose exact similarity holds.
+    Null and empty texts are one set.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("__text"))
@@ -166,12 +163,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(texts.mapInPandas(sketch, f"`{id_col}` {kind}, tk bigint, h1 bigint, h2 bigint, n int, variants array<bigint>"), "sketches")
     sets = rows.groupBy("h1", "h2").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("variants").alias("variants"))
     sets = written(sets.withColumn("gid", F.monotonically_increasing_id()), "shingle-sets")
-    at = sets.select("gid", "n", F.explode("variants").alias("variant"))
-    by = F.struct("gid", "n")
-    star = at.groupBy("variant").agg(F.min(by).alias("low"), F.count("*").alias("k")).where("k > 1").select("variant", "low")
-    meets = written(at.join(star, "variant").select("variant", "gid", "n", F.col("low.gid").alias("low"), F.col("low.n").alias("low_n")), "meetings")
-    near = F.least("n", "low_n") >= F.lit(similarity) * F.greatest("n", "low_n") - 1e-9
-    first = written(meets.where("gid <> low").where(near).select(F.col("gid").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    at = sets.select(F.explode("variants").alias("variant"), "gid", F.col("n").alias("size"))
+    meets = written(at.withColumn("k", F.count("*").over(Window.partitionBy("variant"))).where("k > 1").drop("k"), "meetings")
     need = meets.select("gid").distinct().join(sets.select("gid", "tk", "h1", "h2"), "gid")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,14 +182,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
-    links = written(alike(first), "links")
-    roots = connected_components(links).withColumnRenamed("node", "gid")
-    placed = meets.select("variant", "gid", "n").join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-    mixed = placed.groupBy("variant").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("variant")
-    placed = written(placed.join(mixed, "variant"), "mixed")
-    x, y = placed.select("variant", F.col("gid").alias("a"), "n", F.col("root").alias("ra")), placed.select("variant", F.col("gid").alias("b"), F.col("n").alias("low_n"), F.col("root").alias("rb"))
-    second = x.join(y, "variant").where("a > b and ra <> rb").where(near).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = written(alike(second), "links")
-    roots = connected_components(links.union(more)).withColumnRenamed("node", "gid")
+    roots = connected_components(links_of_meetings(meets, similarity, alike)).withColumnRenamed("node", "gid")
     groups = sets.select("gid", "h1", "h2").join(roots, "gid", "left").select("h1", "h2", F.coalesce("root", "gid").alias("root"))
     return rows.select(id_col, "tk", "h1", "h2").join(groups, ["h1", "h2"]).select(id_col, "tk", "root")

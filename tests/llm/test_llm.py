@@ -212,3 +212,15 @@ def test_pipeline_drops_near_copies(spark):
     rows = [(2, " ".join(near)), (1, " ".join(base)), (3, " ".join(base[:150])), (None, " ".join(base))]
     out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 3, None]
+
+
+def test_lines_with_one_changed_word(spark):
+    rng, rows = np.random.default_rng(11), []
+    for n in range(10, 41):
+        for _ in range(4):
+            line = ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(4, 8)))) for _ in range(n)]
+            other = list(line)
+            other[int(rng.integers(n))] = "".join(rng.choice(list("qrstuvwxyz"), 6))
+            rows += [(2 * len(rows), " ".join(line)), (2 * len(rows) + 1, " ".join(other))]
+    got = {r["doc_id"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), similarity=0.8).collect()}
+    assert got == {a for a, _ in rows[::2]}
