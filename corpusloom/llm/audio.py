@@ -77,8 +77,11 @@ def fingerprint(x: np.ndarray) -> np.ndarray:
     """A 32-bit integer for each frame that has SPAN frames from it on: sixteen filters of two bits each.
 
     Each filter compares two areas of the frames-by-classes image, summed in four reads of its integral
-    image: early and late, low and high, inner and outer, or the two diagonals.
+    image: early and late, low and high, inner and outer, or the two diagonals.  A recording too short for two
+    of them has SPAN frames of silence before and after it, so that equal ones have equal codes.
     """
+    if 0 < len(x) < WINDOW + SPAN * HOP:
+        x = np.pad(x, SPAN * HOP)
     c = chroma(x)
     n = len(c) - SPAN + 1
     if n < 1:
@@ -110,7 +113,7 @@ def fingerprint(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(media: DataFrame, keys: list[str], audio_col: str = "audio") -> DataFrame:
-    """``keys`` and ``codes``, an array of integers, for every row; no codes for null, short or unreadable audio."""
+    """``keys`` and ``codes``, an array of integers, for every row; no codes for null, empty or unreadable audio."""
     kinds = ", ".join(f"`{k}` {media.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,8 +149,9 @@ def align(prints: DataFrame, keys: list[str], query: Column, least_votes: int =
     overlap.  A pair with ``least_votes`` and at most ``max_errors`` is a match.
 
     Returns a row for each query row and match: ``keys``, ``recording`` (its own, a struct of keys), ``matched``, ``copies``,
-    ``shift`` (frames from the query to the match), ``votes, errors``; a query without any match has one
-    row with nulls.  Recordings without codes match nothing.
+    ``shift`` (frames from the query to the match), ``votes, errors``, and ``own_copies``, the rows of its own
+    recording, itself included; a query without any match has one row with nulls for the match.  Recordings
+    without codes match nothing and have no ``recording``.
     """
     rows = written(prints.select(*keys, "codes", query.alias("asked")).withColumn("rec", F.xxhash64("codes")), "prints")
     clips = rows.where(F.size("codes") > 1).groupBy("rec").agg(F.min(F.struct(*keys)).alias("name"), F.count("*").alias("copies"), F.first("codes").alias("codes"), F.max("asked").alias("asked"))
@@ -166,5 +170,5 @@ def align(prints: DataFrame, keys: list[str], query: Column, least_votes: int =
     n = F.least(F.size("cq") - x, F.size("cr") - y)
     wrong = F.aggregate(F.zip_with(F.slice("cq", x + 1, n), F.slice("cr", y + 1, n), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
     found = both.withColumn("errors", wrong / (32.0 * n)).where(F.col("errors") <= max_errors).select(F.col("q").alias("rec"), F.col("name").alias("matched"), "copies", "shift", "votes", "errors")
-    names = clips.select("rec", F.col("name").alias("recording"))
+    names = clips.select("rec", F.col("name").alias("recording"), F.col("copies").alias("own_copies"))
     return rows.where("asked").select(*keys, "rec").join(names, "rec", "left").join(found, "rec", "left").drop("rec")

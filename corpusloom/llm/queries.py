@@ -35,7 +35,7 @@ def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations")
     prints = audio.fingerprints(audio.recordings(turns, ["conv_id", "turn"]), ["conv_id", "turn"])
     out = audio.align(prints, ["conv_id", "turn"], F.coalesce(F.col("conv_id") % 50 == 0, F.lit(False)))
-    return out.select("conv_id", "turn", F.col("matched.conv_id").alias("match_conv_id"), F.col("matched.turn").alias("match_turn"), "copies", "shift", "votes", "errors")
+    return out.select("conv_id", "turn", F.col("matched.conv_id").alias("match_conv_id"), F.col("matched.turn").alias("match_turn"), "copies", "shift", "votes", "errors", F.col("recording.conv_id").alias("recording_conv_id"), F.col("recording.turn").alias("recording_turn"), "own_copies")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

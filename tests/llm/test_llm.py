@@ -224,3 +224,11 @@ def test_lines_with_one_changed_word(spark):
             rows += [(2 * len(rows), " ".join(line)), (2 * len(rows) + 1, " ".join(other))]
     got = {r["doc_id"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), similarity=0.8).collect()}
     assert got == {a for a, _ in rows[::2]}
+
+
+def test_audio_reports_own_copies(spark):
+    song = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, song), (1, song), (7, song), (50, "so short"), (51, "so short"), (52, "not the same"), (100, "")]
+    prints = audio.fingerprints(audio.recordings(spark.createDataFrame(rows, "id bigint, text string"), ["id"]), ["id"])
+    got = {r["id"]: r for r in audio.align(prints, ["id"], F.col("id").isin(7, 50, 52, 100)).collect()}
+    assert {i: (r["recording"] and r["recording"]["id"], r["own_copies"]) for i, r in got.items()} == {7: (0, 3), 50: (50, 2), 52: (52, 1), 100: (None, None)}
