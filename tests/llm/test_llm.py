@@ -232,3 +232,12 @@ def test_audio_reports_own_copies(spark):
     prints = audio.fingerprints(audio.recordings(spark.createDataFrame(rows, "id bigint, text string"), ["id"]), ["id"])
     got = {r["id"]: r for r in audio.align(prints, ["id"], F.col("id").isin(7, 50, 52, 100)).collect()}
     assert {i: (r["recording"] and r["recording"]["id"], r["own_copies"]) for i, r in got.items()} == {7: (0, 3), 50: (50, 2), 52: (52, 1), 100: (None, None)}
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, one, "y"), (1, two, "x"), (1, one, "x"), (2, two, "x"), (3, one, "a")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, one, "x"), (1, two, "x")]
