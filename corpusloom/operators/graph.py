@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,21 +27,22 @@ def second_hop(edges: DataFrame) -> DataFrame:
     return e1.join(e2, "mid").select("src", "dst").where("src <> dst").distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def affected(edges: DataFrame, changed: DataFrame, max_hops: int = 50) -> DataFrame:
+def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """``id, hops``: what reaches a changed id against the direction of references, with the fewest hops.
 
     A breadth-first walk: each round joins the frontier with the edges and leaves out what was seen; the
-    changed ids themselves are not reported.  Rounds are checkpointed.
+    changed ids themselves are not reported.  It ends when the frontier is empty.  Rounds are checkpointed.
     """
     back = edges.select(F.col("dst").alias("id"), F.col("src").alias("next"))
     seen = changed.select("id").distinct().withColumn("hops", F.lit(0))
     front = seen
-    for hop in range(1, max_hops + 1):
+    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.cache())
+    for hop in count(1):
         front = front.select("id").join(back, "id").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
-        front = front.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else front.cache()
+        front = keep(front)
         if front.isEmpty():
             break
-        seen = seen.union(front)
+        seen = seen.union(front) if hop % 10 else keep(seen.union(front).coalesce(8))
     return seen.where("hops > 0")
 
 

@@ -30,3 +30,11 @@ def test_rows(spark):
     assert got[2]["depends_on"] == [1, 9] and got[2]["bad_depends_on"] == ["TASK-7", "SPEC-001:TASK-001"] and not got[2]["checked"]
     assert [tuple(r) for r in tasks.dangling(found).collect()] == [("a", 2, 9)]
     assert {r["number"]: r["blockers"] for r in tasks.readiness(found).collect()} == {1: 0, 2: 2}
+
+
+def test_affected_walks_long_chains(spark):
+    from corpusloom.operators import graph
+
+    edges = spark.createDataFrame([(i + 1, i) for i in range(53)], "src int, dst int").coalesce(1)
+    got = graph.affected(edges, spark.createDataFrame([(0,)], "id int")).collect()
+    assert sorted((r["id"], r["hops"]) for r in got) == [(i, i) for i in range(1, 54)]
