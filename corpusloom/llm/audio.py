@@ -77,11 +77,8 @@ def fingerprint(x: np.ndarray) -> np.ndarray:
     """A 32-bit integer for each frame that has SPAN frames from it on: sixteen filters of two bits each.
 
     Each filter compares two areas of the frames-by-classes image, summed in four reads of its integral
-    image: early and late, low and high, inner and outer, or the two diagonals.  A recording too short for two
-    of them has SPAN frames of silence before and after it, so that equal ones have equal codes.
+    image: early and late, low and high, inner and outer, or the two diagonals.
     """
-    if 0 < len(x) < WINDOW + SPAN * HOP:
-        x = np.pad(x, SPAN * HOP)
     c = chroma(x)
     n = len(c) - SPAN + 1
     if n < 1:
@@ -113,16 +110,22 @@ def fingerprint(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(media: DataFrame, keys: list[str], audio_col: str = "audio") -> DataFrame:
-    """``keys`` and ``codes``, an array of integers, for every row; no codes for null, empty or unreadable audio."""
+    """``keys`` and ``codes``, an array of integers, for every row; no codes for null, short or unreadable audio.
+    ``sound`` is a digest of the samples of a recording with fewer than two codes, null for others and without samples."""
     kinds = ", ".join(f"`{k}` {media.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = b[keys].copy()
-            out["codes"] = [fingerprint(samples(a)) for a in b["__audio"]]
+            codes, sound = [], []
+            for a in b["__audio"]:
+                x = samples(a)
+                codes.append(fingerprint(x))
+                sound.append(xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) if len(x) and len(codes[-1]) < 2 else None)
+            out["codes"], out["sound"] = codes, pd.array(sound, dtype="Int64")
             yield out
 
-    return media.select(*keys, F.col(audio_col).alias("__audio")).mapInPandas(run, f"{kinds}, codes array<int>")
+    return media.select(*keys, F.col(audio_col).alias("__audio")).mapInPandas(run, f"{kinds}, codes array<int>, sound bigint")
 
 
 def recordings(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -143,7 +146,7 @@ def recordings(texts: DataFrame, keys: list[str], text_col: str = "text") -> Dat
 def align(prints: DataFrame, keys: list[str], query: Column, least_votes: int = 3, max_errors: float = 0.25) -> DataFrame:
     """Finds, for every row where ``query`` holds, the distinct recordings that it shares a passage with.
 
-    Equal code arrays are one recording, named by its smallest key, with its number of ``copies``.  Two
+    Equal code arrays (equal samples, of short ones) are one recording, named by its smallest key, with its number of ``copies``.  Two
     recordings meet on equal pairs of successive codes (of a run of equal pairs, the first); each meeting
     votes for an offset; the offset with most votes is checked by the share of bits that differ where the two
     overlap.  A pair with ``least_votes`` and at most ``max_errors`` is a match.
@@ -151,16 +154,16 @@ def align(prints: DataFrame, keys: list[str], query: Column, least_votes: int =
     Returns a row for each query row and match: ``keys``, ``recording`` (its own, a struct of keys), ``matched``, ``copies``,
     ``shift`` (frames from the query to the match), ``votes, errors``, and ``own_copies``, the rows of its own
     recording, itself included; a query without any match has one row with nulls for the match.  Recordings
-    without codes match nothing and have no ``recording``.
+    with fewer than two codes match only their copies; those without samples have no ``recording``.
     """
-    rows = written(prints.select(*keys, "codes", query.alias("asked")).withColumn("rec", F.xxhash64("codes")), "prints")
-    clips = rows.where(F.size("codes") > 1).groupBy("rec").agg(F.min(F.struct(*keys)).alias("name"), F.count("*").alias("copies"), F.first("codes").alias("codes"), F.max("asked").alias("asked"))
+    rows = written(prints.select(*keys, "codes", "sound", query.alias("asked")).withColumn("rec", F.xxhash64("codes", "sound")), "prints")
+    clips = rows.where((F.size("codes") > 1) | F.col("sound").isNotNull()).groupBy("rec").agg(F.min(F.struct(*keys)).alias("name"), F.count("*").alias("copies"), F.first("codes").alias("codes"), F.max("asked").alias("asked"))
     clips = written(clips, "clips")
     # positions are filtered before they are hashed: a filter that names the hashed array would hash all of it at each step
     code = lambda i: F.element_at("codes", i.cast("int"))
     places = F.filter(F.sequence(F.lit(1), F.size("codes") - 1), lambda i: (i == 1) | (code(F.greatest(i - 1, F.lit(1))) != code(i)) | (code(i) != code(i + 1)))
     pair = F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(code(i), code(i + 1)).alias("k")))
-    pairs = clips.select("rec", "asked", F.explode(pair).alias("p"))
+    pairs = clips.where(F.size("codes") > 1).select("rec", "asked", F.explode(pair).alias("p"))
     q = pairs.where("asked").select(F.col("rec").alias("q"), F.col("p.k").alias("k"), F.col("p.at").alias("tq"))
     r = pairs.select(F.col("rec").alias("r"), F.col("p.k").alias("k"), F.col("p.at").alias("tr"))
     votes = q.join(r, "k").where("q <> r").groupBy("q", "r", (F.col("tr") - F.col("tq")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
