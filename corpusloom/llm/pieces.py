@@ -4,6 +4,9 @@ A word's bounded-length substrings are exploded and joined to the piece table; w
 of the word's lattice, gathered by word and folded by a higher-order aggregate.  A unigram model's fold is
 Viterbi.  A BPE model's scores are merge ranks, of which the best sum isn't what the model encodes to, so its
 fold merges edges in the order of their scores; it runs on the same lattice.
+
+A word here is a stretch of text that no piece goes across, neither at a mark nor between any two characters
+that stand side by side in no piece: the shorter the words, the fewer there are to encode.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .shared import written
+from .shared import forget, hand_out, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -41,6 +45,8 @@ class Model:
     longest: int
     alone: str
     least_score: float
+    pairs: frozenset[str]
+    one_pass: bool
 
     @staticmethod
     def load(path: str = MODEL) -> Model:
@@ -57,14 +63,21 @@ class Model:
             raise ValueError("a piece goes across words")
         at = {x.piece: i for i, x in enumerate(p.pieces) if x.type == 6}
         joined = {c for x, _, _ in pieces if len(x) > 1 for c in x}
+        ranks = {x: s for x, _, s in pieces}
         return Model(
             pieces, [at[f"<0x{b:02X}>"] for b in range(256)] if len(at) == 256 else None, next(i for i, x in enumerate(p.pieces) if x.type == 2), p.trainer_spec.model_type == 1,
             max(len(x) for x, _, _ in pieces), "".join(c for c in map(chr, range(128)) if c not in joined), min(s for _, _, s in pieces),
+            frozenset(x[i : i + 2] for x, _, _ in pieces for i in range(len(x) - 1)), all(in_order(x, ranks) for x in ranks),
         )
 
+    def cut(self, chunk: str) -> list[str]:
+        """The words of a chunk: it is cut where two characters stand side by side in no piece."""
+        ends = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs]
+        return [chunk[i:j] for i, j in zip([0, *ends], [*ends, len(chunk)], strict=True)] if ends else [chunk]
+
 
 def word_pattern(model: Model) -> re.Pattern:
-    """The words of a marked text that no piece goes across: marks with what follows them, and each ASCII
+    """The chunks of a marked text that no piece goes across: marks with what follows them, and each ASCII
     character that is in no longer piece by itself."""
     alone = "".join(map(re.escape, model.alone))
     inner = f"[^{SPACE}{alone}]"
@@ -75,38 +88,45 @@ def marked(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def count_words(docs: DataFrame, text_col: str, model: Model, most: int = 400_000) -> DataFrame:
+def count_words(docs: DataFrame, text_col: str, model: Model, most: int = 200_000) -> DataFrame:
     """``word, n`` for the distinct words of all texts; tasks count before the shuffle."""
     pattern = word_pattern(model)
 
+    def words(chunks: Counter) -> pd.DataFrame:
+        seen: Counter = Counter()
+        for chunk, n in chunks.items():
+            for w in model.cut(chunk):
+                seen[w] += n
+        return pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for b in batches:
             for t in b["text"]:
                 seen.update(pattern.findall(marked(t)))
                 if len(seen) > most:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                    yield words(seen)
                     seen.clear()
         if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            yield words(seen)
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     """``word, n, edges``: for each distinct word the pieces in it, structs of start, end (exclusive), id, score.
+    A character that is no piece is an edge with a null id and score.
 
-    ``words`` comes from a grouping by word; the rows made of a word stay where it is, so gathering its edges
-    needs no further shuffle.
+    ``words`` is partitioned by word; the rows made of a word stay where it is, so gathering its edges needs no
+    further shuffle.
     """
     size = F.length("word")
     parts = words.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
     parts = parts.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s")))).alias("k"))
     parts = parts.select("word", "n", "s", "k", F.expr("substring(word, s + 1, k)").alias("piece"))
     # the piece table is the model's vocabulary: of fixed size, so it can go to every executor
-    hits = parts.join(F.broadcast(table), "piece", "left").where("id is not null or (s = 0 and k = 1)")
-    edge = F.when(F.col("id").isNotNull(), F.struct("s", (F.col("s") + F.col("k")).alias("e"), "id", "score"))
-    return hits.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    hits = parts.join(F.broadcast(table), "piece", "left").where("id is not null or k = 1")
+    return hits.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct("s", (F.col("s") + F.col("k")).alias("e"), "id", "score")).alias("edges"))
 
 
 def _let(value: Column, use) -> Column:
@@ -118,34 +138,40 @@ def _bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
 
 
-def merge_cuts(edges: Column, length: Column) -> Column:
-    """The ends of a word's pieces under a BPE model, for words of at most ``_LONG`` characters.
+def boundaries(edges: Column, length: Column, one_pass: bool) -> Column:
+    """The boundaries left by a BPE model's merges, as bits of a long, for words of at most ``_LONG`` characters.
 
-    The state is the set of boundaries.  An edge can be merged when both its ends are boundaries and just one
-    lies between; the one of the best score, the leftmost of these, is merged until none can be.
+    An edge can be merged when both its ends are boundaries and just one lies between.  The best score comes
+    first, the leftmost of equals.  If each piece of the model by itself is merged in the order of the scores
+    (:func:`in_order`), so is every word: then no merge makes room for a better one, and the fold goes over
+    the edges once.  Else it looks for the best edge again after each merge.
     """
     longer = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
     ready = F.transform(longer, lambda x: F.struct((-x["score"]).alias("r"), x["s"].alias("s"), (_bit(x["s"]) + _bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
-    ready = F.array_sort(ready)
-    start = _bit(length + 1) - F.lit(1).cast("long")
+    ready, start = F.array_sort(ready), _bit(length + 1) - F.lit(1).cast("long")
+
+    def fits(at: Column, x: Column) -> Column:
+        return (at.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(at.bitwiseAND(x["inner"])) == 1)
+
+    if one_pass:
+        return F.aggregate(ready, start, lambda at, x: F.when(fits(at, x), at.bitwiseAND(F.bitwise_not(x["inner"]))).otherwise(at))
 
     def step(state: Column, _: Column) -> Column:
-        fits = F.filter(state["edges"], lambda x: (state["at"].bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(state["at"].bitwiseAND(x["inner"])) == 1))
-        inner = F.coalesce(F.try_element_at(fits, F.lit(1))["inner"], F.lit(0).cast("long"))
+        best = F.try_element_at(F.filter(state["edges"], lambda x: fits(state["at"], x)), F.lit(1))
+        inner = F.coalesce(best["inner"], F.lit(0).cast("long"))
         return F.struct(state["at"].bitwiseAND(F.bitwise_not(inner)).alias("at"), state["edges"].alias("edges"))
 
-    at = F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.struct(start.alias("at"), ready.alias("edges")), step, lambda s: s["at"])
-    return _let(at, lambda at: F.filter(F.sequence(F.lit(1), length), lambda i: at.bitwiseAND(_bit(i)) != 0))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.struct(start.alias("at"), ready.alias("edges")), step, lambda s: s["at"])
 
 
 def viterbi_cuts(edges: Column, length: Column, longest: int, unknown: float) -> Column:
-    """The ends of a word's pieces on the path of the highest total score.
+    """The boundaries of a word's pieces on the path of the highest total score, as :func:`boundaries` gives them.
 
     Folds over positions; the state has, for each position so far, the best total and where its last edge
     starts.  A character without a piece can be passed at the score ``unknown``.  Among equals the longer
     last edge wins.
     """
-    by_end = F.transform(F.sequence(F.lit(1), length), lambda e: F.filter(edges, lambda x: x["e"] == e))
+    by_end = F.transform(F.sequence(F.lit(1), length), lambda e: F.filter(edges, lambda x: (x["e"] == e) & x["id"].isNotNull()))
     first = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("s")))
 
     def step(state: Column, at: Column) -> Column:
@@ -164,11 +190,12 @@ def viterbi_cuts(edges: Column, length: Column, longest: int, unknown: float) ->
 
         return F.aggregate(F.sequence(F.lit(1), length), F.array(length), more)
 
-    return _let(path, back)
+    return _let(path, lambda p: F.aggregate(back(p), F.lit(0).cast("long"), lambda bits, e: bits.bitwiseOR(_bit(e))).bitwiseOR(F.lit(1).cast("long")))
 
 
-def merged(word: str, score: dict[str, float]) -> list[int]:
-    """As :func:`merge_cuts` for a word of any length: a heap of the pairs that can be merged."""
+def merged(word: str, score: dict[str, float], made: list | None = None) -> list[int]:
+    """The ends of a word's pieces under a BPE model, for words of any length, by a heap of the pairs that can be
+    merged.  ``made`` gets the scores of the merges."""
     n = len(word)
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap: list = []
@@ -185,6 +212,8 @@ def merged(word: str, score: dict[str, float]) -> list[int]:
         if not alive[i] or j >= n or not alive[j] or after[i] != j or after[j] != end:
             continue
         alive[j], after[i] = False, end
+        if made is not None:
+            made.append(score[word[i:end]])
         if end < n:
             before[end] = i
         if before[i] >= 0:
@@ -193,32 +222,34 @@ def merged(word: str, score: dict[str, float]) -> list[int]:
     return [after[i] for i in range(n) if alive[i]]
 
 
-def dictionary(words: DataFrame, model: Model) -> DataFrame:
-    """``word, n, ids`` for each of the distinct words ``word, n``."""
+def in_order(piece: str, score: dict[str, float]) -> bool:
+    """Whether a piece by itself is merged whole, better scores before worse ones."""
+    made: list = []
+    return merged(piece, score, made) == [len(piece)] and made == sorted(made, reverse=True)
+
+
+def dictionary(words: DataFrame, model: Model, words_each: int = 20_000) -> DataFrame:
+    """``word, n, ids`` for each of the distinct words ``word, n``, a table: the lattice of about ``words_each`` words is a task."""
     spark = words.sparkSession
     table = spark.createDataFrame(pd.DataFrame(model.pieces, columns=["piece", "id", "score"]), "piece string, id int, score double")
-    size = F.length("word")
-    net = lattice(words if model.unigram else words.where(size <= _LONG), table, model.longest)
-    cuts = viterbi_cuts(F.col("edges"), size, model.longest, model.least_score - _UNKNOWN_PENALTY) if model.unigram else merge_cuts(F.col("edges"), size)
-
-    def ids(ends: Column) -> Column:
-        def one(e: Column, i: Column) -> Column:
-            start = F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(i, F.lit(1)).cast("int")))
-            hit = F.try_element_at(F.filter("edges", lambda x: (x["e"] == e) & (x["s"] == start)), F.lit(1))["id"]
-            return _let(hit, lambda hit: F.when(hit.isNotNull(), F.array(hit)).otherwise(_fallback(F.substring("word", start + 1, e - start), model)))
+    words, size = words.repartition(max(1, -(-words.count() // words_each)), "word"), F.length("word")
+    net = lattice(words.where(size <= _LONG), table, model.longest)
+    cuts = viterbi_cuts(F.col("edges"), size, model.longest, model.least_score - _UNKNOWN_PENALTY) if model.unigram else boundaries(F.col("edges"), size, model.one_pass)
 
-        return F.flatten(F.transform(ends, one))
+    def ids(at: Column) -> Column:
+        span = lambda x: (_bit(x["s"]) + _bit(x["e"]), _bit(x["e"]) - _bit(x["s"] + 1))
+        used = F.filter("edges", lambda x: (at.bitwiseAND(span(x)[0]) == span(x)[0]) & (at.bitwiseAND(span(x)[1]) == 0))
+        used = F.array_sort(F.transform(used, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
+        return F.flatten(F.transform(used, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(_fallback(F.substring("word", x["s"] + 1, F.lit(1)), model))))
 
     out = net.select("word", "n", _let(cuts, ids).alias("ids"))
-    if model.unigram:
-        return out
     score, at = {p: s for p, _, s in model.pieces}, {p: i for p, i, _ in model.pieces}
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for w in b["word"]:
-                ends = merged(w, score)
+                ends = best_path(w, score, model.longest, model.least_score - _UNKNOWN_PENALTY) if model.unigram else merged(w, score)
                 parts = [w[s:e] for s, e in zip([0, *ends], ends, strict=False)]
                 rows.append([i for t in parts for i in ([at[t]] if t in at else [model.bytes[c] for c in t.encode()] if model.bytes else [model.unknown])])
             yield pd.DataFrame({"word": b["word"], "n": b["n"], "ids": rows})
@@ -227,6 +258,23 @@ def dictionary(words: DataFrame, model: Model) -> DataFrame:
     return out.union(words.where(size > _LONG).mapInPandas(rest, "word string, n bigint, ids array<int>"))
 
 
+def best_path(word: str, score: dict[str, float], longest: int, unknown: float) -> list[int]:
+    """The ends of a word's pieces on the path of the highest total score, as :func:`viterbi_cuts`, for any length."""
+    total, back = [0.0], [-1]
+    for e in range(1, len(word) + 1):
+        ways = [(total[s] + score[word[s:e]], -s) for s in range(max(0, e - longest), e) if word[s:e] in score]
+        if word[e - 1 : e] not in score:
+            ways.append((total[e - 1] + unknown, 1 - e))
+        best = max(ways)
+        total.append(best[0])
+        back.append(-best[1])
+    ends, e = [], len(word)
+    while e > 0:
+        ends.append(e)
+        e = back[e]
+    return ends[::-1]
+
+
 def _fallback(char: Column, model: Model) -> Column:
     """The ids of the bytes of a character that is no piece, or the unknown piece."""
     if model.bytes is None:
@@ -239,56 +287,98 @@ def _fallback(char: Column, model: Model) -> Column:
 
 
 class Packed:
-    """Words' ids in three arrays, by sorted 64-bit digests; a lookup takes many words at once."""
+    """Words' ids in one file: sorted 64-bit digests, where each word's ids end, and the ids.
 
-    def __init__(self, digests: np.ndarray, ends: np.ndarray, ids: np.ndarray):
-        self.digests, self.ends, self.ids = digests, ends, ids
+    The file is mapped into memory, so the workers of a machine share it; a lookup takes many words at once.
+    """
+
+    def __init__(self, path: str):
+        raw = np.memmap(path, dtype=np.uint8, mode="r")
+        n = int(raw[:8].view("<u8")[0])
+        self.digests, self.ends, self.ids = raw[8 : 8 + 8 * n].view("<u8"), raw[8 + 8 * n : 8 + 16 * n].view("<u8"), raw[8 + 16 * n :].view("<i4")
 
     @staticmethod
-    def of(known: DataFrame) -> Packed:
+    def parts(known: DataFrame) -> Iterator[bytes]:
+        """The file's bytes; the driver gets the packed words a partition at a time."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({
-                    "d": [np.array([_digest(w) for w in b["word"]], dtype="<u8").tobytes()],
-                    "k": [np.array([len(x) for x in b["ids"]], dtype="<i4").tobytes()],
-                    "i": [np.concatenate([np.asarray(x, dtype="<i4") for x in b["ids"]]).tobytes() if len(b) else b""],
-                })
-
-        parts = known.select("word", "ids").mapInPandas(run, "d binary, k binary, i binary").collect()
-        d, k, i = (np.frombuffer(b"".join(p[c] for p in parts), dtype=t) for c, t in (("d", "<u8"), ("k", "<i4"), ("i", "<i4")))
-        order, starts = np.argsort(d), np.cumsum(k) - k
+                if len(b):
+                    yield pd.DataFrame({
+                        "d": [np.array([_digest(w) for w in b["word"]], dtype="<u8").tobytes()],
+                        "k": [np.array([len(x) for x in b["ids"]], dtype="<u4").tobytes()],
+                        "i": [np.concatenate([np.asarray(x, dtype="<i4") for x in b["ids"]]).tobytes()],
+                    })
+
+        parts = [(p["d"], p["k"], p["i"]) for p in known.select("word", "ids").mapInPandas(run, "d binary, k binary, i binary").toLocalIterator()]
+        d, k, i = (np.frombuffer(b"".join(p[c] for p in parts), dtype=t) for c, t in ((0, "<u8"), (1, "<u4"), (2, "<i4")))
+        del parts
+        order, starts = np.argsort(d), np.cumsum(k, dtype=np.int64) - k
         sizes = k[order].astype(np.int64)
         ends = np.cumsum(sizes)
-        from_ = np.repeat(starts[order] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
-        return Packed(d[order], ends, i[from_])
-
-    def get(self, words: list[str]) -> list[tuple | None]:
+        yield np.array([len(d)], dtype="<u8").tobytes()
+        yield d[order].tobytes()
+        yield ends.astype("<u8").tobytes()
+        for at in range(0, len(d), 1 << 16):
+            size = sizes[at : at + (1 << 16)]
+            yield i[np.repeat(starts[order[at : at + (1 << 16)]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+
+    def get(self, words: list[str]) -> list[np.ndarray | None]:
         if not len(self.digests):
             return [None] * len(words)
         d = np.fromiter(map(_digest, words), dtype=np.uint64, count=len(words))
         at = np.minimum(np.searchsorted(self.digests, d), len(self.digests) - 1)
         ok = self.digests[at] == d
-        end = self.ends[at]
-        begin = np.where(at > 0, self.ends[at - 1], 0)
-        return [tuple(self.ids[i:j].tolist()) if k else None for i, j, k in zip(begin.tolist(), end.tolist(), ok.tolist(), strict=True)]
+        end, begin = self.ends[at].astype(np.int64), np.where(at > 0, self.ends[at - 1], 0).astype(np.int64)
+        return [self.ids[i:j] if k else None for i, j, k in zip(begin.tolist(), end.tolist(), ok.tolist(), strict=True)]
 
 
 def _digest(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None, max_sent: int = 6_000_000) -> DataFrame:
+class Coder:
+    """Ids of chunks of text: of words in a :class:`Packed` file or handed over, put together and remembered."""
+
+    def __init__(self, packed: Packed, model: Model, most: int = 100_000):
+        self.packed, self.cut, self.most, self.known = packed, model.cut, most, {}
+
+    def learn(self, chunks: set[str], own: dict | None) -> dict[str, list[str]]:
+        """Remember the ids of ``chunks``; returns of those that have words without known ids these words."""
+        new = [c for c in chunks if c not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known = {}
+            new = list(chunks)
+        split = [self.cut(c) for c in new]
+        words = list({w for ws in split for w in ws})
+        ids = dict(zip(words, self.packed.get(words), strict=True))
+        if own:
+            ids |= {w: own[w] for w in words if ids[w] is None and w in own}
+        lack = {}
+        for c, ws in zip(new, split, strict=True):
+            got = [ids[w] for w in ws]
+            if any(g is None for g in got):
+                lack[c] = [w for w, g in zip(ws, got, strict=True) if g is None]
+            else:
+                self.known[c] = got[0].tobytes() if len(got) == 1 else b"".join(g.tobytes() for g in got)
+        return lack
+
+
+def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None, max_sent: int = 4_000_000) -> DataFrame:
     """``docs`` with ``piece_ids``, an array of ints, the ids that the model gives the whole text.
 
-    Null and empty texts have no ids; repeated rows are encoded each; an empty table gives none; ids are the
-    same for a word wherever it stands.  Words are counted over all documents and each distinct word is encoded
-    once.  The ids of the most frequent words, at most ``max_sent`` of them (about 25 bytes each), go to every executor as sorted
-    arrays; the words beyond that bound reach the texts that hold them by joins on the word and on the
-    text's digest.
+    Null and empty texts have no ids; repeated rows are encoded each; very long texts are encoded whole, in one
+    row; an empty table gives none; a column ``piece_ids`` of the input is replaced; ids are the same for a word
+    wherever it stands.  Words are counted over all documents and each distinct word is encoded once.  The ids of
+    the most frequent words, at most ``max_sent`` of them (about 30 bytes each), go to every executor as one
+    file of sorted arrays that Spark hands out and workers map into memory; the words beyond that bound reach the
+    texts that hold them by joins on the word and on the text's digest.
     """
     model = model or Model.load()
     spark, pattern = docs.sparkSession, word_pattern(model)
-    known = written(dictionary(count_words(docs, text_col, model), model), "dictionary")
+    counted = written(count_words(docs, text_col, model), "words")
+    known = written(dictionary(counted, model), "dictionary")
+    forget(counted)
     rates = known.groupBy("n").agg(F.count("*").alias("words"))
     rates = rates.withColumn("band", F.floor(F.log2("n") * 64)).groupBy("band").agg(F.sum("words").alias("words"), F.min("n").alias("least"))
     left, least = max_sent, None
@@ -299,32 +389,23 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
             break
         least = r["least"]
     all_sent = left >= 0
-    sent = spark.sparkContext.broadcast((lambda p: (p.digests, p.ends, p.ids))(Packed.of(known if all_sent else known.where(F.col("n") >= (least or 1 << 62)))))
+    name = hand_out(spark, "pieces", Packed.parts(known if all_sent else known.where(F.col("n") >= (least or 1 << 62))))
     fields = [f for f in docs.schema.fields if f.name != "piece_ids"]
     names = [f.name for f in fields]
     more = "array<struct<word:string,ids:array<int>>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packed, cache = Packed(*sent.value), {}
+        coder = Coder(Packed(SparkFiles.get(name)), model)
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
+            for at in range(0, len(b), 64):
+                part = b.iloc[at : at + 64]
                 split = [pattern.findall(marked(t)) for t in part["__text"]]
-                new = list({w for ws in split for w in ws} - cache.keys())
-                if len(cache) + len(new) > 100_000:
-                    cache = {}
-                    new = list({w for ws in split for w in ws})
-                cache.update(zip(new, packed.get(new), strict=True))
-                coded, missing = [], []
-                for ws, extra in zip(split, part["__more"], strict=True):
-                    own = {x["word"]: tuple(x["ids"]) for x in extra} if extra is not None else None
-                    if own:
-                        got = [own.get(w) or cache[w] for w in ws]
-                    else:
-                        got = [cache[w] for w in ws]
-                    lack = None in got
-                    missing.append(sorted({w for w, g in zip(ws, got, strict=True) if g is None}) if lack else None)
-                    coded.append([i for g in got if g for i in g])
+                own = {x["word"]: np.asarray(x["ids"], dtype="<i4") for extra in part["__more"] if extra is not None for x in extra}
+                lack = coder.learn({c for cs in split for c in cs}, own)
+                known, coded, missing = coder.known, [], []
+                for cs in split:
+                    missing.append(sorted({w for c in set(cs) if c in lack for w in lack[c]}) or None if lack else None)
+                    coded.append(np.frombuffer(b"".join([known[c] for c in cs if c in known] if lack else [known[c] for c in cs]), dtype="<i4"))
                 out = part[[f"__{k}" for k in range(len(names))]].copy()
                 out["piece_ids"], out["__missing"] = coded, missing
                 yield out
@@ -336,14 +417,14 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
     def named(rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(names)], "piece_ids")
 
-    first = apply(docs.select(*names, F.lit(None).cast(more).alias("__more")))
+    first = apply(docs.select(*[f"`{c}`" for c in names], F.lit(None).cast(more).alias("__more")))
     if all_sent:
         return named(first)
-    digest = [F.xxhash64("__text").alias("t1"), F.xxhash64("__text", F.lit(1)).alias("t2")]
+    digest = [F.xxhash64("__text").alias("__t1"), F.xxhash64("__text", F.lit(1)).alias("__t2")]
     keep = names.index(text_col)
     lacking = first.where("__missing is not null").select(F.col(f"__{keep}").alias("__text"), "__missing").select(*digest, F.explode("__missing").alias("word")).distinct()
-    found = lacking.join(known.select("word", "ids"), "word").groupBy("t1", "t2").agg(F.collect_list(F.struct("word", "ids")).alias("__more"))
-    again = docs.withColumn("__text", F.col(text_col)).select(*names, *digest).join(found, ["t1", "t2"], "left")
+    found = lacking.join(known.select("word", "ids"), "word").groupBy("__t1", "__t2").agg(F.collect_list(F.struct("word", "ids")).alias("__more"))
+    again = docs.withColumn("__text", F.col(f"`{text_col}`")).select(*[f"`{c}`" for c in names], *digest).join(found, ["__t1", "__t2"], "left")
     return named(apply(again))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,20 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def hand_out(spark: SparkSession, kind: str, parts: Iterable[bytes]) -> str:
+    """Write a file of bounded size to the shared folder and have Spark copy it to every executor; tasks open
+    ``SparkFiles.get`` of the name returned."""
+    name = f"{kind}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    for part in parts:
+        for i in range(0, len(part), 1 << 22):
+            out.write(bytearray(part[i : i + (1 << 22)]))
+    out.close()
+    spark.sparkContext.addFile(at.toString())
+    return name
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import hand_out
+
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
@@ -41,13 +41,10 @@ class DigestArray:
         self.text = words[16 + 16 * n :]
 
     @staticmethod
-    def write(path: str, strings: Iterable[str]) -> None:
+    def packed(strings: Iterable[str]) -> bytes:
         raw = sorted({s.encode() for s in strings}, key=lambda s: (xxhash.xxh64_intdigest(s), s))
         ends = np.cumsum([0, *map(len, raw)], dtype="<u8")
-        with open(path, "wb") as f:
-            for part in (np.array([len(raw)], dtype="<u8"), np.array([xxhash.xxh64_intdigest(s) for s in raw], dtype="<u8"), ends):
-                f.write(part.tobytes())
-            f.write(b"".join(raw))
+        return b"".join([np.array([len(raw)], dtype="<u8").tobytes(), np.array([xxhash.xxh64_intdigest(s) for s in raw], dtype="<u8").tobytes(), ends.tobytes(), *raw])
 
     def find(self, probes: list[bytes]) -> np.ndarray:
         """For each probe whether the set holds it."""
@@ -80,14 +77,11 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], id_col: str = "p
         raise ValueError(f"more than max_rules = {max_rules} rules")
     if bad := [r for r in [*block, *allow] if not r.endswith("/")]:
         raise ValueError(f"rules must end with '/': {bad[:3]}")
-    top, name = tempfile.mkdtemp(prefix="url-rules-"), uuid.uuid4().hex
-    for kind, rules in (("block", block), ("allow", allow)):
-        DigestArray.write(f"{top}/{name}-{kind}", rules)
-        pages.sparkSession.sparkContext.addFile(f"{top}/{name}-{kind}")
+    files = {k: hand_out(pages.sparkSession, f"urls-{k}", [DigestArray.packed(rules)]) for k, rules in (("block", block), ("allow", allow))}
     kind, longest = pages.schema[id_col].dataType.simpleString(), max(map(len, [*block, *allow]), default=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        arrays = {k: DigestArray(SparkFiles.get(f"{name}-{k}")) for k in ("block", "allow")}
+        arrays = {k: DigestArray(SparkFiles.get(name)) for k, name in files.items()}
         for b in batches:
             tried = [rule_candidates(h, p, longest) for h, p in zip(b["host"], b["path"], strict=True)]
             flat = [c.encode("utf-8", "surrogatepass") for c in (x for cs in tried for x in cs)]

@@ -161,10 +161,44 @@ def test_pieces_as_the_library(spark, docs):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    for most in (6_000_000, 5):
-        got = pieces.decode(pieces.encode(docs, max_sent=most)).collect()
-        assert len(got) == docs.count()
+    more = docs.withColumn("piece_ids", F.lit("clash")).union(spark.createDataFrame([(70, "Thedhe.### anblewh### " * 3000, "s", "x", "y"), (71, "ñ" * 70 + "é日本語" * 30 + "\x00\r\n\u2028\U0001f600", "s", "x", "y")], "doc_id bigint, text string, source string, fp string, piece_ids string"))
+    model = pieces.Model.load()
+    assert model.one_pass
+    for most, one_pass in ((4_000_000, True), (5, True), (0, False)):
+        model.one_pass = one_pass
+        got = pieces.decode(pieces.encode(more, max_sent=most, model=model)).collect()
+        assert len(got) == docs.count() + 2
         assert all(r["piece_ids"] == lib.encode(r["text"] or "") and r["decoded"] == (r["text"] or "") for r in got)
+    empty = pieces.decode(pieces.encode(docs.where("false")))
+    assert empty.count() == 0 and empty.columns == [*docs.columns, "piece_ids", "decoded"]
+
+
+def test_viterbi_as_the_library(spark, tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng, proto = np.random.default_rng(4), sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(pieces.MODEL, "rb").read())
+    table = {"".join(rng.choice(list("abc"), int(rng.integers(1, 6)))): -float(rng.integers(2, 60)) / 4 for _ in range(60)} | {c: -9.5 - i / 8 for i, c in enumerate("abc▁")} | {"▁ab": -3.0, "▁a": -2.5}
+    kept = [x for x in proto.pieces if x.type != 1]
+    del proto.pieces[:]
+    proto.pieces.extend(kept)
+    for piece, at in sorted(table.items()):
+        proto.pieces.add(piece=piece, score=at, type=1)
+    proto.trainer_spec.model_type, proto.trainer_spec.vocab_size = 1, len(proto.pieces)
+    path = str(tmp_path / "unigram.model")
+    open(path, "wb").write(proto.SerializeToString())
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model.load(path)
+    texts = ["".join(rng.choice(list("abcd  é"), int(rng.integers(1, 40)))) for _ in range(150)] + ["abc" * 40, "", None]
+    got = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model=model).collect()
+
+    def total(ids):
+        return sum(x.score if (x := proto.pieces[i]).type == 1 else 0 for i in ids), len(ids)
+
+    for r in got:
+        want = lib.encode(r["text"] or "")
+        assert "".join(lib.id_to_piece(i) for i in r["piece_ids"]) == "".join(lib.id_to_piece(i) for i in want)
+        assert total(r["piece_ids"])[0] == pytest.approx(total(want)[0], abs=1e-4)
 
 
 def test_toxicity(spark):
