@@ -12,20 +12,18 @@ that stand side by side in no piece: the shorter the words, the fewer there are
 from __future__ import annotations
 
 import heapq
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from .shared import forget, hand_out, written
+from .simhash import _mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -43,7 +41,6 @@ class Model:
     unknown: int
     unigram: bool
     longest: int
-    alone: str
     least_score: float
     pairs: frozenset[str]
     one_pass: bool
@@ -62,53 +59,102 @@ class Model:
         if any(SPACE in x.lstrip(SPACE) for x, _, _ in pieces):
             raise ValueError("a piece goes across words")
         at = {x.piece: i for i, x in enumerate(p.pieces) if x.type == 6}
-        joined = {c for x, _, _ in pieces if len(x) > 1 for c in x}
         ranks = {x: s for x, _, s in pieces}
         return Model(
             pieces, [at[f"<0x{b:02X}>"] for b in range(256)] if len(at) == 256 else None, next(i for i, x in enumerate(p.pieces) if x.type == 2), p.trainer_spec.model_type == 1,
-            max(len(x) for x, _, _ in pieces), "".join(c for c in map(chr, range(128)) if c not in joined), min(s for _, _, s in pieces),
+            max(len(x) for x, _, _ in pieces), min(s for _, _, s in pieces),
             frozenset(x[i : i + 2] for x, _, _ in pieces for i in range(len(x) - 1)), all(in_order(x, ranks) for x in ranks),
         )
 
-    def cut(self, chunk: str) -> list[str]:
-        """The words of a chunk: it is cut where two characters stand side by side in no piece."""
-        ends = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs]
-        return [chunk[i:j] for i, j in zip([0, *ends], [*ends, len(chunk)], strict=True)] if ends else [chunk]
 
+def marked(text: str | None) -> str:
+    return SPACE + text.replace(" ", SPACE) if text else ""
 
-def word_pattern(model: Model) -> re.Pattern:
-    """The chunks of a marked text that no piece goes across: marks with what follows them, and each ASCII
-    character that is in no longer piece by itself."""
-    alone = "".join(map(re.escape, model.alone))
-    inner = f"[^{SPACE}{alone}]"
-    return re.compile(f"{SPACE}*{inner}+|{SPACE}+" + (f"|[{alone}]" if alone else ""), re.DOTALL)
 
+class Words:
+    """The words of many texts at once: a text is cut where two characters stand side by side in no piece.
 
-def marked(text: str | None) -> str:
-    return SPACE + text.replace(" ", SPACE) if text else ""
+    ``digests`` has 64 bits for each word, in order, ``ends`` where it ends in ``text``, the marked texts joined,
+    and ``each`` how many words each text has.
+    """
 
+    def __init__(self, pairs: frozenset[str]):
+        chars = sorted({c for p in pairs for c in p})
+        self.kind = np.zeros(0x110000, dtype=np.uint16)
+        self.kind[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
+        self.joins = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+        first, second = (self.kind[[ord(p[i]) for p in pairs]] for i in (0, 1))
+        self.joins[first, second] = True
+
+    def read(self, texts: list) -> Words:
+        each = [marked(t) for t in texts]
+        self.text = "".join(each)
+        chars = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        kind, size = self.kind[chars], np.array([len(t) for t in each])
+        cut = np.ones(len(chars), dtype=bool)
+        cut[1:] = ~self.joins[kind[:-1], kind[1:]]
+        first = np.cumsum(size) - size
+        cut[first[size > 0]] = True
+        starts = np.flatnonzero(cut)
+        self.ends = np.append(starts[1:], len(chars)) if len(starts) else starts
+        self.digests = self._digests(chars, starts, self.ends - starts)
+        self.each = np.diff(np.searchsorted(starts, np.append(first, len(chars))))
+        self.each[size == 0] = 0
+        return self
+
+    def read_words(self, words: list[str]) -> np.ndarray:
+        """The digests of words that are words already."""
+        self.text, size = "".join(words), np.array([len(w) for w in words])
+        chars = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return self._digests(chars, np.cumsum(size) - size, size)
 
-def count_words(docs: DataFrame, text_col: str, model: Model, most: int = 200_000) -> DataFrame:
-    """``word, n`` for the distinct words of all texts; tasks count before the shuffle."""
-    pattern = word_pattern(model)
+    @staticmethod
+    def _digests(chars: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        at = np.arange(len(chars)) - np.repeat(starts, size)
+        h = _mix(chars * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        return _mix(np.add.reduceat(h, starts) + size.astype(np.uint64)) if len(starts) else np.zeros(0, dtype=np.uint64)
+
+    def word(self, i: int) -> str:
+        return self.text[self.ends[i - 1] if i else 0 : self.ends[i]]
 
-    def words(chunks: Counter) -> pd.DataFrame:
-        seen: Counter = Counter()
-        for chunk, n in chunks.items():
-            for w in model.cut(chunk):
-                seen[w] += n
-        return pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+
+def _groups(texts: list, size: int = 300_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``size`` characters each; a longer text is by itself."""
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n > size or i == len(texts) - 1:
+            yield at, i + 1
+            at, n = i + 1, 0
+
+
+def count_words(docs: DataFrame, text_col: str, model: Model, most: int = 400_000) -> DataFrame:
+    """``word, n`` for the distinct words of all texts; tasks count before the shuffle."""
+    pairs = model.pairs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        words, seen, names = Words(pairs), np.zeros((2, 0), dtype=np.uint64), {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"word": [names[d] for d in seen[0].tolist()], "n": seen[1].astype(np.int64)})
+
         for b in batches:
-            for t in b["text"]:
-                seen.update(pattern.findall(marked(t)))
-                if len(seen) > most:
-                    yield words(seen)
-                    seen.clear()
-        if seen:
-            yield words(seen)
+            texts = b["text"].tolist()
+            for i, j in _groups(texts):
+                words.read(texts[i:j])
+                new, first, n = np.unique(words.digests, return_index=True, return_counts=True)
+                for d, k in zip(new.tolist(), first.tolist(), strict=True):
+                    if d not in names:
+                        names[d] = words.word(k)
+                both, at = np.unique(np.concatenate([seen[0], new]), return_inverse=True)
+                total = np.zeros(len(both), dtype=np.uint64)
+                np.add.at(total, at, np.concatenate([seen[1], n.astype(np.uint64)]))
+                seen = np.stack([both, total])
+                if len(names) > most:
+                    yield out()
+                    seen, names = np.zeros((2, 0), dtype=np.uint64), {}
+        if names:
+            yield out()
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -298,14 +344,15 @@ class Packed:
         self.digests, self.ends, self.ids = raw[8 : 8 + 8 * n].view("<u8"), raw[8 + 8 * n : 8 + 16 * n].view("<u8"), raw[8 + 16 * n :].view("<i4")
 
     @staticmethod
-    def parts(known: DataFrame) -> Iterator[bytes]:
+    def parts(known: DataFrame, pairs: frozenset[str]) -> Iterator[bytes]:
         """The file's bytes; the driver gets the packed words a partition at a time."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cut = Words(pairs)
             for b in batches:
                 if len(b):
                     yield pd.DataFrame({
-                        "d": [np.array([_digest(w) for w in b["word"]], dtype="<u8").tobytes()],
+                        "d": [cut.read_words(b["word"].tolist()).tobytes()],
                         "k": [np.array([len(x) for x in b["ids"]], dtype="<u4").tobytes()],
                         "i": [np.concatenate([np.asarray(x, dtype="<i4") for x in b["ids"]]).tobytes()],
                     })
@@ -323,45 +370,14 @@ class Packed:
             size = sizes[at : at + (1 << 16)]
             yield i[np.repeat(starts[order[at : at + (1 << 16)]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
 
-    def get(self, words: list[str]) -> list[np.ndarray | None]:
+    def find(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin and end; from 0 to -1 for words that aren't there."""
         if not len(self.digests):
-            return [None] * len(words)
-        d = np.fromiter(map(_digest, words), dtype=np.uint64, count=len(words))
-        at = np.minimum(np.searchsorted(self.digests, d), len(self.digests) - 1)
-        ok = self.digests[at] == d
-        end, begin = self.ends[at].astype(np.int64), np.where(at > 0, self.ends[at - 1], 0).astype(np.int64)
-        return [self.ids[i:j] if k else None for i, j, k in zip(begin.tolist(), end.tolist(), ok.tolist(), strict=True)]
-
-
-def _digest(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
-class Coder:
-    """Ids of chunks of text: of words in a :class:`Packed` file or handed over, put together and remembered."""
-
-    def __init__(self, packed: Packed, model: Model, most: int = 100_000):
-        self.packed, self.cut, self.most, self.known = packed, model.cut, most, {}
-
-    def learn(self, chunks: set[str], own: dict | None) -> dict[str, list[str]]:
-        """Remember the ids of ``chunks``; returns of those that have words without known ids these words."""
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(chunks)
-        split = [self.cut(c) for c in new]
-        words = list({w for ws in split for w in ws})
-        ids = dict(zip(words, self.packed.get(words), strict=True))
-        if own:
-            ids |= {w: own[w] for w in words if ids[w] is None and w in own}
-        lack = {}
-        for c, ws in zip(new, split, strict=True):
-            got = [ids[w] for w in ws]
-            if any(g is None for g in got):
-                lack[c] = [w for w, g in zip(ws, got, strict=True) if g is None]
-            else:
-                self.known[c] = got[0].tobytes() if len(got) == 1 else b"".join(g.tobytes() for g in got)
-        return lack
+            return np.zeros(len(digests), dtype=np.int64), np.full(len(digests), -1)
+        at = np.minimum(np.searchsorted(self.digests, digests), len(self.digests) - 1)
+        ok = self.digests[at] == digests
+        begin = np.where(ok & (at > 0), self.ends[at - 1], 0).astype(np.int64)
+        return begin, np.where(ok, self.ends[at], np.uint64(0)).astype(np.int64) - ~ok
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None, max_sent: int = 4_000_000) -> DataFrame:
@@ -375,7 +391,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
     texts that hold them by joins on the word and on the text's digest.
     """
     model = model or Model.load()
-    spark, pattern = docs.sparkSession, word_pattern(model)
+    spark, pairs = docs.sparkSession, model.pairs
     counted = written(count_words(docs, text_col, model), "words")
     known = written(dictionary(counted, model), "dictionary")
     forget(counted)
@@ -389,25 +405,45 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
             break
         least = r["least"]
     all_sent = left >= 0
-    name = hand_out(spark, "pieces", Packed.parts(known if all_sent else known.where(F.col("n") >= (least or 1 << 62))))
+    name = hand_out(spark, "pieces", Packed.parts(known if all_sent else known.where(F.col("n") >= (least or 1 << 62)), pairs))
     fields = [f for f in docs.schema.fields if f.name != "piece_ids"]
     names = [f.name for f in fields]
     more = "array<struct<word:string,ids:array<int>>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(Packed(SparkFiles.get(name)), model)
+        packed, words = Packed(SparkFiles.get(name)), Words(pairs)
         for b in batches:
-            for at in range(0, len(b), 64):
-                part = b.iloc[at : at + 64]
-                split = [pattern.findall(marked(t)) for t in part["__text"]]
-                own = {x["word"]: np.asarray(x["ids"], dtype="<i4") for extra in part["__more"] if extra is not None for x in extra}
-                lack = coder.learn({c for cs in split for c in cs}, own)
-                known, coded, missing = coder.known, [], []
-                for cs in split:
-                    missing.append(sorted({w for c in set(cs) if c in lack for w in lack[c]}) or None if lack else None)
-                    coded.append(np.frombuffer(b"".join([known[c] for c in cs if c in known] if lack else [known[c] for c in cs]), dtype="<i4"))
+            texts = b["__text"].tolist()
+            for i, j in _groups(texts):
+                part = b.iloc[i:j]
+                words.read(texts[i:j])
+                own = {x["word"]: x["ids"] for extra in part["__more"] if extra is not None for x in extra}
+                new, first, back = np.unique(words.digests, return_index=True, return_inverse=True)
+                begin, end = packed.find(new)
+                ids, lacks = packed.ids, np.flatnonzero(end < 0)
+                end[lacks] = begin[lacks]
+                missing, pool, top = {}, [], len(ids)
+                for k in lacks.tolist():
+                    word = words.word(int(first[k]))
+                    if word in own:
+                        pool.append(np.asarray(own[word], dtype="<i4"))
+                        begin[k], end[k] = top, top + len(pool[-1])
+                        top += len(pool[-1])
+                    else:
+                        missing[k] = word
+                if pool:
+                    used, size = np.concatenate([np.asarray(ids[p:q]) for p, q in zip(begin.tolist(), end.tolist(), strict=True) if q <= len(ids)] + pool), end - begin
+                    stays = end <= len(ids)
+                    spot = np.where(stays, np.cumsum(np.where(stays, size, 0)) - np.where(stays, size, 0), begin - len(ids) + int(size[stays].sum()))
+                    ids, begin = used, spot
+                    end = begin + size
+                size = (end - begin)[back]
+                ends = np.cumsum(size)
+                flat = np.asarray(ids[np.repeat(begin[back] - (ends - size), size) + np.arange(int(size.sum()))])
+                cuts, spans = np.append(0, ends)[np.append(0, np.cumsum(words.each))], np.append(0, np.cumsum(words.each))
                 out = part[[f"__{k}" for k in range(len(names))]].copy()
-                out["piece_ids"], out["__missing"] = coded, missing
+                out["piece_ids"] = [flat[p:q] for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                out["__missing"] = [sorted({missing[k] for k in back[p:q].tolist() if k in missing}) or None for p, q in zip(spans[:-1].tolist(), spans[1:].tolist(), strict=True)] if missing else None
                 yield out
 
     def apply(rows: DataFrame) -> DataFrame:
@@ -434,18 +470,22 @@ def decode(rows: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded"
     model = model or Model.load()
     spark = rows.sparkSession
     text = {i: p.encode() for p, i, _ in model.pieces} | ({i: bytes([b]) for b, i in enumerate(model.bytes)} if model.bytes else {}) | {model.unknown: " ⁇ ".encode()}
-    sent = spark.sparkContext.broadcast(text)
+    none = 1 + max(text)
+    sent = spark.sparkContext.broadcast([text.get(i, b"") for i in range(none + 1)])
 
     @F.pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        get = sent.value.get
-
-        def one(x) -> str | None:
+    def run(rows: pd.Series) -> pd.Series:
+        size = np.array([len(t) for t in sent.value])
+        first, chars, out = np.cumsum(size) - size, np.frombuffer(b"".join(sent.value), dtype=np.uint8), []
+        for x in rows:
             if x is None:
-                return None
-            t = b"".join([get(i, b"") for i in x]).decode("utf-8", "replace").replace(SPACE, " ")
-            return t[1:] if t.startswith(" ") else t
-
-        return ids.map(one)
+                out.append(None)
+                continue
+            x = np.asarray(x, dtype=np.int64)
+            x = np.where((x < 0) | (x > none), none, x)
+            n = size[x]
+            t = chars[np.repeat(first[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
+            out.append(t[1:] if t.startswith(" ") else t)
+        return pd.Series(out, index=rows.index, dtype=object)
 
     return rows.withColumn(out_col, run(F.col(ids_col)))
