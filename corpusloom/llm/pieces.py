@@ -159,20 +159,36 @@ def count_words(docs: DataFrame, text_col: str, model: Model, most: int = 400_00
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """``word, n, edges``: for each distinct word the pieces in it, structs of start, end (exclusive), id, score.
-    A character that is no piece is an edge with a null id and score.
+#: Single characters below this code point are looked up in an array of that size, not joined.
+_PLAIN = 592
+
+
+def lattice(words: DataFrame, table: DataFrame, longest: int, plain: int = _PLAIN) -> DataFrame:
+    """``word, n, edges``: for each distinct word the pieces in it.
+
+    An edge is a struct of ``rank`` (that of its score, the best first, times 64, plus its start), ``ends`` (the bits
+    of its two boundaries), ``inner`` (the bits between), ``place`` (its start times 2^32, plus the id), ``s, e``
+    (start and exclusive end) and ``score``.  Pieces of one character below
+    code point ``plain`` aren't among them.
 
     ``words`` is partitioned by word; the rows made of a word stay where it is, so gathering its edges needs no
     further shuffle.
     """
-    size = F.length("word")
+    size, one = F.length("word"), F.lit(1).cast("long")
     parts = words.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    parts = parts.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s")))).alias("k"))
+    least = F.when(F.ascii(F.substring("word", F.col("s") + 1, F.lit(1))) < plain, 2).otherwise(1)
+    most = F.least(F.lit(longest), size - F.col("s"))
+    parts = parts.select("word", "n", "s", F.explode_outer(F.when(most >= least, F.sequence(least, most))).alias("k"))
     parts = parts.select("word", "n", "s", "k", F.expr("substring(word, s + 1, k)").alias("piece"))
     # the piece table is the model's vocabulary: of fixed size, so it can go to every executor
-    hits = parts.join(F.broadcast(table), "piece", "left").where("id is not null or k = 1")
-    return hits.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct("s", (F.col("s") + F.col("k")).alias("e"), "id", "score")).alias("edges"))
+    hits = parts.join(F.broadcast(table), "piece", "left").where("id is not null or s = 0 and coalesce(k, 2) <= 2")
+    long = lambda c: F.col(c).cast("long")
+    bit = lambda n: F.call_function("shiftleft", one, n)
+    edge = F.struct(
+        (long("rank") * 64 + F.col("s")).alias("rank"), (bit(F.col("s")) + bit(F.col("s") + F.col("k"))).alias("ends"), (bit(F.col("s") + F.col("k")) - bit(F.col("s") + 1)).alias("inner"),
+        (F.call_function("shiftleft", long("s"), F.lit(32)) + F.col("id")).alias("place"), "s", (F.col("s") + F.col("k")).alias("e"), "score",
+    )
+    return hits.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
 
 
 def _let(value: Column, use) -> Column:
@@ -192,9 +208,7 @@ def boundaries(edges: Column, length: Column, one_pass: bool) -> Column:
     (:func:`in_order`), so is every word: then no merge makes room for a better one, and the fold goes over
     the edges once.  Else it looks for the best edge again after each merge.
     """
-    longer = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
-    ready = F.transform(longer, lambda x: F.struct((-x["score"]).alias("r"), x["s"].alias("s"), (_bit(x["s"]) + _bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
-    ready, start = F.array_sort(ready), _bit(length + 1) - F.lit(1).cast("long")
+    ready, start = F.sort_array(F.transform(edges, lambda x: F.struct(x["rank"].alias("rank"), x["ends"].alias("ends"), x["inner"].alias("inner")))), _bit(length + 1) - F.lit(1).cast("long")
 
     def fits(at: Column, x: Column) -> Column:
         return (at.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(at.bitwiseAND(x["inner"])) == 1)
@@ -217,7 +231,7 @@ def viterbi_cuts(edges: Column, length: Column, longest: int, unknown: float) ->
     starts.  A character without a piece can be passed at the score ``unknown``.  Among equals the longer
     last edge wins.
     """
-    by_end = F.transform(F.sequence(F.lit(1), length), lambda e: F.filter(edges, lambda x: (x["e"] == e) & x["id"].isNotNull()))
+    by_end = F.transform(F.sequence(F.lit(1), length), lambda e: F.filter(edges, lambda x: x["e"] == e))
     first = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("s")))
 
     def step(state: Column, at: Column) -> Column:
@@ -277,16 +291,35 @@ def in_order(piece: str, score: dict[str, float]) -> bool:
 def dictionary(words: DataFrame, model: Model, words_each: int = 20_000) -> DataFrame:
     """``word, n, ids`` for each of the distinct words ``word, n``, a table: the lattice of about ``words_each`` words is a task."""
     spark = words.sparkSession
-    table = spark.createDataFrame(pd.DataFrame(model.pieces, columns=["piece", "id", "score"]), "piece string, id int, score double")
+    pieces = pd.DataFrame(model.pieces, columns=["piece", "id", "score"])
+    pieces["rank"] = (-pieces["score"]).rank(method="dense").astype(int)
+    plain = [-1] * _PLAIN
+    if not model.unigram:  # a single character is of no use to merges
+        for p, i, _ in model.pieces:
+            if len(p) == 1 and ord(p) < _PLAIN:
+                plain[ord(p)] = i
+    table = spark.createDataFrame(pieces, "piece string, id int, score double, rank int")
     words, size = words.repartition(max(1, -(-words.count() // words_each)), "word"), F.length("word")
-    net = lattice(words.where(size <= _LONG), table, model.longest)
+    net = lattice(words.where(size <= _LONG), table, model.longest, 0 if model.unigram else _PLAIN)
     cuts = viterbi_cuts(F.col("edges"), size, model.longest, model.least_score - _UNKNOWN_PENALTY) if model.unigram else boundaries(F.col("edges"), size, model.one_pass)
+    spot, low = lambda i: F.call_function("shiftleft", i.cast("long"), F.lit(32)), F.lit((1 << 32) - 1)
+    known = F.lit(bytearray(b"".join(i.to_bytes(4, "big", signed=True) for i in plain)))
+
+    def singles(at: Column, used: Column) -> Column:
+        held = F.aggregate(used, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(_bit(F.call_function("shiftright", x, F.lit(32)))))
+        alone = _let(at.bitwiseAND(F.bitwise_not(held)), lambda bits: F.filter(F.sequence(F.lit(0), size - 1), lambda i: bits.bitwiseAND(_bit(i)) != 0))
+        codes = F.transform(alone, lambda i: F.struct(i.alias("i"), F.ascii(F.substring("word", i + 1, F.lit(1))).alias("c")))
+        return F.transform(codes, lambda x: spot(x["i"]) + F.when(x["c"] < _PLAIN, F.conv(F.hex(F.substring(known, 4 * x["c"] + 1, F.lit(4))), 16, 10).cast("long")).otherwise(low))
 
     def ids(at: Column) -> Column:
-        span = lambda x: (_bit(x["s"]) + _bit(x["e"]), _bit(x["e"]) - _bit(x["s"] + 1))
-        used = F.filter("edges", lambda x: (at.bitwiseAND(span(x)[0]) == span(x)[0]) & (at.bitwiseAND(span(x)[1]) == 0))
-        used = F.array_sort(F.transform(used, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
-        return F.flatten(F.transform(used, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(_fallback(F.substring("word", x["s"] + 1, F.lit(1)), model))))
+        used = F.transform(F.filter("edges", lambda x: (at.bitwiseAND(x["ends"]) == x["ends"]) & (at.bitwiseAND(x["inner"]) == 0)), lambda x: x["place"])
+        return _let(_let(used, lambda used: F.sort_array(F.concat(used, singles(at, used)))), named)
+
+    def named(each: Column) -> Column:
+        one = lambda x: x.bitwiseAND(low)
+        fast = F.transform(each, lambda x: one(x).cast("int"))
+        slow = F.flatten(F.transform(each, lambda x: F.when(one(x) != low, F.array(one(x).cast("int"))).otherwise(_fallback(F.substring("word", F.call_function("shiftright", x, F.lit(32)).cast("int") + 1, F.lit(1)), model))))
+        return F.when(F.exists(each, lambda x: one(x) == low), slow).otherwise(fast)
 
     out = net.select("word", "n", _let(cuts, ids).alias("ids"))
     score, at = {p: s for p, _, s in model.pieces}, {p: i for p, i, _ in model.pieces}
