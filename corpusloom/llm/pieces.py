@@ -413,7 +413,7 @@ class Packed:
         return begin, np.where(ok, self.ends[at], np.uint64(0)).astype(np.int64) - ~ok
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None, max_sent: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None, max_sent: int = 4_000_000, decoded_col: str | None = None) -> DataFrame:
     """``docs`` with ``piece_ids``, an array of ints, the ids that the model gives the whole text.
 
     Null and empty texts have no ids; repeated rows are encoded each; very long texts are encoded whole, in one
@@ -421,7 +421,8 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
     wherever it stands.  Words are counted over all documents and each distinct word is encoded once.  The ids of
     the most frequent words, at most ``max_sent`` of them (about 30 bytes each), go to every executor as one
     file of sorted arrays that Spark hands out and workers map into memory; the words beyond that bound reach the
-    texts that hold them by joins on the word and on the text's digest.
+    texts that hold them by joins on the word and on the text's digest.  With a ``decoded_col`` the same tasks
+    decode the ids into that column, as :func:`decode` would in tasks of its own.
     """
     model = model or Model.load()
     spark, pairs = docs.sparkSession, model.pairs
@@ -439,7 +440,8 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
         least = r["least"]
     all_sent = left >= 0
     name = hand_out(spark, "pieces", Packed.parts(known if all_sent else known.where(F.col("n") >= (least or 1 << 62)), pairs))
-    fields = [f for f in docs.schema.fields if f.name != "piece_ids"]
+    back = spark.sparkContext.broadcast(Texts(model) if decoded_col else None)
+    fields = [f for f in docs.schema.fields if f.name not in ("piece_ids", decoded_col)]
     names = [f.name for f in fields]
     more = "array<struct<word:string,ids:array<int>>>"
 
@@ -451,7 +453,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
                 part = b.iloc[i:j]
                 words.read(texts[i:j])
                 own = {x["word"]: x["ids"] for extra in part["__more"] if extra is not None for x in extra}
-                new, first, back = np.unique(words.digests, return_index=True, return_inverse=True)
+                new, first, which = np.unique(words.digests, return_index=True, return_inverse=True)
                 begin, end = packed.find(new)
                 ids, lacks = packed.ids, np.flatnonzero(end < 0)
                 end[lacks] = begin[lacks]
@@ -470,21 +472,23 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
                     spot = np.where(stays, np.cumsum(np.where(stays, size, 0)) - np.where(stays, size, 0), begin - len(ids) + int(size[stays].sum()))
                     ids, begin = used, spot
                     end = begin + size
-                size = (end - begin)[back]
+                size = (end - begin)[which]
                 ends = np.cumsum(size)
-                flat = np.asarray(ids[np.repeat(begin[back] - (ends - size), size) + np.arange(int(size.sum()))])
+                flat = np.asarray(ids[np.repeat(begin[which] - (ends - size), size) + np.arange(int(size.sum()))])
                 cuts, spans = np.append(0, ends)[np.append(0, np.cumsum(words.each))], np.append(0, np.cumsum(words.each))
                 out = part[[f"__{k}" for k in range(len(names))]].copy()
                 out["piece_ids"] = [flat[p:q] for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                out["__missing"] = [sorted({missing[k] for k in back[p:q].tolist() if k in missing}) or None for p, q in zip(spans[:-1].tolist(), spans[1:].tolist(), strict=True)] if missing else None
+                if back.value:
+                    out["__decoded"] = [back.value.of(x) for x in out["piece_ids"]]
+                out["__missing"] = [sorted({missing[k] for k in which[p:q].tolist() if k in missing}) or None for p, q in zip(spans[:-1].tolist(), spans[1:].tolist(), strict=True)] if missing else None
                 yield out
 
     def apply(rows: DataFrame) -> DataFrame:
-        schema = ", ".join(f"__{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)) + ", piece_ids array<int>, __missing array<string>"
+        schema = ", ".join(f"__{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)) + ", piece_ids array<int>" + (", __decoded string" if decoded_col else "") + ", __missing array<string>"
         return rows.select(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(names)], F.col(f"`{text_col}`").alias("__text"), "__more").mapInPandas(run, schema)
 
     def named(rows: DataFrame) -> DataFrame:
-        return rows.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(names)], "piece_ids")
+        return rows.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(names)], "piece_ids", *([F.col("__decoded").alias(decoded_col)] if decoded_col else []))
 
     first = apply(docs.select(*[f"`{c}`" for c in names], F.lit(None).cast(more).alias("__more")))
     if all_sent:
@@ -497,28 +501,34 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
     return named(apply(again))
 
 
+class Texts:
+    """Texts of ids: pieces joined, byte pieces as their bytes, the marks as spaces and the first dropped."""
+
+    def __init__(self, model: Model):
+        text = {i: p.encode() for p, i, _ in model.pieces} | ({i: bytes([b]) for b, i in enumerate(model.bytes)} if model.bytes else {}) | {model.unknown: " ⁇ ".encode()}
+        self.none = 1 + max(text)
+        each = [text.get(i, b"") for i in range(self.none + 1)]
+        self.size = np.array([len(t) for t in each])
+        self.first, self.chars = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(each), dtype=np.uint8)
+
+    def of(self, ids: np.ndarray | None) -> str | None:
+        if ids is None:
+            return None
+        x = np.asarray(ids, dtype=np.int64)
+        x = np.where((x < 0) | (x > self.none), self.none, x)
+        n = self.size[x]
+        t = self.chars[np.repeat(self.first[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
+        return t[1:] if t.startswith(" ") else t
+
+
 def decode(rows: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded", model: Model | None = None) -> DataFrame:
-    """``rows`` with the text of their ids: pieces joined, byte pieces as their bytes, the marks as spaces and the first
-    dropped.  Null ids give null, unknown pieces U+2047 between spaces."""
-    model = model or Model.load()
-    spark = rows.sparkSession
-    text = {i: p.encode() for p, i, _ in model.pieces} | ({i: bytes([b]) for b, i in enumerate(model.bytes)} if model.bytes else {}) | {model.unknown: " ⁇ ".encode()}
-    none = 1 + max(text)
-    sent = spark.sparkContext.broadcast([text.get(i, b"") for i in range(none + 1)])
+    """``rows`` with the text of their ids.  Null ids give null, none an empty text, unknown pieces U+2047 between
+    spaces, ids that are no piece nothing; a column ``out_col`` of the input is replaced."""
+    texts = Texts(model or Model.load())
+    sent = rows.sparkSession.sparkContext.broadcast(texts)
 
     @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
-        size = np.array([len(t) for t in sent.value])
-        first, chars, out = np.cumsum(size) - size, np.frombuffer(b"".join(sent.value), dtype=np.uint8), []
-        for x in rows:
-            if x is None:
-                out.append(None)
-                continue
-            x = np.asarray(x, dtype=np.int64)
-            x = np.where((x < 0) | (x > none), none, x)
-            n = size[x]
-            t = chars[np.repeat(first[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
-            out.append(t[1:] if t.startswith(" ") else t)
-        return pd.Series(out, index=rows.index, dtype=object)
+    def run(ids: pd.Series) -> pd.Series:
+        return ids.map(sent.value.of)
 
     return rows.withColumn(out_col, run(F.col(ids_col)))

@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), decoded_col="decoded")
     return coded.select("doc_id", F.size("piece_ids").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
 
