@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .shared import forget, hand_out, written
+from .shared import forget, groups_of, hand_out, let, written
 from .simhash import _mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -118,16 +118,6 @@ class Words:
         return self.text[self.ends[i - 1] if i else 0 : self.ends[i]]
 
 
-def _groups(texts: list, size: int = 300_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``size`` characters each; a longer text is by itself."""
-    at, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
-        if n > size or i == len(texts) - 1:
-            yield at, i + 1
-            at, n = i + 1, 0
-
-
 def count_words(docs: DataFrame, text_col: str, model: Model, most: int = 400_000) -> DataFrame:
     """``word, n`` for the distinct words of all texts; tasks count before the shuffle."""
     pairs = model.pairs
@@ -140,7 +130,7 @@ def count_words(docs: DataFrame, text_col: str, model: Model, most: int = 400_00
 
         for b in batches:
             texts = b["text"].tolist()
-            for i, j in _groups(texts):
+            for i, j in groups_of(texts):
                 words.read(texts[i:j])
                 new, first, n = np.unique(words.digests, return_index=True, return_counts=True)
                 for d, k in zip(new.tolist(), first.tolist(), strict=True):
@@ -191,11 +181,6 @@ def lattice(words: DataFrame, table: DataFrame, longest: int, plain: int = _PLAI
     return hits.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
 
@@ -246,11 +231,11 @@ def viterbi_cuts(edges: Column, length: Column, longest: int, unknown: float) ->
 
     def back(starts: Column) -> Column:
         def more(out: Column, _: Column) -> Column:
-            return _let(F.element_at(starts, F.element_at(out, 1) + 1), lambda s: F.when(s > 0, F.concat(F.array(s), out)).otherwise(out))
+            return let(F.element_at(starts, F.element_at(out, 1) + 1), lambda s: F.when(s > 0, F.concat(F.array(s), out)).otherwise(out))
 
         return F.aggregate(F.sequence(F.lit(1), length), F.array(length), more)
 
-    return _let(path, lambda p: F.aggregate(back(p), F.lit(0).cast("long"), lambda bits, e: bits.bitwiseOR(_bit(e))).bitwiseOR(F.lit(1).cast("long")))
+    return let(path, lambda p: F.aggregate(back(p), F.lit(0).cast("long"), lambda bits, e: bits.bitwiseOR(_bit(e))).bitwiseOR(F.lit(1).cast("long")))
 
 
 def merged(word: str, score: dict[str, float], made: list | None = None) -> list[int]:
@@ -307,13 +292,13 @@ def dictionary(words: DataFrame, model: Model, words_each: int = 20_000) -> Data
 
     def singles(at: Column, used: Column) -> Column:
         held = F.aggregate(used, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(_bit(F.call_function("shiftright", x, F.lit(32)))))
-        alone = _let(at.bitwiseAND(F.bitwise_not(held)), lambda bits: F.filter(F.sequence(F.lit(0), size - 1), lambda i: bits.bitwiseAND(_bit(i)) != 0))
+        alone = let(at.bitwiseAND(F.bitwise_not(held)), lambda bits: F.filter(F.sequence(F.lit(0), size - 1), lambda i: bits.bitwiseAND(_bit(i)) != 0))
         codes = F.transform(alone, lambda i: F.struct(i.alias("i"), F.ascii(F.substring("word", i + 1, F.lit(1))).alias("c")))
         return F.transform(codes, lambda x: spot(x["i"]) + F.when(x["c"] < _PLAIN, F.conv(F.hex(F.substring(known, 4 * x["c"] + 1, F.lit(4))), 16, 10).cast("long")).otherwise(low))
 
     def ids(at: Column) -> Column:
         used = F.transform(F.filter("edges", lambda x: (at.bitwiseAND(x["ends"]) == x["ends"]) & (at.bitwiseAND(x["inner"]) == 0)), lambda x: x["place"])
-        return _let(_let(used, lambda used: F.sort_array(F.concat(used, singles(at, used)))), named)
+        return let(let(used, lambda used: F.sort_array(F.concat(used, singles(at, used)))), named)
 
     def named(each: Column) -> Column:
         one = lambda x: x.bitwiseAND(low)
@@ -321,7 +306,7 @@ def dictionary(words: DataFrame, model: Model, words_each: int = 20_000) -> Data
         slow = F.flatten(F.transform(each, lambda x: F.when(one(x) != low, F.array(one(x).cast("int"))).otherwise(_fallback(F.substring("word", F.call_function("shiftright", x, F.lit(32)).cast("int") + 1, F.lit(1)), model))))
         return F.when(F.exists(each, lambda x: one(x) == low), slow).otherwise(fast)
 
-    out = net.select("word", "n", _let(cuts, ids).alias("ids"))
+    out = net.select("word", "n", let(cuts, ids).alias("ids"))
     score, at = {p: s for p, _, s in model.pieces}, {p: i for p, i, _ in model.pieces}
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -449,7 +434,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: Model | None = None,
         packed, words = Packed(SparkFiles.get(name)), Words(pairs)
         for b in batches:
             texts = b["__text"].tolist()
-            for i, j in _groups(texts):
+            for i, j in groups_of(texts):
                 part = b.iloc[i:j]
                 words.read(texts[i:j])
                 own = {x["word"]: x["ids"] for extra in part["__more"] if extra is not None for x in extra}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -122,6 +122,21 @@ def links_of_meetings(meets: DataFrame, similarity: float, alike, rounds: int =
     return links
 
 
+def groups_of(texts: list, size: int = 300_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``size`` characters each; a longer text is by itself."""
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n > size or i == len(texts) - 1:
+            yield at, i + 1
+            at, n = i + 1, 0
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 class Forest:
     """Union-find over positions 0..n-1 of one task's rows."""
 

@@ -116,7 +116,7 @@ def test_edit_distance_and_lines(spark):
     rows = [(1, f"first\n{long}"), (2, f"{long.upper()}\nkept here"), (3, long + " "), (4, None), (5, ""), (6, "too short\ntoo short")]
     out = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert out[1]["text"] == rows[0][1] and out[2]["text"] == "kept here" and 3 not in out
-    assert out[4]["text"] is None and out[5]["text"] == "" and out[6]["lines_dropped"] == 0
+    assert out[4]["text"] is None and out[5]["text"] == "" and out[6]["lines_dropped"] == 1 and out[6]["text"] == "too short"
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
