@@ -19,11 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -93,13 +93,14 @@ def _mark(edges: DataFrame) -> tuple:
 def links_of_meetings(meets: DataFrame, similarity: float, alike, rounds: int = 2) -> DataFrame:
     """``a, b``: links for which ``alike`` holds, that join what all such pairs of a meeting place would join.
 
-    ``meets`` has ``variant, gid, size``; sizes further apart than ``similarity`` can't be alike.  ``alike`` keeps
+    ``meets`` has ``variant, gid`` and, if known, ``size``; sizes further apart than ``similarity`` can't be alike.  ``alike`` keeps
     of distinct pairs ``a, b`` those that are.  In the first ``rounds``, a place's rows are held against one of
     them, another each time; then all its pairs that aren't joined yet are.  So a large group of copies costs
     a pair for each of its rows and not for each two of them.
     """
     links = tried = None
-    fits = F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b") - 1e-9
+    sized = [c for c in ("size",) if c in meets.columns]
+    fits = F.least("size", "size_b") >= F.lit(similarity) * F.greatest("size", "size_b") - 1e-9 if sized else F.lit(True)
     pair = (F.greatest("gid", "gid_b").alias("a"), F.least("gid", "gid_b").alias("b"))
     for turn in range(rounds + 1):
         if links is None:
@@ -110,10 +111,10 @@ def links_of_meetings(meets: DataFrame, similarity: float, alike, rounds: int =
             mixed = placed.groupBy("variant").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("variant")
             placed = written(placed.join(mixed, "variant"), "mixed")
         if turn < rounds:
-            lead = F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), "gid", "size", "root")).alias("lead")
-            other = placed.groupBy("variant").agg(lead).select("variant", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("gid", "size", "root")])
+            lead = F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), "gid", *sized, "root")).alias("lead")
+            other = placed.groupBy("variant").agg(lead).select("variant", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("gid", *sized, "root")])
         else:
-            other = placed.select("variant", *[F.col(c).alias(f"{c}_b") for c in ("gid", "size", "root")])
+            other = placed.select("variant", *[F.col(c).alias(f"{c}_b") for c in ("gid", *sized, "root")])
         pairs = placed.join(other, "variant").where("root <> root_b").where(fits).select(*pair).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         good = written(alike(pairs), "links")
