@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import hand_out, written
 from .simhash import LOWER
 
 END = b"\n"
@@ -104,10 +105,11 @@ class Filter:
             keys, levels = keys[levels >= level], levels[levels >= level]
         return np.packbits(bits, bitorder="little").tobytes()
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray, top: int = 64, first: int = 0) -> np.ndarray:
+        """Levels of keys, ``top`` at most; ``bits`` starts with segment ``first``."""
         out, left, level = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
-        base = self.segment(keys) * self.size
-        while len(left):
+        base = (self.segment(keys) - first) * self.size
+        while len(left) and level <= top:
             near, start = keys[left], base[left]
             keep = np.arange(len(left))
             for at in self.spots(near, level):
@@ -144,19 +146,22 @@ def _unsteps(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _build(train: DataFrame, tokens: int, max_bits: int) -> Filter:
-    """The filter of all single tokens and pairs of ``train``, of at most ``max_bits`` bits however many there
-    are.  Tasks count their keys and send them, packed, to the segments they belong to; a segment's task sums
-    the counts and sets the bits; the driver gets no more than the filter."""
-    bits = 1 << int(np.clip(np.ceil(np.log2(12.0 * max(1, tokens))), 16, np.log2(max_bits)))
+def _shape(tokens: int) -> Filter:
+    """12 bits for each training token, however many there are: no count of distinct pairs is too many for that."""
+    bits = 1 << max(16, int(np.ceil(np.log2(12.0 * max(1, tokens)))))
     n = max(1, bits >> 20, 1 << int(np.ceil(np.log2(max(1, tokens / 1_000_000)))))
-    shape = Filter(n, bits // n)
+    return Filter(n, bits // n)
+
+
+def _segments(train: DataFrame, shape: Filter) -> DataFrame:
+    """``seg, bits``: the filter of all single tokens and pairs of ``train``.  Tasks count their keys and send them,
+    packed, to the segments they belong to; a segment's task sums the counts and sets the bits."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digests, held, size = _Digests(), [], 0
 
         def out() -> pd.DataFrame:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
             seg = shape.segment(keys)
             cuts = np.flatnonzero(np.diff(seg, prepend=-1))
             ends = [*cuts[1:], len(keys)]
@@ -178,19 +183,38 @@ def _build(train: DataFrame, tokens: int, max_bits: int) -> Filter:
         keys, at = np.unique(keys, return_inverse=True)
         return pd.DataFrame({"seg": [key[0]], "bits": [shape.build(keys, np.bincount(at, counts, len(keys)))]})
 
-    shape.bits = np.zeros(bits // 8, dtype=np.uint8)
-    width = shape.size // 8
-    for r in train.mapInPandas(send, "seg int, keys binary, counts binary").groupBy("seg").applyInPandas(gather, "seg int, bits binary").toLocalIterator():
-        shape.bits[r["seg"] * width : (r["seg"] + 1) * width] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return shape
+    return train.mapInPandas(send, "seg int, keys binary, counts binary").groupBy("seg").applyInPandas(gather, "seg int, bits binary")
+
+
+def _in_order(segments: DataFrame, shape: Filter) -> Iterator[bytes]:
+    """The filter's bytes, a segment at a time."""
+    at, none = 0, bytes(shape.size // 8)
+    for r in segments.orderBy("seg").toLocalIterator():
+        yield none * (r["seg"] - at)
+        yield r["bits"]
+        at = r["seg"] + 1
+    yield none * (shape.n - at)
+
+
+class _Answers:
+    """Levels of keys that were asked for, in place of the filter they were read from."""
 
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.read = keys[order], levels[order]
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", pull: float = 2.0, share: float = 1.0, max_bits: int = 1 << 29, max_frequent: int = 1 << 17) -> DataFrame:
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.read[np.searchsorted(self.keys, keys)] if len(keys) else np.zeros(0, dtype=np.int64)
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", pull: float = 2.0, share: float = 1.0, max_bits: int = 1 << 31, max_frequent: int = 1 << 17) -> DataFrame:
     """Every row's ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The base is the exact unigram score.  ``score`` is the log10 probability under a smoothed bigram model:
     (c(before, word) + m * base probability) / (c(before) + m) with m = pull + share * c(before), the counts
-    read from the filter, which is broadcast (at most ``max_bits``).  Counts of the ``max_frequent`` most frequent tokens are broadcast
+    read from the filter, of 12 bits for each training token.  Up to ``max_bits`` it goes to every executor as one
+    file that Spark hands out and workers map into memory; a larger one stays in its segments, to which the distinct
+    keys of each chunk of documents are sent, and the levels read there come back: the scores are the same.  Counts of the ``max_frequent`` most frequent tokens are broadcast
     too; those of all others reach the documents by a join on the token's digest.
 
     Null texts are empty: one token, the end.  Rows with a null id are not held out.  Repeated rows are scored
@@ -204,46 +228,84 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, rest = total["n"], total["n"] + 0.5 * (total["v"] + 1)
     top = sorted((r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(max_frequent).collect())
-    grams = _build(train, n, max_bits)
-    sent = spark.sparkContext.broadcast((grams.n, grams.size, grams.bits, np.array([h for h, _ in top], dtype=np.int64), np.array([c for _, c in top], dtype=np.float64)))
-    del grams, top
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n_segments, size, bits, hot, hot_n = sent.value
-        grams, digests = Filter(n_segments, size, bits=bits), _Digests()
-        hot, hot_n = (hot, hot_n) if len(hot) else (np.zeros(1, np.int64), np.zeros(1))
-        for b in batches:
-            texts, frames = b["text"].tolist(), []
-            for i, j in _pieces(b["text"]):
-                h, before, sizes = pairs_of(texts[i:j], digests)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                known, at = np.unique(h, return_inverse=True)
-                spot = np.clip(np.searchsorted(hot, known.view(np.int64)), 0, len(hot) - 1)
-                exact = (hot[spot] == known.view(np.int64)) & (hot_n[spot] > 0)
-                count = np.where(exact, hot_n[spot], 0.0)
-                count[~exact] = grams.middle(grams.levels(pair_keys(np.zeros(1, np.uint64), known[~exact])))
-                history, back = np.unique(before, return_inverse=True)
-                seen = _lookup(history, known, count, hot, hot_n, grams)[back]
-                both = np.minimum(grams.middle(grams.levels(pair_keys(before, h))), seen)
-                one = (count + 0.5)[at] / rest
-                mass = pull + share * seen
-                logs = np.log10((both + mass * one) / (seen + mass))
-                plain = np.where(exact, np.log10((count + 0.5) / rest), 0.0)[at]
-                rare = ~exact[at]
-                rows = np.repeat(np.arange(len(sizes)), sizes)[rare]
-                tf = Counter(zip(rows.tolist(), h.view(np.int64)[rare].tolist(), strict=True))
-                lists: list[tuple[list, list]] = [([], []) for _ in sizes]
-                for (r, key), times in tf.items():
-                    lists[r][0].append(key)
-                    lists[r][1].append(times)
-                frames.append(pd.DataFrame({
-                    "uid": b["uid"].iloc[i:j], "id": b["id"].iloc[i:j], "held": b["held"].iloc[i:j], "tokens": sizes,
-                    "known": np.add.reduceat((~rare).astype(np.int64), starts), "plain": np.add.reduceat(plain, starts), "score": np.add.reduceat(logs, starts),
-                    "rare": [x[0] for x in lists], "times": [x[1] for x in lists],
-                }))
-            yield from frames
-
-    each = base.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(run, f"uid bigint, id {kind}, held boolean, tokens bigint, known bigint, plain double, score double, rare array<bigint>, times array<int>")
+    shape, most = _shape(n), int(Filter.level(np.array([n]))[0])
+    segments = _segments(train, shape)
+    sent = spark.sparkContext.broadcast((np.array([h for h, _ in top], dtype=np.int64), np.array([c for _, c in top], dtype=np.float64)))
+    del top
+
+    def frequent() -> tuple[np.ndarray, np.ndarray]:
+        return sent.value if len(sent.value[0]) else (np.zeros(1, np.int64), np.zeros(1))
+
+    def scored(b: pd.DataFrame, levels, digests: _Digests) -> Iterator[pd.DataFrame]:
+        hot, hot_n = frequent()
+        texts = b["text"].tolist()
+        for i, j in _pieces(b["text"]):
+            h, before, sizes = pairs_of(texts[i:j], digests)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            known, at = np.unique(h, return_inverse=True)
+            spot = np.clip(np.searchsorted(hot, known.view(np.int64)), 0, len(hot) - 1)
+            exact = (hot[spot] == known.view(np.int64)) & (hot_n[spot] > 0)
+            count = np.where(exact, hot_n[spot], 0.0)
+            count[~exact] = Filter.middle(levels(pair_keys(np.zeros(1, np.uint64), known[~exact])))
+            history, back = np.unique(before, return_inverse=True)
+            seen = _lookup(history, known, count, hot, hot_n, levels)[back]
+            both = np.minimum(Filter.middle(levels(pair_keys(before, h))), seen)
+            one = (count + 0.5)[at] / rest
+            mass = pull + share * seen
+            logs = np.log10((both + mass * one) / (seen + mass))
+            plain = np.where(exact, np.log10((count + 0.5) / rest), 0.0)[at]
+            rare = ~exact[at]
+            rows = np.repeat(np.arange(len(sizes)), sizes)[rare]
+            tf = Counter(zip(rows.tolist(), h.view(np.int64)[rare].tolist(), strict=True))
+            lists: list[tuple[list, list]] = [([], []) for _ in sizes]
+            for (r, key), times in tf.items():
+                lists[r][0].append(key)
+                lists[r][1].append(times)
+            yield pd.DataFrame({
+                "uid": b["uid"].iloc[i:j], "id": b["id"].iloc[i:j], "held": b["held"].iloc[i:j], "tokens": sizes,
+                "known": np.add.reduceat((~rare).astype(np.int64), starts), "plain": np.add.reduceat(plain, starts), "score": np.add.reduceat(logs, starts),
+                "rare": [x[0] for x in lists], "times": [x[1] for x in lists],
+            })
+
+    schema = f"uid bigint, id {kind}, held boolean, tokens bigint, known bigint, plain double, score double, rare array<bigint>, times array<int>"
+    numbered = base.withColumn("uid", F.monotonically_increasing_id())
+    if shape.n * shape.size <= max_bits:
+        name = hand_out(spark, "ngrams", _in_order(segments, shape))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            grams, digests = Filter(shape.n, shape.size, bits=np.memmap(SparkFiles.get(name), dtype=np.uint8, mode="r")), _Digests()
+            for b in batches:
+                yield from scored(b, lambda keys: grams.levels(keys, most), digests)
+
+        each = numbered.mapInPandas(run, schema)
+    else:
+        held = written(numbered, "numbered").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.lit(max(1, n // 200_000))))
+
+        def ask(rows: pd.DataFrame) -> pd.DataFrame:
+            h, before, _ = pairs_of(rows["text"].tolist(), _Digests())
+            alone = np.unique(np.concatenate([h, before]))
+            hot, hot_n = frequent()
+            spot = np.clip(np.searchsorted(hot, alone.view(np.int64)), 0, len(hot) - 1)
+            alone = alone[(hot[spot] != alone.view(np.int64)) | (hot_n[spot] <= 0)]
+            keys = np.unique(np.concatenate([pair_keys(before, h), pair_keys(np.zeros(1, np.uint64), alone)]))
+            seg = shape.segment(keys)
+            cuts = np.flatnonzero(np.diff(seg, prepend=-1))
+            return pd.DataFrame({"chunk": rows["chunk"].iloc[0], "seg": seg[cuts].astype(np.int32), "keys": [keys[p:q].tobytes() for p, q in zip(cuts, [*cuts[1:], len(keys)], strict=True)]})
+
+        def answer(asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked):
+                return pd.DataFrame({"chunk": [], "keys": [], "levels": []})
+            part = Filter(shape.n, shape.size, bits=np.frombuffer(bits["bits"].iloc[0] if len(bits) else bytes(shape.size // 8), dtype=np.uint8))
+            keys = [np.frombuffer(k, dtype=np.uint64) for k in asked["keys"]]
+            return pd.DataFrame({"chunk": asked["chunk"], "keys": asked["keys"], "levels": [part.levels(k, most, int(asked["seg"].iloc[0])).astype(np.uint8).tobytes() for k in keys]})
+
+        def use(rows: pd.DataFrame, read: pd.DataFrame) -> pd.DataFrame:
+            known = _Answers(np.frombuffer(b"".join(read["keys"]), dtype=np.uint64), np.frombuffer(b"".join(read["levels"]), dtype=np.uint8).astype(np.int64))
+            return pd.concat(list(scored(rows, known.levels, _Digests())))
+
+        asks = held.groupBy("chunk").applyInPandas(ask, "chunk bigint, seg int, keys binary")
+        answers = asks.groupBy("seg").cogroup(written(segments, "segments").groupBy("seg")).applyInPandas(answer, "chunk bigint, keys binary, levels binary")
+        each = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(use, schema)
     each = written(each, "scores")
     rare = each.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     found = rare.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -255,12 +317,14 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     )
 
 
-def _lookup(tokens: np.ndarray, known: np.ndarray, count: np.ndarray, hot: np.ndarray, hot_n: np.ndarray, grams: Filter) -> np.ndarray:
+def _lookup(tokens: np.ndarray, known: np.ndarray, count: np.ndarray, hot: np.ndarray, hot_n: np.ndarray, levels) -> np.ndarray:
     """Counts of ``tokens``: from those of ``known`` where it has them, else as they were found for these."""
     at = np.clip(np.searchsorted(known, tokens), 0, max(0, len(known) - 1))
     out = np.where(known[at] == tokens, count[at], -1.0)
     if (left := out < 0).any():
         spot = np.clip(np.searchsorted(hot, tokens[left].view(np.int64)), 0, len(hot) - 1)
         exact = (hot[spot] == tokens[left].view(np.int64)) & (hot_n[spot] > 0)
-        out[left] = np.where(exact, hot_n[spot], grams.middle(grams.levels(pair_keys(np.zeros(1, np.uint64), tokens[left]))))
+        found = np.where(exact, hot_n[spot], 0.0)
+        found[~exact] = Filter.middle(levels(pair_keys(np.zeros(1, np.uint64), tokens[left][~exact])))
+        out[left] = found
     return out

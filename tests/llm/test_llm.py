@@ -134,6 +134,38 @@ def test_lm_base_score(docs):
     assert {r["train_tokens"] for r in got} == {n}
 
 
+def test_lm_score_by_exact_counts(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.3, int(rng.integers(0, 60)))) for _ in range(120)] + [None, "", "only once here"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    one, two = Counter(), Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            w = ngrams.words(t)
+            one.update(w)
+            two.update(zip([ngrams.END, *w], w))
+    n, v = sum(one.values()), len(one)
+
+    def middle(c):  # what the filter keeps of a count
+        return 0 if not c else 1 if c == 1 else 2 ** (int(np.log2(c)) + 0.5)
+
+    def plain(t):
+        w, out = ngrams.words(t), 0.0
+        for a, b in zip([ngrams.END, *w], w):
+            mass, base = 2.0 + one[a], (one[b] + 0.5) / (n + 0.5 * (v + 1))
+            out += np.log10((min(middle(two[a, b]), one[a]) + mass * base) / (one[a] + mass))
+        return out
+
+    got = {r["doc_id"]: r["score"] for r in ngrams.score(d, held).collect()}
+    assert got == pytest.approx({i: plain(t) for i, t in enumerate(texts)}, abs=0.3)
+    apart = {r["doc_id"]: r["score"] for r in ngrams.score(d, held, max_bits=0).collect()}
+    assert apart == pytest.approx(got, abs=1e-9)
+    assert ngrams.score(d.where("false"), held).count() == 0
+    full = ngrams.Filter(1, 64, bits=np.full(8, 255, dtype=np.uint8))
+    assert full.levels(np.arange(3, dtype=np.uint64), 20).tolist() == [20, 20, 20]
+
+
 def test_edits_keep_the_count():
     count, rng = counts.Counter(counts.RANKS), np.random.default_rng(5)
     for _ in range(150):
