@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Lexicon voters (groups of terms that labelled rows show to go with toxicity), pattern voters and the
-annotators' labels vote on a bounded sample.  A generative label model estimates each voter's accuracy and
-how voters depend on one another; a linear classifier is then trained on its posterior labels and scores
-every whole text.
+Many voters, one for each term and pattern that goes with toxicity in labelled rows, vote on a bounded sample.
+The labels choose the voters and give a first guess of their accuracies; they don't vote.  A generative label model
+estimates each voter's accuracy and how voters depend on one another from the votes; a linear classifier is then
+trained on its posterior labels and scores every whole text.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(\w)\1{3,}")
 #: Common English insults, a voter that needs no labels.
@@ -24,7 +26,11 @@ INSULTS = frozenset("bastard clown creep cretin disgusting dumb fool garbage idi
 PATTERNS = ("insult", "shouting", "exclaiming", "stretched", "repeating")
 
 
-def terms(text: str | None, sizes: tuple[int, ...] = (4, 5, 6)) -> set[str]:
+#: Lengths of stems.
+STEMS = (4, 5, 6, 7, 8, 9, 10)
+
+
+def terms(text: str | None, sizes: tuple[int, ...] = STEMS) -> set[str]:
     """The distinct lower-case words of a text, and ``stem*`` for the first characters of longer words."""
     words = set(_WORD.findall((text or "").lower()))
     out = set(words)
@@ -47,35 +53,39 @@ def pattern_votes(text: str | None, found: set[str]) -> list[int]:
     ]
 
 
-def label_model(votes: np.ndarray, prior: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row, each voter's outcome rates, and each voter's weight.
+def label_model(votes: np.ndarray, share: float, guess: np.ndarray, trust: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of class 1 for each row, each voter's outcome rates, and the correlations of voters.
 
     ``votes`` has -1 for abstain, else 0 or 1.  Expectation-maximisation of a generative model: given the
-    class, a voter gives each of its three outcomes at its own rate.  Voters that agree beyond what the
-    class explains share their evidence: a voter's weight is one over one plus the sum of its positive
-    correlations within the likelier classes, estimated again in every round.  It starts from ``prior``, and the share of class 1
-    stays as ``prior`` has it: it can't shrink to nothing.
+    class, a voter gives each of its three outcomes at its own rate (``rate[class, voter, vote + 1]``).  It starts
+    from the rates ``guess``, which go on to count as ``trust[class]`` rows besides those seen: without that, voters
+    that are never found together can't all be of one class.  Voters that agree beyond what the class explains
+    share their evidence: the weight of a vote in a row is one over one plus the voter's positive correlations, within
+    the likelier classes, with the others that vote there; correlations are estimated again in every round.  What an
+    abstention tells is shared between all that a voter is correlated with.  The share of class 1 stays at ``share``.
     """
     n, m = votes.shape
     shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
-    post, weight = prior.astype(np.float64), np.ones(m)
-    balance = np.log(np.clip([1 - prior.mean(), prior.mean()], 1e-6, 1))
+    rate, tie, post = guess, np.eye(m), None
+    balance = np.log(np.clip([1 - share, share], 1e-6, 1))
+    spoken = (votes >= 0).astype(np.float64)
+    spoke = spoken * np.where(votes == 1, 1.0, -1.0)
     for _ in range(rounds):
+        weight = np.where(votes >= 0, 1 / np.maximum(1, spoken @ tie), 1 / np.maximum(1, tie.sum(1)))
+        log = np.einsum("nmv,cmv,nm->nc", shown, np.log(rate), weight, optimize=True) + balance
+        after = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
+        moved, post = np.inf if post is None else np.abs(after - post).max(), after
+        if moved < 1e-4:
+            break
         mass = np.stack([1 - post, post])
-        rate = (np.einsum("cn,nmv->cmv", mass, shown) + 0.5) / (mass.sum(1)[:, None, None] + 1.5)
-        spoke = (votes >= 0) * np.where(votes == 1, 1.0, -1.0)
+        rate = (np.einsum("cn,nmv->cmv", mass, shown) + trust[:, None, None] * guess + 0.5) / (mass.sum(1) + trust + 1.5)[:, None, None]
         side = post >= 0.5
         rest = spoke - np.stack([spoke[side == c].mean(0) if (side == c).any() else np.zeros(m) for c in (False, True)])[side.astype(int)]
         size = np.sqrt((rest * rest).sum(0)) + 1e-9
         tie = np.clip((rest.T @ rest) / np.outer(size, size), 0, 1)
         tie[tie < 0.1] = 0
-        weight = 1 / np.maximum(1, tie.sum(1))
-        log = np.einsum("nmv,cmv,m->nc", shown, np.log(rate), weight) + balance
-        after = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
-        moved, post = np.abs(after - post).max(), after
-        if moved < 1e-4:
-            break
-    return post, rate, weight
+        np.fill_diagonal(tie, 1)
+    return post, rate, tie
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -95,10 +105,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
 
 
 class Model:
-    """Terms and coefficients; small enough to go with every task (at most ``max_terms`` terms)."""
+    """Terms and coefficients; small enough to go with every task (its terms come from a bounded sample)."""
 
-    def __init__(self, vocabulary: list[str], weights: np.ndarray, base: float):
-        self.at, self.weights, self.base = {t: i for i, t in enumerate(vocabulary)}, weights, base
+    def __init__(self, vocabulary: list[str], patterns: list[int], weights: np.ndarray | None, base: float):
+        self.at, self.patterns, self.weights, self.base = {t: i for i, t in enumerate(vocabulary)}, patterns, weights, base
         self.sizes = tuple(sorted({len(t) - 1 for t in vocabulary if t.endswith("*")}))
         self.names = frozenset(vocabulary)
 
@@ -106,49 +116,50 @@ class Model:
         if self.weights is None:
             return self.base
         found = terms(text, self.sizes)
-        w, k = self.weights, len(self.at)
-        z = w[-1] + sum(w[self.at[t]] for t in found & self.names) + sum(w[k + i] for i, v in enumerate(pattern_votes(text, found)) if v)
+        w, k, seen = self.weights, len(self.at), pattern_votes(text, found)
+        z = w[-1] + sum(w[self.at[t]] for t in found & self.names) + sum(w[k + i] for i, p in enumerate(self.patterns) if seen[p])
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12_000, max_terms: int = 400, least: int = 5, least_odds: float = 2.0) -> Model:
+def low_odds(a, b, n1: float, n0: float):
+    """The lower end of the 95 % range of the log odds of label 1, of what ``a`` of ``n1`` and ``b`` of ``n0`` rows hold;
+    numbers or columns."""
+    log, root = (F.log, F.sqrt) if isinstance(a, Column) else (np.log, np.sqrt)
+    return log((a + 0.5) / (n1 + 1)) - log((b + 0.5) / (n0 + 1)) - 1.96 * root(1 / (a + 0.5) + 1 / (b + 0.5))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12_000, least: int = 3, least_odds: float = 1.25) -> Model:
     """Fit on at most ``max_labelled`` labelled rows, those with the smallest hash of their id.
 
-    Rows with a null label or id aren't used; a doc with both labels votes with each.  Terms are counted by
-    Spark: first in toxic rows, then, for those found at least ``least`` times, in the others.  The driver sees
-    at most ``max_terms`` terms (those whose log odds of label 1 are, at the lower end of their 95 % range,
-    above ``least_odds``) and, for each sampled row, which of them it holds.  With no labels or only
-    one class the model scores every text with the share of label 1 (0 without labels).
+    Rows with a null label or id aren't used; a doc with both labels counts with each; of several texts of an id
+    the least is taken.  Terms are counted by Spark over the sample's whole texts.  A term is a voter if it is in
+    at least ``least`` toxic rows and its log odds of label 1 are, at the lower end of their 95 % range, above
+    ``least_odds``, and so is a pattern; the driver sees these terms and, for each row of the sample, which of them
+    it holds.  With no labels or only one class the model scores every text with the share of label 1 (0 without
+    labels); an empty table of documents gives a model without terms.
     """
     key = F.xxhash64(id_col)
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y")).distinct()
     chosen = chosen.orderBy(key, id_col, "y").limit(max_labelled)
-    sample = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).dropDuplicates([id_col, "y"])
-    counts = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sample = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).groupBy(id_col, "y").agg(F.min("text").alias("text"))
+    sample = written(sample.select("y", "text"), "labelled")
+    counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
-        return Model([], None, 1.0 if counts.get(1) else 0.0)
-
-    def count(names: frozenset | None):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: Counter = Counter()
-            for b in batches:
-                for t in b["text"]:
-                    seen.update(terms(t) if names is None else terms(t) & names)
-            if seen:
-                yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
-
-        return run
-
-    toxic = sample.where("y = 1").select("text").mapInPandas(count(None), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    with_it = {r[0]: r[1] for r in toxic.orderBy(F.desc("n"), "term").limit(50 * max_terms).collect()}
-    clean = sample.where("y = 0").select("text").mapInPandas(count(frozenset(with_it)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    without = {r[0]: r[1] for r in clean.collect()}
+        return Model([], [], None, 1.0 if counts.get(1) else 0.0)
 
-    def low_odds(a: float, b: float) -> float:
-        return float(np.log((a + 0.5) / (counts[1] + 1)) - np.log((b + 0.5) / (counts[0] + 1)) - 1.96 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
-
-    odds = {t: low_odds(n, without.get(t, 0)) for t, n in with_it.items()}
-    vocabulary = sorted((t for t in odds if odds[t] > least_odds), key=lambda t: (-odds[t], t))[:max_terms]
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen = {0: Counter(), 1: Counter()}
+            for y, t in zip(b["y"], b["text"], strict=True):
+                seen[y].update(terms(t))
+            names = list(seen[0] | seen[1])
+            if names:
+                yield pd.DataFrame({"term": names, "with_it": [seen[1][t] for t in names], "without": [seen[0][t] for t in names]})
+
+    found = sample.mapInPandas(count, "term string, with_it bigint, without bigint").groupBy("term").agg(F.sum("with_it").alias("a"), F.sum("without").alias("b"))
+    odds = low_odds(F.col("a"), F.col("b"), counts[1], counts[0])
+    passed = found.where((F.col("a") >= least) & (odds > least_odds)).select("term", odds.alias("odds")).collect()
+    vocabulary = [r["term"] for r in sorted(passed, key=lambda r: (-r["odds"], r["term"]))]
     at, sizes, names = {t: i for i, t in enumerate(vocabulary)}, tuple(sorted({len(t) - 1 for t in vocabulary if t.endswith("*")})), frozenset(vocabulary)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,55 +170,51 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows.append((sorted(at[x] for x in found & names), pattern_votes(t, found)))
             yield pd.DataFrame({"y": b["y"], "terms": [r[0] for r in rows], "patterns": [r[1] for r in rows]})
 
-    marked = sample.select("y", "text").mapInPandas(mark, "y int, terms array<int>, patterns array<int>").toPandas()
-    y, k = marked["y"].to_numpy(), len(vocabulary)
-    x = np.zeros((len(y), k + len(PATTERNS)), dtype=np.float32)
-    for i, (found, seen) in enumerate(zip(marked["terms"], marked["patterns"], strict=True)):
-        x[i, np.asarray(found, dtype=int)] = 1
-        x[i, k:] = seen
-    chosen_terms: list[int] = []
+    marked = sample.mapInPandas(mark, "y int, terms array<int>, patterns array<int>").toPandas()
+    marked = marked.loc[sorted(range(len(marked)), key=lambda i: (marked["y"][i], list(marked["terms"][i]), list(marked["patterns"][i])))]
+    y, held = marked["y"].to_numpy(), [np.asarray(t, dtype=int) for t in marked["terms"]]
+    where: list[list[int]] = [[] for _ in vocabulary]
+    for i, ts in enumerate(held):
+        for t in ts:
+            where[t].append(i)
+
+    def enough(rows: np.ndarray) -> bool:
+        return rows.any() and low_odds((rows & (y == 1)).sum(), (rows & (y == 0)).sum(), counts[1], counts[0]) > least_odds
+
+    taken, columns = [], []
     for t, name in enumerate(vocabulary):
         # a stem has to earn its place by rows that its accepted words and stems don't have
-        kin = [u for u in chosen_terms if vocabulary[u].rstrip("*").startswith(name.rstrip("*")) or name.rstrip("*").startswith(vocabulary[u].rstrip("*"))]
-        rest = (x[:, t] > 0) & ~x[:, kin].any(axis=1)
-        if low_odds((rest & (y == 1)).sum(), (rest & (y == 0)).sum()) > least_odds:
-            chosen_terms.append(t)
-    vocabulary, x, k = [vocabulary[t] for t in chosen_terms], x[:, [*chosen_terms, *range(k, k + len(PATTERNS))]], len(chosen_terms)
-    post, _, _ = label_model(_votes(x, k, y), np.where(y == 1, 0.9, 0.05))
-    return Model(vocabulary, logistic(x, post), 0.0)
-
-
-def _votes(x: np.ndarray, k: int, y: np.ndarray, most: int = 40) -> np.ndarray:
-    """One voter for each group of terms that are mostly found together (votes 1 or abstains), one for each
-    pattern, one for the lack of any term (votes 0 or abstains), and the annotators."""
-    groups: list[list[int]] = []
-    for t in range(k):
-        for g in groups:
-            both = float((x[:, t] * x[:, g[0]]).sum())
-            if both > 0.3 * min(x[:, t].sum(), x[:, g[0]].sum()):
-                g.append(t)
-                break
-        else:
-            groups.append([t])
-    while len(groups) > most:
-        last = groups.pop()
-        groups[len(groups) % most].extend(last)
-    columns = [np.where(x[:, g].any(axis=1), 1, -1) for g in groups]
-    columns += [np.where(x[:, k + i] > 0, 1, -1) for i in range(len(PATTERNS))]
-    columns += [np.where(x[:, :k].any(axis=1), -1, 0), y]
-    return np.stack(columns, axis=1)
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns ``keep`` and ``score`` in 0..1 for every row; null and empty texts are scored
-    as texts without terms; an empty table gives none."""
-    names = list(dict.fromkeys([id_col, *keep]))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+        rows = np.zeros(len(y), dtype=bool)
+        rows[where[t]] = True
+        rest = rows.copy()
+        for u, have in zip(taken, columns, strict=True):
+            if vocabulary[u].rstrip("*").startswith(name.rstrip("*")) or name.rstrip("*").startswith(vocabulary[u].rstrip("*")):
+                rest &= ~have
+        if enough(rest):
+            taken.append(t)
+            columns.append(rows)
+    seen = np.array(list(marked["patterns"])).reshape(len(y), len(PATTERNS)) > 0
+    patterns = [i for i in range(len(PATTERNS)) if enough(seen[:, i])]
+    x = np.stack([*columns, *[seen[:, i] for i in patterns]], axis=1).astype(np.float32) if taken or patterns else np.zeros((len(y), 0), dtype=np.float32)
+    votes = np.hstack([np.where(x > 0, 1, -1), np.where(x.any(axis=1), -1, 0)[:, None]])
+    shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2)
+    guess = np.stack([(shown[y == c].sum(0) + 0.5) / ((y == c).sum() + 1.5) for c in (0, 1)])
+    post, _, _ = label_model(votes, float(y.mean()), guess, np.array([counts[0], counts[1]], dtype=np.float64))
+    return Model([vocabulary[t] for t in taken], patterns, logistic(x, post), 0.0)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:
+    """``id_col``, the columns ``keep`` and ``out_col``, a score in 0..1, for every row; null and empty texts are scored
+    as texts without terms, long ones whole, repeated rows each; an empty table gives none.  A kept column of the
+    name ``out_col`` is replaced."""
+    names = [c for c in dict.fromkeys([id_col, *keep]) if c != out_col]
+    kinds = ", ".join(f"__{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b[names].copy()
-            out["score"] = np.array([model.score(t) for t in b["__text"]], dtype=np.float64)
+            out = b[[f"__{k}" for k in range(len(names))]].copy()
+            out["__score"] = np.array([model.score(t) for t in b["__text"]], dtype=np.float64)
             yield out
 
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInPandas(run, f"{kinds}, score double")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(names)], F.col(f"`{text_col}`").alias("__text")).mapInPandas(run, f"{kinds}, __score double")
+    return rows.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(names)], F.col("__score").alias(out_col))
