@@ -33,12 +33,14 @@ def play(text: str | None) -> bytes:
 
 
 def samples(audio: bytes | None) -> np.ndarray:
-    """Mono samples at RATE of a 16-bit WAV recording; none for null or what can't be read."""
+    """Mono samples at RATE of a 16-bit WAV recording; none for null or what can't be read; a recording
+    that was cut off within a sample ends before it."""
     try:
         with wave.open(io.BytesIO(audio or b""), "rb") as w:
             if w.getsampwidth() != 2:
                 return np.zeros(0, dtype=np.float32)
-            x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").astype(np.float32)
+            raw = w.readframes(w.getnframes())
+            x = np.frombuffer(raw[: len(raw) // 2 * 2], dtype="<i2").astype(np.float32)
             x, rate = x[: len(x) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(axis=1), w.getframerate()
     except (wave.Error, EOFError):
         return np.zeros(0, dtype=np.float32)

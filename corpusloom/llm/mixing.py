@@ -60,9 +60,11 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     Each pass through a source permutes its blocks (hash classes of about ``block_rows`` ids) and the rows in
     each block anew; the last pass ends at the row with which the source's budget is met.  Rows with equal ids
     go together.  A null source is a source of its own; rows without tokens come once for each full pass (at least
-    once); an empty table gives none.  Raises if there are more than ``max_sources`` sources: their token
+    once); an empty table gives none; of rows that tie at the cut by equal ids, all go; columns of the input named
+    like the three are replaced.  Raises if there are more than ``max_sources`` sources: their token
     counts, one row each, are all that the driver sees; the per-source plan, of the same bound, is broadcast.
     """
+    docs = docs.drop("mix_epoch", "mix_block", "mix_order")
     n_blocks = max(1, 1 << max(0, math.ceil(math.log2(max(1, docs.count()) / block_rows))))
     block = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_blocks))
     base = docs.select(F.col(source_col).alias("s"), F.col(id_col).alias("i"), block.alias("k"), word_tokens(F.col(text_col)).alias("t"))
@@ -92,11 +94,11 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     inside = base.alias("d").join(F.broadcast(last.alias("l")), F.col("d.s").eqNullSafe(F.col("l.s")) & (F.col("d.k") == F.col("l.k"))).select("d.s", "d.t", "left", "block_cut", order(F.col("i"), F.col("full")).alias("o"))
     run = F.sum("t").over(Window.partitionBy("s").orderBy("o").rangeBetween(Window.unboundedPreceding, 0))
     cuts = inside.withColumn("run", run).where("run >= left").groupBy("s").agg(F.min("o").alias("row_cut"), F.min("block_cut").alias("block_cut"))
-    cuts = plan.alias("p").join(cuts.alias("c"), F.col("p.s").eqNullSafe(F.col("c.s")), "left").select("p.s", "full", "weight", "block_cut", "row_cut")
+    cuts = plan.alias("p").join(cuts.alias("c"), F.col("p.s").eqNullSafe(F.col("c.s")), "left").select(*[F.col(c).alias(f"__mix_{c.split('.')[-1]}") for c in ("p.s", "full", "block_cut", "row_cut")])
 
-    tagged = docs.alias("d").join(F.broadcast(cuts.alias("c")), F.col(f"d.{source_col}").eqNullSafe(F.col("c.s")))
-    own = order(F.col(f"d.{source_col}"), block, F.col("full"))
-    more = F.coalesce((own < F.col("block_cut")) | ((own == F.col("block_cut")) & (order(F.col(f"d.{id_col}"), F.col("full")) <= F.col("row_cut"))), F.lit(False))
-    times = F.col("full") + more.cast("int")
+    tagged = docs.alias("d").join(F.broadcast(cuts.alias("c")), F.col(f"d.`{source_col}`").eqNullSafe(F.col("c.__mix_s")))
+    own = order(F.col(f"d.`{source_col}`"), block, F.col("__mix_full"))
+    more = F.coalesce((own < F.col("__mix_block_cut")) | ((own == F.col("__mix_block_cut")) & (order(F.col(f"d.`{id_col}`"), F.col("__mix_full")) <= F.col("__mix_row_cut"))), F.lit(False))
+    times = F.col("__mix_full") + more.cast("int")
     out = tagged.where(times > 0).select("d.*", F.explode(F.sequence(F.lit(0), times - 1)).alias("mix_epoch"))
     return out.withColumns({"mix_block": order(F.col(source_col), block, F.col("mix_epoch")), "mix_order": order(F.col(id_col), F.col("mix_epoch"))})
