@@ -13,15 +13,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents scored 0.7 or more by a model of the labelled ones that are not held out."""
+    """Drops documents scored 0.7 or more by a model of the labelled ones that are not held out; null and empty texts
+    stay, repeated rows share their fate, other columns pass as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(held_out(7).eqNullSafe(False))
-    return toxicity.score(docs, toxicity.fit(docs, labels), keep=tuple(docs.columns)).where("score < 0.7").drop("score")
+    return toxicity.score(docs, toxicity.fit(docs, labels), keep=tuple(docs.columns), out_col="__toxic").where("__toxic < 0.7").drop("__toxic").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one occurrence of each group of near-equal lines; drops documents of which nothing is left."""
-    out = lines.dedup_lines(docs, similarity=0.8)
-    return out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("lines_dropped")
+    """Keeps one occurrence of each group of near-equal lines; drops documents of which nothing is left.  ``n_chars``
+    follows the text where lines go; null and empty texts stay; other columns pass as they are."""
+    before = docs.withColumnRenamed("lines_dropped", "__dropped") if "lines_dropped" in docs.columns else docs
+    out = lines.dedup_lines(before, similarity=0.8)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop("lines_dropped").withColumnRenamed("__dropped", "lines_dropped").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +42,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources, none more than twice, so that weights are as flat as that allows."""
-    return mixing.mix(docs, max_repeats=2.0).select(docs.columns)
+    """Repeats documents of small sources, none more than twice, so that weights are as flat as that allows; every row
+    stays at least once, a null source is one of its own, other columns pass as they are."""
+    keep = {c: f"__own_{c}" for c in ("mix_epoch", "mix_block", "mix_order") if c in docs.columns}
+    out = mixing.mix(docs.withColumnsRenamed(keep), max_repeats=2.0).drop("mix_epoch", "mix_block", "mix_order")
+    return out.withColumnsRenamed({b: a for a, b in keep.items()}).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the SentencePiece ids of each text."""
-    return pieces.encode(docs)
+    """Adds the SentencePiece ids of each text; none for null and empty texts."""
+    return pieces.encode(docs.drop("piece_ids"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("simhash", drop_near_duplicates), ("mixing", mix_sources), ("sentencepiece", encode)]
