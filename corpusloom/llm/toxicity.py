@@ -53,10 +53,10 @@ def pattern_votes(text: str | None, found: set[str]) -> list[int]:
     ]
 
 
-def label_model(votes: np.ndarray, share: float, guess: np.ndarray, trust: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, times: np.ndarray, share: float, guess: np.ndarray, trust: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row, each voter's outcome rates, and the correlations of voters.
 
-    ``votes`` has -1 for abstain, else 0 or 1.  Expectation-maximisation of a generative model: given the
+    ``votes`` has -1 for abstain, else 0 or 1, and row i stands for ``times[i]`` rows.  Expectation-maximisation of a generative model: given the
     class, a voter gives each of its three outcomes at its own rate (``rate[class, voter, vote + 1]``).  It starts
     from the rates ``guess``, which go on to count as ``trust[class]`` rows besides those seen: without that, voters
     that are never found together can't all be of one class.  Voters that agree beyond what the class explains
@@ -64,40 +64,45 @@ def label_model(votes: np.ndarray, share: float, guess: np.ndarray, trust: np.nd
     the likelier classes, with the others that vote there; correlations are estimated again in every round.  What an
     abstention tells is shared between all that a voter is correlated with.  The share of class 1 stays at ``share``.
     """
-    n, m = votes.shape
-    shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
+    m, times = votes.shape[1], times.astype(np.float64)
+    yes, no, still = ((votes == v).astype(np.float32) for v in (1, 0, -1))
     rate, tie, post = guess, np.eye(m), None
     balance = np.log(np.clip([1 - share, share], 1e-6, 1))
-    spoken = (votes >= 0).astype(np.float64)
-    spoke = spoken * np.where(votes == 1, 1.0, -1.0)
     for _ in range(rounds):
-        weight = np.where(votes >= 0, 1 / np.maximum(1, spoken @ tie), 1 / np.maximum(1, tie.sum(1)))
-        log = np.einsum("nmv,cmv,nm->nc", shown, np.log(rate), weight, optimize=True) + balance
+        weight = 1 / np.maximum(1, (yes + no) @ tie.astype(np.float32))
+        part, logs = 1 / np.maximum(1, tie.sum(1)), np.log(rate)
+        log = (yes * weight) @ logs[:, :, 2].T + (no * weight) @ logs[:, :, 1].T + still @ (part * logs[:, :, 0]).T + balance
         after = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
         moved, post = np.inf if post is None else np.abs(after - post).max(), after
         if moved < 1e-4:
             break
-        mass = np.stack([1 - post, post])
-        rate = (np.einsum("cn,nmv->cmv", mass, shown) + trust[:, None, None] * guess + 0.5) / (mass.sum(1) + trust + 1.5)[:, None, None]
+        mass = np.stack([1 - post, post]) * times
+        rate = (np.stack([mass @ v for v in (still, no, yes)], axis=2) + trust[:, None, None] * guess + 0.5) / (mass.sum(1) + trust + 1.5)[:, None, None]
         side = post >= 0.5
-        rest = spoke - np.stack([spoke[side == c].mean(0) if (side == c).any() else np.zeros(m) for c in (False, True)])[side.astype(int)]
-        size = np.sqrt((rest * rest).sum(0)) + 1e-9
-        tie = np.clip((rest.T @ rest) / np.outer(size, size), 0, 1)
+        rest = yes - no
+        for c in (False, True):
+            if (side == c).any():
+                rest[side == c] -= np.average(rest[side == c], axis=0, weights=times[side == c])
+        rest *= np.sqrt(times)[:, None]
+        both = (rest.T @ rest).astype(np.float64)
+        size = np.sqrt(np.diag(both)) + 1e-9
+        tie = np.clip(both / np.outer(size, size), 0, 1)
         tie[tie < 0.1] = 0
         np.fill_diagonal(tie, 1)
     return post, rate, tie
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Coefficients, the intercept last, of a logistic regression on labels in 0..1, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Coefficients, the intercept last, of a logistic regression on labels in 0..1, by Newton's method; row i
+    stands for ``times[i]`` rows."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     w = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
     keep[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        slope = x.T @ (p - y) + keep * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), slope)
+        slope = x.T @ (times * (p - y)) + keep * w
+        step = np.linalg.solve((x * (times * p * (1 - p)).astype(x.dtype)[:, None]).T @ x + np.diag(keep), slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -196,11 +201,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = np.array(list(marked["patterns"])).reshape(len(y), len(PATTERNS)) > 0
     patterns = [i for i in range(len(PATTERNS)) if enough(seen[:, i])]
     x = np.stack([*columns, *[seen[:, i] for i in patterns]], axis=1).astype(np.float32) if taken or patterns else np.zeros((len(y), 0), dtype=np.float32)
-    votes = np.hstack([np.where(x > 0, 1, -1), np.where(x.any(axis=1), -1, 0)[:, None]])
-    shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2)
-    guess = np.stack([(shown[y == c].sum(0) + 0.5) / ((y == c).sum() + 1.5) for c in (0, 1)])
-    post, _, _ = label_model(votes, float(y.mean()), guess, np.array([counts[0], counts[1]], dtype=np.float64))
-    return Model([vocabulary[t] for t in taken], patterns, logistic(x, post), 0.0)
+    x, spot, times = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    toxic = np.bincount(spot.ravel(), y, len(x))
+    votes = np.hstack([np.where(x > 0, 1, -1), np.where(x.any(axis=1), -1, 0)[:, None]]).astype(np.int8)
+    guess = np.stack([np.stack([(n @ (votes == v) + 0.5) / (n.sum() + 1.5) for v in (-1, 0, 1)], axis=1) for n in (times - toxic, toxic)])
+    post, _, _ = label_model(votes, times, float(y.mean()), guess, np.array([counts[0], counts[1]], dtype=np.float64))
+    return Model([vocabulary[t] for t in taken], patterns, logistic(x, post, times), 0.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:

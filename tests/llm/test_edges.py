@@ -129,7 +129,7 @@ def test_label_model_finds_accuracies():
             p = (0.05, 0.4)[c]
             guess[c, v] = (1 - p, 1e-3, p)
         guess[c, 5] = ((0.1, 0.85)[c], (0.9, 0.15)[c], 1e-3)
-    post, rate, tie = toxicity.label_model(votes, 0.3, guess, np.array([50.0, 50.0]))
+    post, rate, tie = toxicity.label_model(votes, np.ones(6000), 0.3, guess, np.array([50.0, 50.0]))
     assert ((post > 0.5) == y).mean() > 0.9
     assert tie[0, 4] > 0.95 and tie[0, 1] < 0.2
     assert np.abs(rate[1, :4, 2] - hit[:, 1]).max() < 0.12 and np.abs(rate[0, :4, 2] - hit[:, 0]).max() < 0.06
@@ -161,7 +161,7 @@ def test_edits_of_rows(spark):
     edits = spark.createDataFrame([(1, 2, 0, 1, "zz "), (1, 1, 2, 1, "Q"), (2, 1, 0, 5, "new text"), (3, 1, 4999, 100, None), (9, 1, 0, 0, "nobody")], "doc_id bigint, seq int, start int, length int, insert string")
     count = counts.Counter(counts.RANKS)
     got = counts.count_with_edits(counts.with_edits(docs, edits)).collect()
-    want = {(1, _edited("a b c", [(1, 2, "Q"), (0, 1, "zz ")])), (2, "new text"), (3, "x" * 4999), (3, "again")}
+    want = {(1, _edited("a b c", [(2, 1, "Q"), (0, 1, "zz ")])), (2, "new text"), (3, "x" * 4999), (3, "again")}
     assert {(r["doc_id"], r["text"]) for r in got} == want
     assert all(r["n_after"] == len(count.coder.encode_ordinary(r["text"])) for r in got)
 
