@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
+from .simhash import shingles
 
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(\w)\1{3,}")
@@ -126,44 +127,81 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def low_odds(a, b, n1: float, n0: float):
-    """The lower end of the 95 % range of the log odds of label 1, of what ``a`` of ``n1`` and ``b`` of ``n0`` rows hold;
-    numbers or columns."""
-    log, root = (F.log, F.sqrt) if isinstance(a, Column) else (np.log, np.sqrt)
-    return log((a + 0.5) / (n1 + 1)) - log((b + 0.5) / (n0 + 1)) - 1.96 * root(1 / (a + 0.5) + 1 / (b + 0.5))
+def evidence(a, b, n1: float, n0: float):
+    """Twice the log likelihood ratio that what ``a`` of ``n1`` rows of label 1 and ``b`` of ``n0`` others hold goes with
+    the label, negative if it goes with the other; of numbers or columns."""
+    column = isinstance(a, Column)
 
+    def part(seen, rows: float, total: float):
+        mean = (a + b) * (rows / total)
+        return F.when(seen > 0, seen * F.log(seen / mean)).otherwise(0.0) if column else (seen * np.log(seen / mean) if seen > 0 else 0.0)
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12_000, least: int = 3, least_odds: float = 1.25) -> Model:
+    def rest(seen, rows: float, total: float):
+        left, mean = rows - seen, (total - a - b) * (rows / total)
+        return F.when(left > 0, left * F.log(left / mean)).otherwise(0.0) if column else (left * np.log(left / mean) if left > 0 else 0.0)
+
+    n = n1 + n0
+    g = 2 * (part(a, n1, n) + part(b, n0, n) + rest(a, n1, n) + rest(b, n0, n))
+    more = a * n0 > b * n1
+    return F.when(more, g).otherwise(-g) if column else (g if more else -g)
+
+
+def low_share(a, b):
+    """The lower end of the 95 % range (Wilson) of the share of label 1 among what holds a term; numbers or columns."""
+    root, z, n = F.sqrt if isinstance(a, Column) else np.sqrt, 1.96, a + b
+    return ((a + z * z / 2) - z * root(a * b / n + z * z / 4)) / (n + z * z)
+
+
+def _group(text: str | None) -> int:
+    """The least XXH64 of the 5-word shingles of a text: near copies mostly have the same."""
+    marks = shingles(text, 5)
+    return int(marks[0].view(np.int64)) if len(marks) else 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12_000, least: int = 3, least_share: float = 0.6) -> Model:
     """Fit on at most ``max_labelled`` labelled rows, those with the smallest hash of their id.
 
     Rows with a null label or id aren't used; a doc with both labels counts with each; of several texts of an id
-    the least is taken.  Terms are counted by Spark over the sample's whole texts.  A term is a voter if it is in
-    at least ``least`` toxic rows and its log odds of label 1 are, at the lower end of their 95 % range, above
-    ``least_odds``, and so is a pattern; the driver sees these terms and, for each row of the sample, which of them
-    it holds.  With no labels or only one class the model scores every text with the share of label 1 (0 without
+    the least is taken.  Of rows that share a label and the least hash of their 5-word shingles, as near copies do, one
+    stays: copies are no evidence of their own.  Terms are counted by Spark over the sample's whole texts.  A term is
+    a voter if it is in at least ``least`` toxic rows and its :func:`evidence` is more than chance would give the best
+    of so many terms, twice the log of their number, and at least ``least_share`` of what holds it surely toxic (:func:`low_share`); so is
+    a pattern.  The driver sees these terms and, for each row
+    of the sample, which of them it holds.  With no labels or only one class the model scores every text with the share of label 1 (0 without
     labels); an empty table of documents gives a model without terms.
     """
     key = F.xxhash64(id_col)
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("y")).distinct()
     chosen = chosen.orderBy(key, id_col, "y").limit(max_labelled)
     sample = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).groupBy(id_col, "y").agg(F.min("text").alias("text"))
-    sample = written(sample.select("y", "text"), "labelled")
+    place = F.pandas_udf(lambda texts: texts.map(_group).astype("int64"), "bigint")
+    sample = written(sample.groupBy("y", place("text").alias("g")).agg(F.min("text").alias("text")).select("y", "text"), "labelled")
     counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return Model([], [], None, 1.0 if counts.get(1) else 0.0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def out() -> pd.DataFrame:
+            names = list(seen[0] | seen[1])
+            return pd.DataFrame({"term": names, "with_it": [seen[1][t] for t in names], "without": [seen[0][t] for t in names]})
+
         for b in batches:
-            seen = {0: Counter(), 1: Counter()}
             for y, t in zip(b["y"], b["text"], strict=True):
                 seen[y].update(terms(t))
-            names = list(seen[0] | seen[1])
-            if names:
-                yield pd.DataFrame({"term": names, "with_it": [seen[1][t] for t in names], "without": [seen[0][t] for t in names]})
+                if len(seen[0]) + len(seen[1]) > 200_000:
+                    yield out()
+                    seen[0].clear()
+                    seen[1].clear()
+        if seen[0] or seen[1]:
+            yield out()
 
     found = sample.mapInPandas(count, "term string, with_it bigint, without bigint").groupBy("term").agg(F.sum("with_it").alias("a"), F.sum("without").alias("b"))
-    odds = low_odds(F.col("a"), F.col("b"), counts[1], counts[0])
-    passed = found.where((F.col("a") >= least) & (odds > least_odds)).select("term", odds.alias("odds")).collect()
+    found = written(found.where(F.col("a") >= least), "terms")
+    chance = 2 * float(np.log(max(2, found.count())))
+    odds = evidence(F.col("a"), F.col("b"), counts[1], counts[0])
+    passed = found.where((odds > chance) & (low_share(F.col("a"), F.col("b")) >= least_share)).select("term", odds.alias("odds")).collect()
     vocabulary = [r["term"] for r in sorted(passed, key=lambda r: (-r["odds"], r["term"]))]
     at, sizes, names = {t: i for i, t in enumerate(vocabulary)}, tuple(sorted({len(t) - 1 for t in vocabulary if t.endswith("*")})), frozenset(vocabulary)
 
@@ -184,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             where[t].append(i)
 
     def enough(rows: np.ndarray) -> bool:
-        return rows.any() and low_odds((rows & (y == 1)).sum(), (rows & (y == 0)).sum(), counts[1], counts[0]) > least_odds
+        return evidence(int((rows & (y == 1)).sum()), int((rows & (y == 0)).sum()), counts[1], counts[0]) > chance
 
     taken, columns = [], []
     for t, name in enumerate(vocabulary):
@@ -199,13 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             taken.append(t)
             columns.append(rows)
     seen = np.array(list(marked["patterns"])).reshape(len(y), len(PATTERNS)) > 0
-    patterns = [i for i in range(len(PATTERNS)) if enough(seen[:, i])]
+    sure = lambda rows: low_share((rows & (y == 1)).sum(), (rows & (y == 0)).sum()) >= least_share
+    patterns = [i for i in range(len(PATTERNS)) if enough(seen[:, i]) and sure(seen[:, i])]
     x = np.stack([*columns, *[seen[:, i] for i in patterns]], axis=1).astype(np.float32) if taken or patterns else np.zeros((len(y), 0), dtype=np.float32)
     x, spot, times = np.unique(x, axis=0, return_inverse=True, return_counts=True)
     toxic = np.bincount(spot.ravel(), y, len(x))
     votes = np.hstack([np.where(x > 0, 1, -1), np.where(x.any(axis=1), -1, 0)[:, None]]).astype(np.int8)
     guess = np.stack([np.stack([(n @ (votes == v) + 0.5) / (n.sum() + 1.5) for v in (-1, 0, 1)], axis=1) for n in (times - toxic, toxic)])
-    post, _, _ = label_model(votes, times, float(y.mean()), guess, np.array([counts[0], counts[1]], dtype=np.float64))
+    post, _, _ = label_model(votes, times, float(y.mean()), guess, 4.0 * np.array([counts[0], counts[1]]))
     return Model([vocabulary[t] for t in taken], patterns, logistic(x, post, times), 0.0)
 
 
