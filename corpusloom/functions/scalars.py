@@ -26,10 +26,15 @@ def without_evidence(body: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end: tabs and line ends too, not spaces alone."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def evidence_field(body: Column, name: str) -> Column:
     """The value of the last ``Evidence-name:`` line, or null."""
-    rows = F.filter(F.split(body, "\n", -1), lambda x: F.trim(x).startswith(f"Evidence-{name}:"))
-    return F.trim(F.substring_index(F.try_element_at(rows, F.lit(-1)), f"Evidence-{name}:", -1))
+    rows = F.filter(F.split(body, "\n", -1), lambda x: stripped(x).startswith(f"Evidence-{name}:"))
+    return stripped(F.substring_index(F.try_element_at(rows, F.lit(-1)), f"Evidence-{name}:", -1))
 
 
 def evidence_state(body: Column) -> Column:

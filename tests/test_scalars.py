@@ -32,3 +32,21 @@ def test_budget_goes_on_after_what_does_not_fit(spark):
 def test_works_without_the_training_data_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) == 42"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_evidence_with_tabs_and_line_ends(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import scalars
+
+    rows = spark.createDataFrame([("a\n\tEvidence-Result: pass\r\nb",), ("Evidence-Result:\tpass ",), ("none",)], "body string")
+    assert [r[0] for r in rows.select(scalars.evidence_field(F.col("body"), "Result")).collect()] == ["pass", "pass", None]
+
+
+def test_pack_diff_with_null_marks(spark):
+    from corpusloom.operators import context
+
+    base = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, "y")], "id int, fingerprint string")
+    new = spark.createDataFrame([(1, None), (2, "z"), (3, "x"), (5, None)], "id int, fingerprint string")
+    got = {r["id"]: r["change"] for r in context.pack_diff(base, new, ["id"]).collect()}
+    assert got == {1: "reused", 2: "modified", 3: "reused", 4: "removed", 5: "added"}
