@@ -72,10 +72,15 @@ def _pieces(texts: pd.Series, size: int = 1_000_000) -> Iterator[tuple[int, int]
 class Filter:
     """Counts as levels 1, 2, ... (a level for each power of two); a key of level q is held as the q pairs
     (key, 1) to (key, q), each as ``probes`` bits of the key's segment.  A count is read by probing level
-    after level until one is missing; it is never too small, and too large by chance at a known rate."""
+    after level until one is missing; it is never too small, and too large by chance at a known rate.
 
-    def __init__(self, n_segments: int, segment_bits: int, probes: int = 5, bits: np.ndarray | None = None):
-        self.n, self.size, self.probes, self.bits = n_segments, segment_bits, probes, bits
+    ``segment_bits`` is the size of all segments, which follow each other, or with ``starts`` that of each."""
+
+    #: Bits for each pair held: with five probes, one in 200 that isn't held passes.
+    WIDTH = 12
+
+    def __init__(self, n_segments: int, segment_bits: int | np.ndarray, probes: int = 5, bits: np.ndarray | None = None, starts: np.ndarray | None = None):
+        self.n, self.size, self.probes, self.bits, self.starts = n_segments, segment_bits, probes, bits, starts
 
     @staticmethod
     def level(count: np.ndarray) -> np.ndarray:
@@ -89,17 +94,18 @@ class Filter:
     def segment(self, keys: np.ndarray) -> np.ndarray:
         return ((keys >> _HALF) * np.uint64(self.n) >> _HALF).astype(np.int64)
 
-    def spots(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    def spots(self, keys: np.ndarray, level: int, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
         x = _mix(keys + np.uint64(level * int(_A) & 0xFFFFFFFFFFFFFFFF))
         step = (x >> _HALF) | np.uint64(1)
         for i in range(self.probes):
-            yield (((x + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(self.size) >> _HALF).astype(np.int64)
+            yield (((x + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * size >> _HALF).astype(np.int64)
 
     def build(self, keys: np.ndarray, counts: np.ndarray) -> bytes:
-        """The bits of one segment."""
-        bits, levels, level = np.zeros(self.size, dtype=np.uint8), self.level(counts), 1
+        """The bits of one segment, ``WIDTH`` for each pair that it holds."""
+        levels, level = self.level(counts), 1
+        bits = np.zeros(max(1, -(-int(levels.sum()) * self.WIDTH // 64)) * 64, dtype=np.uint8)
         while len(keys):
-            for at in self.spots(keys, level):
+            for at in self.spots(keys, level, np.uint64(len(bits))):
                 bits[at] = 1
             level += 1
             keys, levels = keys[levels >= level], levels[levels >= level]
@@ -108,11 +114,12 @@ class Filter:
     def levels(self, keys: np.ndarray, top: int = 64, first: int = 0) -> np.ndarray:
         """Levels of keys, ``top`` at most; ``bits`` starts with segment ``first``."""
         out, left, level = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
-        base = (self.segment(keys) - first) * self.size
+        seg = self.segment(keys)
+        base, size = ((seg - first) * self.size, np.full(len(keys), self.size, dtype=np.uint64)) if self.starts is None else (self.starts[seg], self.size[seg])
         while len(left) and level <= top:
             near, start = keys[left], base[left]
             keep = np.arange(len(left))
-            for at in self.spots(near, level):
+            for at in self.spots(near, level, size[left]):
                 spot = start[keep] + at[keep]
                 keep = keep[((self.bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)]
             left = left[keep]
@@ -147,10 +154,8 @@ def _unsteps(raw: bytes) -> np.ndarray:
 
 
 def _shape(tokens: int) -> Filter:
-    """12 bits for each training token, however many there are: no count of distinct pairs is too many for that."""
-    bits = 1 << max(16, int(np.ceil(np.log2(12.0 * max(1, tokens)))))
-    n = max(1, bits >> 20, 1 << int(np.ceil(np.log2(max(1, tokens / 1_000_000)))))
-    return Filter(n, bits // n)
+    """As many segments as there are millions of training tokens; a segment is as large as what it holds asks for."""
+    return Filter(1 << max(0, int(np.ceil(np.log2(max(1, tokens / 1_000_000))))), 0)
 
 
 def _segments(train: DataFrame, shape: Filter) -> DataFrame:
@@ -186,14 +191,20 @@ def _segments(train: DataFrame, shape: Filter) -> DataFrame:
     return train.mapInPandas(send, "seg int, keys binary, counts binary").groupBy("seg").applyInPandas(gather, "seg int, bits binary")
 
 
-def _in_order(segments: DataFrame, shape: Filter) -> Iterator[bytes]:
-    """The filter's bytes, a segment at a time."""
-    at, none = 0, bytes(shape.size // 8)
-    for r in segments.orderBy("seg").toLocalIterator():
-        yield none * (r["seg"] - at)
-        yield r["bits"]
-        at = r["seg"] + 1
-    yield none * (shape.n - at)
+def _laid_out(segments: DataFrame, n: int) -> tuple[str, np.ndarray, np.ndarray]:
+    """The segments one after another in a file that Spark hands out, with each one's size and start in bits.
+    Those that hold nothing share 64 empty bits."""
+    sizes, starts, end = np.full(n, 64, dtype=np.uint64), np.zeros(n, dtype=np.int64), 64
+
+    def parts() -> Iterator[bytes]:
+        nonlocal end
+        yield bytes(8)
+        for r in segments.toLocalIterator():
+            sizes[r["seg"]], starts[r["seg"]] = len(r["bits"]) * 8, end
+            end += len(r["bits"]) * 8
+            yield r["bits"]
+
+    return hand_out(segments.sparkSession, "ngrams", parts()), sizes, starts
 
 
 class _Answers:
@@ -212,7 +223,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     The base is the exact unigram score.  ``score`` is the log10 probability under a smoothed bigram model:
     (c(before, word) + m * base probability) / (c(before) + m) with m = pull + share * c(before), the counts
-    read from the filter, of 12 bits for each training token.  Up to ``max_bits`` it goes to every executor as one
+    read from the filter, of 12 bits for each level of each distinct key.  Up to ``max_bits`` it goes to every executor as one
     file that Spark hands out and workers map into memory; a larger one stays in its segments, to which the distinct
     keys of each chunk of documents are sent, and the levels read there come back: the scores are the same.  Counts of the ``max_frequent`` most frequent tokens are broadcast
     too; those of all others reach the documents by a join on the token's digest.
@@ -229,7 +240,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     n, rest = total["n"], total["n"] + 0.5 * (total["v"] + 1)
     top = sorted((r["h"], r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(max_frequent).collect())
     shape, most = _shape(n), int(Filter.level(np.array([n]))[0])
-    segments = _segments(train, shape)
+    segments = written(_segments(train, shape), "segments")
+    held_bits = segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)) * 8).first()[0]
     sent = spark.sparkContext.broadcast((np.array([h for h, _ in top], dtype=np.int64), np.array([c for _, c in top], dtype=np.float64)))
     del top
 
@@ -269,11 +281,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     schema = f"uid bigint, id {kind}, held boolean, tokens bigint, known bigint, plain double, score double, rare array<bigint>, times array<int>"
     numbered = base.withColumn("uid", F.monotonically_increasing_id())
-    if shape.n * shape.size <= max_bits:
-        name = hand_out(spark, "ngrams", _in_order(segments, shape))
+    if held_bits <= max_bits:
+        name, sizes, starts = _laid_out(segments, shape.n)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            grams, digests = Filter(shape.n, shape.size, bits=np.memmap(SparkFiles.get(name), dtype=np.uint8, mode="r")), _Digests()
+            grams, digests = Filter(shape.n, sizes, bits=np.memmap(SparkFiles.get(name), dtype=np.uint8, mode="r"), starts=starts), _Digests()
             for b in batches:
                 yield from scored(b, lambda keys: grams.levels(keys, most), digests)
 
@@ -295,7 +307,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         def answer(asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
             if not len(asked):
                 return pd.DataFrame({"chunk": [], "keys": [], "levels": []})
-            part = Filter(shape.n, shape.size, bits=np.frombuffer(bits["bits"].iloc[0] if len(bits) else bytes(shape.size // 8), dtype=np.uint8))
+            own = np.frombuffer(bits["bits"].iloc[0] if len(bits) else bytes(8), dtype=np.uint8)
+            part = Filter(shape.n, 8 * len(own), bits=own)
             keys = [np.frombuffer(k, dtype=np.uint64) for k in asked["keys"]]
             return pd.DataFrame({"chunk": asked["chunk"], "keys": asked["keys"], "levels": [part.levels(k, most, int(asked["seg"].iloc[0])).astype(np.uint8).tobytes() for k in keys]})
 
@@ -304,7 +317,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             return pd.concat(list(scored(rows, known.levels, _Digests())))
 
         asks = held.groupBy("chunk").applyInPandas(ask, "chunk bigint, seg int, keys binary")
-        answers = asks.groupBy("seg").cogroup(written(segments, "segments").groupBy("seg")).applyInPandas(answer, "chunk bigint, keys binary, levels binary")
+        answers = asks.groupBy("seg").cogroup(segments.groupBy("seg")).applyInPandas(answer, "chunk bigint, keys binary, levels binary")
         each = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(use, schema)
     each = written(each, "scores")
     rare = each.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
