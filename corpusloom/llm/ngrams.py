@@ -76,8 +76,8 @@ class Filter:
 
     ``segment_bits`` is the size of all segments, which follow each other, or with ``starts`` that of each."""
 
-    #: Bits for each pair held: with five probes, one in 200 that isn't held passes.
-    WIDTH = 12
+    #: Bits for each pair held: with five probes, one in 4,000 that isn't held passes.
+    WIDTH = 24
 
     def __init__(self, n_segments: int, segment_bits: int | np.ndarray, probes: int = 5, bits: np.ndarray | None = None, starts: np.ndarray | None = None):
         self.n, self.size, self.probes, self.bits, self.starts = n_segments, segment_bits, probes, bits, starts
@@ -223,7 +223,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     The base is the exact unigram score.  ``score`` is the log10 probability under a smoothed bigram model:
     (c(before, word) + m * base probability) / (c(before) + m) with m = pull + share * c(before), the counts
-    read from the filter, of 12 bits for each level of each distinct key.  Up to ``max_bits`` it goes to every executor as one
+    read from the filter, of 24 bits for each level of each distinct key.  Up to ``max_bits`` it goes to every executor as one
     file that Spark hands out and workers map into memory; a larger one stays in its segments, to which the distinct
     keys of each chunk of documents are sent, and the levels read there come back: the scores are the same.  Counts of the ``max_frequent`` most frequent tokens are broadcast
     too; those of all others reach the documents by a join on the token's digest.
