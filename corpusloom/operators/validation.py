@@ -26,8 +26,12 @@ def _text(entity: Column) -> Column:
     return F.concat(entity["prefix"], F.lit("-"), F.lpad(entity["number"].cast("string"), F.greatest(entity["width"], F.length(entity["number"].cast("string"))), "0"))
 
 
-def _found(rows: DataFrame, code: str, *message: Column | str) -> DataFrame:
-    return rows.select(F.lit(code).alias("code"), F.lit("error").alias("severity"), "path", F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message]).alias("message"))
+def _finding(when: Column, code: str, *message: Column | str) -> Column:
+    return F.when(when, F.struct(F.lit(code).alias("code"), F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message]).alias("message")))
+
+
+def _reported(rows: DataFrame, each: list[Column]) -> DataFrame:
+    return rows.select("path", F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.code", F.lit("error").alias("severity"), "path", "x.message")
 
 
 def findings(files: DataFrame, width: int = 3) -> DataFrame:
@@ -42,36 +46,41 @@ def findings(files: DataFrame, width: int = 3) -> DataFrame:
     numbers = known.groupBy(F.col("kind").alias("t_kind"), F.col("number").alias("t_number")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
     good = meta.where("error is null")
     table = lambda d: F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in d.items() for x in kv])
-    out = [meta.where("error is not null").select(F.col("error").alias("code"), F.lit("error").alias("severity"), "path", F.when(F.col("error") == "required_field_missing", F.concat(F.lit('field "id" is required for type "'), F.col("type"), F.lit('"'))).otherwise("front matter can't be read").alias("message"))]
-
-    prefixes = table({v: k for k, v in S.PREFIXES.items()})
-    place = F.concat(F.try_element_at(prefixes, F.col("kind")), F.lit("-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(width), F.length(F.col("number").cast("string"))), "0"))
-    declared = F.coalesce(_text(F.col("id")), F.lit("<nil>"))
-    same = (F.col("id.type") == F.col("kind")) & (F.col("id.number") == F.col("number")) & (F.col("id.width") == F.length(place) - F.instr(place, "-"))
-    out.append(_found(good.where(~F.coalesce(same, F.lit(False))), "id_location_mismatch", "declared id ", declared, " does not match canonical location ", place))
-    allowed = F.try_element_at(table(STATUSES), F.col("kind"))
-    out.append(_found(good.where(~F.array_contains(allowed, F.col("status"))), "invalid_status", 'status "', F.col("status"), '" is not one of the allowed states for ', F.col("kind"), ": [", F.array_join(allowed, " "), "]"))
-
-    want = good.withColumn("want", F.try_element_at(table(PARENTS), F.col("kind"))).where("want is not null").select("path", "want", "parent")
-    out.append(_found(want.where("parent is null"), "missing_parent", "no parent declared; a ", F.col("want"), " parent is required"))
-    out.append(_found(want.where("parent.type <> want"), "invalid_parent_type", "parent ", _text(F.col("parent")), " is a ", F.col("parent.type"), ", want a ", F.col("want")))
     at = lambda e: (F.col(f"{e}.type") == F.col("t_kind")) & (F.col(f"{e}.number") == F.col("t_number"))
-    out.append(_found(want.where("parent.type = want").join(numbers, at("parent"), "left_anti"), "missing_parent", "declared parent ", _text(F.col("parent")), " does not exist"))
-
-    deps = artifacts.formal_edges(good.where("kind = 'spec'")).where("relation <> 'parent'")
-    lost = deps.where("target.type <> 'spec'").unionByName(deps.where("target.type = 'spec'").join(numbers, at("target"), "left_anti"))
-    out.append(_found(lost, "unresolved_dependency", F.col("relation"), " entry ", _text(F.col("target")), " does not resolve to an existing Spec"))
-
-    bodies = good.select("path", "kind", "number", F.col("body").alias("content"))
-    links = markdown.wikilinks(bodies).withColumn("e", S.parse_id(F.col("target")))
-    out.append(_found(links.where("e is null"), "invalid_wikilink", 'wikilink target "', F.col("target"), '" is not a well-formed entity ID'))
-    met = links.where("e.type <> 'task'").join(numbers, at("e"), "left")
-    out.append(_found(met.where("paths is null"), "broken_wikilink", "wikilink target ", _text(F.col("e")), " does not exist"))
-    out.append(_found(met.where("size(paths) > 1"), "ambiguous_wikilink", "wikilink target ", _text(F.col("e")), " resolves to ", F.size("paths").cast("string"), " artifacts: [", F.array_join("paths", " "), "]"))
-    anchors = markdown.sections(artifacts.metadata(files).where("body is not null").select("path", F.col("body").alias("content"))).where("anchor <> ''").select("path", "anchor")
-    asked = met.where("size(paths) = 1 and anchor <> ''").withColumn("to", F.get("paths", F.lit(0)))
-    has = anchors.distinct().select(F.col("path").alias("to"), "anchor")
-    out.append(_found(asked.join(has, ["to", "anchor"], "left_anti"), "unknown_anchor", "wikilink target ", _text(F.col("e")), ' exists but declares no anchor "', F.col("anchor"), '"'))
-    twice = anchors.join(good.select("path"), "path", "left_semi").groupBy("path", "anchor").count().where("count > 1")
-    out.append(_found(twice, "duplicate_anchor", 'anchor "', F.col("anchor"), '" is declared by more than one Section'))
-    return reduce(DataFrame.unionByName, out)
+    parent, want = F.col("parent"), F.try_element_at(table(PARENTS), F.col("kind"))
+
+    # what a file shows by itself
+    sound, allowed = F.col("error").isNull(), F.try_element_at(table(STATUSES), F.col("kind"))
+    place = F.concat(F.try_element_at(table({v: k for k, v in S.PREFIXES.items()}), F.col("kind")), F.lit("-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(width), F.length(F.col("number").cast("string"))), "0"))
+    fits = F.coalesce(_text(F.col("id")) == place, F.lit(False))
+    own = [
+        _finding(F.col("error") == "required_field_missing", "required_field_missing", 'field "id" is required for type "', F.col("type"), '"'),
+        _finding(F.col("error") == "frontmatter_malformed", "frontmatter_malformed", "front matter can't be read"),
+        _finding(sound & ~fits, "id_location_mismatch", "declared id ", F.coalesce(_text(F.col("id")), F.lit("<nil>")), " does not match canonical location ", place),
+        _finding(sound & ~F.array_contains(allowed, F.col("status")), "invalid_status", 'status "', F.col("status"), '" is not one of the allowed states for ', F.col("kind"), ": [", F.array_join(allowed, " "), "]"),
+        _finding(sound & want.isNotNull() & parent.isNull(), "missing_parent", "no parent declared; a ", want, " parent is required"),
+        _finding(sound & (parent["type"] != want), "invalid_parent_type", "parent ", _text(parent), " is a ", parent["type"], ", want a ", want),
+    ]
+    # what it refers to
+    edges = artifacts.formal_edges(good.withColumn("want", want)).join(known.select("path", "kind"), "path")
+    wanted = F.when(F.col("relation") == "parent", want).when(F.col("kind") == "spec", "spec")
+    lost = edges.where(wanted.isNotNull()).join(numbers, at("target"), "left").withColumn("wanted", wanted)
+    wrong, none, up = F.col("target.type") != F.col("wanted"), F.col("paths").isNull(), F.col("relation") == "parent"
+    refers = [
+        _finding(up & ~wrong & none, "missing_parent", "declared parent ", _text(F.col("target")), " does not exist"),
+        _finding(~up & (wrong | none), "unresolved_dependency", F.col("relation"), " entry ", _text(F.col("target")), " does not resolve to an existing Spec"),
+    ]
+    bodies = good.select("path", F.col("body").alias("content"))
+    links = markdown.wikilinks(bodies).withColumn("e", S.parse_id(F.col("target"))).where("e is null or e.type <> 'task'")
+    anchors = markdown.sections(bodies).where("anchor <> ''").groupBy("path", "anchor").count()
+    declared = anchors.select(F.col("path").alias("to"), "anchor", F.lit(True).alias("declared"))
+    met = links.join(numbers, at("e"), "left").withColumn("to", F.when(F.size("paths") == 1, F.get("paths", F.lit(0)))).join(declared, ["to", "anchor"], "left")
+    known_id, e = F.col("e").isNotNull(), _text(F.col("e"))
+    linked = [
+        _finding(~known_id, "invalid_wikilink", 'wikilink target "', F.col("target"), '" is not a well-formed entity ID'),
+        _finding(known_id & F.col("paths").isNull(), "broken_wikilink", "wikilink target ", e, " does not exist"),
+        _finding(F.size("paths") > 1, "ambiguous_wikilink", "wikilink target ", e, " resolves to ", F.size("paths").cast("string"), " artifacts: [", F.array_join("paths", " "), "]"),
+        _finding((F.size("paths") == 1) & (F.col("anchor") != "") & F.col("declared").isNull(), "unknown_anchor", "wikilink target ", e, ' exists but declares no anchor "', F.col("anchor"), '"'),
+    ]
+    twice = [_finding(F.col("count") > 1, "duplicate_anchor", 'anchor "', F.col("anchor"), '" is declared by more than one Section')]
+    return reduce(DataFrame.unionByName, [_reported(meta, own), _reported(lost, refers), _reported(met, linked), _reported(anchors, twice)])

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, context, graph, markdown, search, tasks
-from ..sources.tables import part_edges, part_references, table, task_files, turn_files
+from ..operators import architecture, artifacts, context, graph, markdown, search, tasks, validation
+from ..sources.tables import part_edges, part_references, spec_files, table, task_files, turn_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -353,3 +353,43 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderstatus AS kind, max(o_orderkey) + 1 AS next_id FROM orders GROUP BY 1")
 def next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_id"))
+
+
+_SPECS = """c AS (SELECT c_custkey + 1 AS k FROM customer), s AS (SELECT k, printf('specs/SPEC-%03d/spec.md', k) AS path, CASE WHEN k % 17 = 0 THEN 'frontmatter_malformed' WHEN k % 19 = 0 THEN 'required_field_missing' END AS error FROM c),
+ g AS (SELECT * FROM s WHERE error IS NULL), p AS (SELECT s_suppkey + 1 AS k FROM supplier), f AS (SELECT k, printf('%s/FEAT-%03d/feature.md', place, k) AS path FROM p, (VALUES ('a'), ('b')) x(place) WHERE place = 'a' OR k % 4 = 0)"""
+
+
+@query(f"""WITH {_SPECS} SELECT path, error, CASE WHEN k % 17 <> 0 AND k % 19 <> 0 THEN CASE WHEN k % 11 = 0 THEN k + 1 ELSE k END END AS number, CASE WHEN k % 17 <> 0 THEN CASE WHEN k % 7 = 0 THEN 'open' ELSE 'draft' END ELSE '' END AS status,
+ CASE WHEN k % 17 <> 0 THEN 9 - CAST(k % 19 = 0 AS INT) - CAST(k % 5 = 0 AND k % 13 <> 0 AS INT) + 1 END AS body_line FROM s UNION ALL SELECT path, NULL, k, 'active', 7 FROM f""")
+def artifact_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = artifacts.metadata(spec_files(spark, sf_dir))
+    return meta.select("path", "error", F.col("id.number").cast("long").alias("number"), F.coalesce("status", F.lit("")).alias("status"), F.col("body_line").cast("long").alias("body_line"))
+
+
+@query(f"""WITH {_SPECS}, q AS (SELECT *, k % 13 = 0 OR k % 5 <> 0 AS has FROM g)
+SELECT path, 0 AS ord, 'parent' AS relation, CASE WHEN k % 13 = 0 THEN 'program' ELSE 'feature' END AS kind, CASE WHEN k % 13 = 0 THEN 1 ELSE k % 12 + 1 END AS number FROM q WHERE has
+UNION ALL SELECT path, CAST(has AS INT), 'depends_on', 'spec', k + 1 FROM q UNION ALL SELECT path, CAST(has AS INT) + 1, 'supersedes', 'spec', k * 2 FROM q UNION ALL SELECT path, 0, 'parent', 'program', 1 FROM f""")
+def formal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = artifacts.formal_edges(artifacts.metadata(spec_files(spark, sf_dir)))
+    return edges.select("path", F.col("ord").cast("long").alias("ord"), "relation", F.col("target.type").alias("kind"), F.col("target.number").cast("long").alias("number"))
+
+
+@query(f"""WITH {_SPECS}, e AS (SELECT k, count(*) AS n, string_agg(path, ' ' ORDER BY path) AS paths FROM f GROUP BY k), a AS (SELECT k FROM s WHERE k % 17 <> 0), x AS (
+ SELECT error AS code, path, CASE WHEN error = 'required_field_missing' THEN 'field "id" is required for type "spec"' ELSE 'front matter can''t be read' END AS message FROM s WHERE error IS NOT NULL
+ UNION ALL SELECT 'id_location_mismatch', path, printf('declared id SPEC-%03d does not match canonical location SPEC-%03d', k + 1, k) FROM g WHERE k % 11 = 0
+ UNION ALL SELECT 'invalid_status', path, 'status "open" is not one of the allowed states for spec: [draft ready in_progress validated blocked superseded cancelled]' FROM g WHERE k % 7 = 0
+ UNION ALL SELECT 'invalid_parent_type', path, 'parent PRG-001 is a program, want a feature' FROM g WHERE k % 13 = 0
+ UNION ALL SELECT 'missing_parent', path, 'no parent declared; a feature parent is required' FROM g WHERE k % 13 <> 0 AND k % 5 = 0
+ UNION ALL SELECT 'missing_parent', path, printf('declared parent FEAT-%03d does not exist', k % 12 + 1) FROM g WHERE k % 13 <> 0 AND k % 5 <> 0 AND k % 12 + 1 NOT IN (SELECT k FROM e)
+ UNION ALL SELECT 'missing_parent', path, 'declared parent PRG-001 does not exist' FROM f
+ UNION ALL SELECT 'unresolved_dependency', path, printf('depends_on entry SPEC-%03d does not resolve to an existing Spec', k + 1) FROM g WHERE k + 1 NOT IN (SELECT k FROM s)
+ UNION ALL SELECT 'unresolved_dependency', path, printf('supersedes entry SPEC-%03d does not resolve to an existing Spec', k * 2) FROM g WHERE k * 2 NOT IN (SELECT k FROM s)
+ UNION ALL SELECT 'invalid_wikilink', path, 'wikilink target "bad" is not a well-formed entity ID' FROM g WHERE k % 6 = 0
+ UNION ALL SELECT 'broken_wikilink', path, printf('wikilink target SPEC-%03d does not exist', k * 3) FROM g WHERE k * 3 NOT IN (SELECT k FROM s)
+ UNION ALL SELECT 'broken_wikilink', path, printf('wikilink target FEAT-%03d does not exist', k % 12 + 1) FROM g WHERE k % 12 + 1 NOT IN (SELECT k FROM e)
+ UNION ALL SELECT 'ambiguous_wikilink', g.path, printf('wikilink target FEAT-%03d resolves to %d artifacts: [%s]', e.k, n, paths) FROM g JOIN e ON e.k = g.k % 12 + 1 WHERE n > 1
+ UNION ALL SELECT 'unknown_anchor', g.path, printf('wikilink target FEAT-%03d exists but declares no anchor "top"', e.k) FROM g JOIN e ON e.k = g.k % 12 + 1 WHERE n = 1
+ UNION ALL SELECT 'duplicate_anchor', path, 'anchor "top" is declared by more than one Section' FROM g WHERE k % 6 = 0)
+SELECT code, 'error' AS severity, path, message FROM x""")
+def artifact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.findings(spec_files(spark, sf_dir))

@@ -61,3 +61,20 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``src, dst``: each part refers to two others by arithmetic on its key."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
     return p.select("src", F.explode(F.array((F.col("src") * 3 + 1) % 1999 + 1, F.expr("src div 2 + 1"))).alias("dst")).where("src <> dst").distinct()
+
+
+def spec_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spec file for each customer and a feature file for each supplier, every fourth in two places, with faults
+    by arithmetic on the key: wrong ids, no front matter's end, no id, unknown statuses, parents and links."""
+    k, name = F.col("c_custkey") + 1, lambda p, n: F.format_string(f"{p}-%03d", n.cast("long"))
+    parent = F.when(k % 13 == 0, "parent: PRG-001\n").when(k % 5 == 0, "").otherwise(F.concat(F.lit("parent: "), name("FEAT", k % 12 + 1), F.lit("\n")))
+    head = F.concat(
+        F.lit("---\n"), F.when(k % 19 == 0, "").otherwise(F.concat(F.lit("id: "), name("SPEC", F.when(k % 11 == 0, k + 1).otherwise(k)), F.lit("\n"))), F.lit("type: spec\nstatus: "), F.when(k % 7 == 0, "open").otherwise("draft"), F.lit("\n"), parent,
+        F.lit("depends_on: ["), name("SPEC", k + 1), F.lit("]\nsupersedes:\n  - "), name("SPEC", k * 2), F.lit("\n"), F.when(k % 17 == 0, "").otherwise("---\n"),
+    )
+    body = F.concat(F.lit("# Spec {#top}\n[[SPEC-001#top]] [["), name("SPEC", k * 3), F.lit("]] [["), name("FEAT", k % 12 + 1), F.lit("#top]]\n"), F.when(k % 6 == 0, "[[bad]]\n## Again {#top}\n").otherwise(""))
+    specs = table(spark, sf_dir, "customer").select(F.concat(F.lit("specs/"), name("SPEC", k), F.lit("/spec.md")).alias("path"), F.concat(head, body).alias("content"))
+    s = F.col("s_suppkey") + 1
+    text = F.concat(F.lit("---\nid: "), name("FEAT", F.col("s")), F.lit("\ntype: feature\nstatus: active\nparent: PRG-001\n---\n# Feature\n"))
+    places = F.explode(F.when(s % 4 == 0, F.array(F.lit("a/"), F.lit("b/"))).otherwise(F.array(F.lit("a/"))))
+    return specs.union(table(spark, sf_dir, "supplier").select(s.alias("s"), places.alias("at")).select(F.concat("at", name("FEAT", F.col("s")), F.lit("/feature.md")), text))
