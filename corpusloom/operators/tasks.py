@@ -66,6 +66,6 @@ def findings(tasks: DataFrame) -> DataFrame:
     one = F.format_string("TASK-%03d", F.col("number"))
     twice = tasks.groupBy("path", "number").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("code"), "path", F.concat(one, F.lit(" is declared "), F.col("n").cast("string"), F.lit(" times")).alias("message"))
     bad = tasks.select("path", "number", F.explode(F.concat("bad_serves", "bad_depends_on")).alias("ref")).select(F.lit("malformed_reference").alias("code"), "path", F.concat(one, F.lit(" refers to "), F.col("ref")).alias("message"))
-    lost = dangling(tasks).select(F.lit("unresolved_dependency").alias("code"), "path", F.concat(one, F.lit(" depends on TASK-"), F.format_string("%03d", F.col("missing"))).alias("message"))
+    lost = dangling(tasks).select(F.lit("invalid_task_dependency").alias("code"), "path", F.concat(one, F.lit(" depends on TASK-"), F.format_string("%03d", F.col("missing"))).alias("message"))
     bare = tasks.where("size(serves) = 0 and size(bad_serves) = 0").select(F.lit("task_without_requirement").alias("code"), "path", F.concat(one, F.lit(" serves no requirement")).alias("message"))
     return twice.unionByName(bad).unionByName(lost).unionByName(bare)

@@ -316,7 +316,7 @@ def task_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TASKS}
 SELECT 'duplicate_id' AS code, path, printf('TASK-%03d is declared %d times', number, count(*)) AS message FROM t GROUP BY path, number HAVING count(*) > 1
 UNION ALL SELECT 'malformed_reference', path, printf('TASK-%03d refers to R9', number) FROM t WHERE bad
-UNION ALL SELECT DISTINCT 'unresolved_dependency', path, printf('TASK-%03d depends on TASK-%03d', number, number - 1) FROM t WHERE number > 1 AND NOT EXISTS (SELECT 1 FROM t u WHERE u.path = t.path AND u.number = t.number - 1)""")
+UNION ALL SELECT DISTINCT 'invalid_task_dependency', path, printf('TASK-%03d depends on TASK-%03d', number, number - 1) FROM t WHERE number > 1 AND NOT EXISTS (SELECT 1 FROM t u WHERE u.path = t.path AND u.number = t.number - 1)""")
 def task_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.findings(tasks.rows(task_files(spark, sf_dir)))
 
