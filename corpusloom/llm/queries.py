@@ -1,11 +1,11 @@
-"""Queries of the ten operators over the given tables."""
+"""Queries of the operators over the given tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, counts, embeddings, lines, mixing, ngrams, pieces, simhash, toxicity, urls
+from . import audio, counts, embeddings, lines, mixing, negatives, ngrams, pieces, runs, shards, simhash, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(_read(spark, sf_dir, "documents"), held_out(10))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_edit_counts, op4_audio_fingerprints, op5_mixing, op6_embedding_near_dups, op7_toxicity, op8_simhash, op9_url_filters, op10_lm_scoring)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return runs.periodic_runs(docs, least=24, times=3, change=runs.folded, digests=True)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.shard(_read(spark, sf_dir, "documents"), 8, grown=9)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot"), F.col("version").alias("map_version"), F.col("shard_grown").alias("shard_by_version_2"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    shifted = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(shifted, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_edit_counts, op4_audio_fingerprints, op5_mixing, op6_embedding_near_dups, op7_toxicity, op8_simhash, op9_url_filters, op10_lm_scoring, op11_periodic_runs, op12_sharding, op13_hard_negatives)}
 
 _OP9 = r"""
 WITH p AS (
@@ -91,4 +107,22 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
 """
 
-ORACLE_SQL = {"op9_url_filters": _OP9}
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS other, b.label AS label, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE own = label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE own <> label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op9_url_filters": _OP9, "op13_hard_negatives": _OP13}
