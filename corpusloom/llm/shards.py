@@ -44,11 +44,11 @@ def slot_bytes(records: DataFrame, n_shards: int) -> list[tuple[int, int, int]]:
     """``slot, part, bytes`` of every slot that holds something, in order; ``part`` is null but for heavy slots.
 
     Summed by slot and part before the shuffle: at most 64 rows a slot, of which each task sends one.  A slot is heavy if it holds
-    over a thirty-second of a shard's share; its parts are placed one by one.  Bounded by slots and parts.
+    over a quarter of a shard's share; its parts are placed one by one.  Bounded by slots and parts.
     """
     by_part = records.groupBy("slot", "part").agg(F.sum("size").alias("bytes"))
     whole, total = F.sum("bytes").over(Window.partitionBy("slot")), records.agg(F.sum("size")).first()[0] or 0
-    heavy = F.col("whole") > F.lit(total) / (32 * n_shards)
+    heavy = F.col("whole") > F.lit(total) / (4 * n_shards)
     rows = by_part.withColumn("whole", whole).select("slot", F.when(heavy, F.col("part")).alias("part"), "bytes").groupBy("slot", "part").agg(F.sum("bytes")).collect()
     return sorted((tuple(r) for r in rows), key=lambda r: (r[0], -1 if r[1] is None else r[1]))
 
