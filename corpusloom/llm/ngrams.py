@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hand_out, written
+from .shared import forget, hand_out, written
 from .simhash import LOWER
 
 END = b"\n"
@@ -170,7 +171,7 @@ def _segments(train: DataFrame, shape: Filter) -> DataFrame:
             seg = shape.segment(keys)
             cuts = np.flatnonzero(np.diff(seg, prepend=-1))
             ends = [*cuts[1:], len(keys)]
-            return pd.DataFrame({"seg": seg[cuts].astype(np.int32), "keys": [_steps(keys[a:b]) for a, b in zip(cuts, ends, strict=True)], "counts": [counts[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends, strict=True)]})
+            return pd.DataFrame({"seg": seg[cuts].astype(np.int32), "keys": [_steps(keys[a:b]) for a, b in zip(cuts, ends, strict=True)], "counts": [zlib.compress(counts[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for a, b in zip(cuts, ends, strict=True)]})
 
         for b in batches:
             for i, j in _pieces(b["text"]):
@@ -184,7 +185,7 @@ def _segments(train: DataFrame, shape: Filter) -> DataFrame:
             yield out()
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = np.concatenate([_unsteps(k) for k in rows["keys"]]), np.frombuffer(b"".join(rows["counts"]), dtype="<u4")
+        keys, counts = np.concatenate([_unsteps(k) for k in rows["keys"]]), np.concatenate([np.frombuffer(zlib.decompress(c), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for c in rows["counts"]])
         keys, at = np.unique(keys, return_inverse=True)
         return pd.DataFrame({"seg": [key[0]], "bits": [shape.build(keys, np.bincount(at, counts, len(keys)))]})
 
@@ -283,6 +284,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     numbered = base.withColumn("uid", F.monotonically_increasing_id())
     if held_bits <= max_bits:
         name, sizes, starts = _laid_out(segments, shape.n)
+        forget(segments)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             grams, digests = Filter(shape.n, sizes, bits=np.memmap(SparkFiles.get(name), dtype=np.uint8, mode="r"), starts=starts), _Digests()
@@ -319,7 +321,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         asks = held.groupBy("chunk").applyInPandas(ask, "chunk bigint, seg int, keys binary")
         answers = asks.groupBy("seg").cogroup(segments.groupBy("seg")).applyInPandas(answer, "chunk bigint, keys binary, levels binary")
         each = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(use, schema)
-    each = written(each, "scores")
+    each = written(each, "scores", "zstd")
     rare = each.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     found = rare.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     found = found.groupBy("uid").agg(F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(float(rest)))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
