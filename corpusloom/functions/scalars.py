@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Entity types by id prefix.
 PREFIXES = {"PRG": "program", "FEAT": "feature", "SPEC": "spec", "TASK": "task", "KNOW": "knowledge", "LRN": "learning"}
 
+#: White space at the ends of lines and fields.
+WHITE = " \t\n\v\f\r"
+
 
 def token_estimate(text: Column) -> Column:
     """Four code points a token, rounded up; none for an empty or null text."""
@@ -28,7 +31,7 @@ def without_evidence(body: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space at either end: tabs and line ends too, not spaces alone."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def evidence_field(body: Column, name: str) -> Column:

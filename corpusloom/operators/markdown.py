@@ -31,10 +31,12 @@ def sections(files: DataFrame) -> DataFrame:
     """``path, ord, level, heading, anchor, start_line, end_line, body``: a section for each heading outside
     fences, and one of level 0 for what comes first.  A file's sections are made in one row by a fold, so
     there is no shuffle."""
-    parts = files.select("path", F.split("content", "\n", -1).alias("ls")).withColumn("mask", fence_mask(F.col("ls")))
+    parts = files.select("path", F.split("content", "\n", -1).alias("ls"))
     bare = lambda x: F.regexp_replace(x, r"\r\z", "")
-    heads = F.filter(F.sequence(F.lit(1), F.size("ls")), lambda i: ~F.element_at("mask", i) & bare(F.element_at("ls", i)).rlike(r"(?d)\A#{1,6}[\t\f\r ]+"))
-    parts = parts.withColumn("heads", F.concat(F.array(F.lit(0)), heads))
+    # the mask is part of the filtered array: named inside the lambda, it would be folded again for each line
+    each = F.arrays_zip(F.sequence(F.lit(1), F.size("ls")).alias("i"), F.col("ls").alias("line"), fence_mask(F.col("ls")).alias("fenced"))
+    heads = F.filter(each, lambda x: ~x["fenced"] & bare(x["line"]).rlike(r"(?d)\A#{1,6}[\t\f\r ]+"))
+    parts = parts.withColumn("heads", F.concat(F.array(F.lit(0)), F.transform(heads, lambda x: x["i"])))
     rows = parts.select("path", "ls", "heads", F.posexplode("heads").alias("ord", "at"))
     end = F.when(F.col("ord") + 1 < F.size("heads"), F.try_element_at("heads", F.col("ord") + 2) - 1).otherwise(F.size("ls"))
     raw = bare(F.when(F.col("at") > 0, F.try_element_at("ls", F.greatest("at", F.lit(1)))))

@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import markdown
+from . import cycles, markdown
 
 
 def _values(body: Column, label: str) -> Column:
     """What follows ``label:`` on each line that starts with it."""
     pattern = rf"(?d)\A{label}:[\t\f\r ]*(.+)\z"
-    found = F.filter(F.transform(F.split(body, "\n", -1), lambda x: F.trim(x)), lambda x: x.rlike(pattern))
-    return F.transform(found, lambda x: F.trim(F.regexp_extract(x, pattern, 1)))
+    found = F.filter(F.split(body, "\n", -1), lambda x: S.stripped(x).rlike(pattern))
+    return F.transform(found, lambda x: S.stripped(F.regexp_extract(S.stripped(x), pattern, 1)))
 
 
 def _entries(body: Column, label: str) -> Column:
     """The parts of the comma lists of all ``label:`` lines, in order, without empty ones."""
     parts = F.flatten(F.transform(_values(body, label), lambda x: F.split(x, ",", -1)))
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(parts, S.stripped), lambda x: x != "")
 
 
 def rows(files: DataFrame, width: int = 3) -> DataFrame:
@@ -69,3 +69,16 @@ def findings(tasks: DataFrame) -> DataFrame:
     lost = dangling(tasks).select(F.lit("invalid_task_dependency").alias("code"), "path", F.concat(one, F.lit(" depends on TASK-"), F.format_string("%03d", F.col("missing"))).alias("message"))
     bare = tasks.where("size(serves) = 0 and size(bad_serves) = 0").select(F.lit("task_without_requirement").alias("code"), "path", F.concat(one, F.lit(" serves no requirement")).alias("message"))
     return twice.unionByName(bad).unionByName(lost).unionByName(bare)
+
+
+def dependency_findings(tasks: DataFrame, width: int = 3) -> DataFrame:
+    """``code, severity, path, message``: cycles of a file's tasks, and dependencies on tasks that it doesn't have.
+
+    Each entry of a list counts by itself.  The file's folder names the spec; a finding stands at the task's own place in the file.
+    """
+    spec, one = F.element_at(F.split("path", "/"), -2), lambda c: F.format_string(f"TASK-%0{width}d", F.col(c))
+    wanted = tasks.select("path", "number", F.explode("depends_on").alias("missing"))
+    lost = wanted.join(tasks.select("path", F.col("number").alias("missing")).distinct(), ["path", "missing"], "left_anti")
+    message = F.concat(spec, F.lit(":"), one("number"), F.lit(" depends on "), spec, F.lit(":"), one("missing"), F.lit(", which does not exist"))
+    lost = lost.select(F.lit("invalid_task_dependency").alias("code"), F.lit("error").alias("severity"), F.concat("path", F.lit("#"), one("number")).alias("path"), message.alias("message"))
+    return cycles.task_cycles(tasks, width).unionByName(lost)

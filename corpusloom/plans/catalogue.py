@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, artifacts, context, graph, markdown, search, tasks, validation
-from ..sources.tables import part_edges, part_references, spec_files, table, task_files, turn_files
+from ..operators import architecture, artifacts, context, cycles, graph, markdown, search, tasks, validation
+from ..sources.tables import linked_specs, linked_tasks, part_edges, part_references, spec_files, table, task_files, turn_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -393,3 +393,44 @@ def formal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT code, 'error' AS severity, path, message FROM x""")
 def artifact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.findings(spec_files(spark, sf_dir))
+
+
+#: A depth-first walk in SQL, a move of each group's walk a round.  ``graph(g, nodes, adj)`` has for each group its nodes in order and, for each
+#: node, the places of its targets in order, repeats included (0: a target that is no node).  A node is unseen (0), on the stack (1) or done (2).
+_WALK = """graph2 AS (SELECT g, nodes, adj, len(nodes) AS n FROM graph),
+ walk AS (
+  SELECT g, 0 AS i, list_transform(nodes, lambda x: 0) AS colour, []::INT[] AS stack, list_transform(nodes, lambda x: 1) AS pos, NULL::INT[] AS cycle, 0 AS root FROM graph2
+  UNION ALL
+  SELECT g, i + 1,
+   CASE WHEN move = 'pop' THEN list_transform(colour, lambda x, j: CASE WHEN j = top THEN 2 ELSE x END) WHEN go > 0 THEN list_transform(colour, lambda x, j: CASE WHEN j = go THEN 1 ELSE x END) ELSE colour END,
+   CASE WHEN move = 'pop' THEN stack[:len(stack) - 1] WHEN go > 0 THEN list_append(stack, go) ELSE stack END,
+   CASE WHEN move = 'step' THEN list_transform(pos, lambda x, j: CASE WHEN j = top THEN x + 1 ELSE x END) ELSE pos END,
+   CASE WHEN move = 'step' AND nxt > 0 AND colour[nxt] = 1 THEN list_append(stack[list_position(stack, nxt):], nxt) END,
+   CASE WHEN move = 'start' THEN go ELSE root END
+  FROM (SELECT *, CASE WHEN move = 'start' THEN list_position(colour, 0) WHEN move = 'step' AND nxt > 0 AND colour[nxt] = 0 THEN nxt ELSE 0 END::INT AS go FROM (
+   SELECT *, CASE WHEN len(stack) = 0 THEN 'start' WHEN pos[top] > len(adj[top]) THEN 'pop' ELSE 'step' END AS move, CASE WHEN len(stack) > 0 THEN adj[top][pos[top]] END AS nxt FROM (
+    SELECT w.*, x.adj, CASE WHEN len(w.stack) > 0 THEN w.stack[-1] END AS top FROM walk w JOIN graph2 x ON x.g = w.g WHERE len(w.stack) > 0 OR list_contains(w.colour, 0))))),
+ found AS (SELECT w.g, x.nodes[w.root] AS root, i, list_transform(w.cycle, lambda j: x.nodes[j]) AS path FROM walk w JOIN graph2 x ON x.g = w.g WHERE w.cycle IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT c_custkey AS k, c_custkey // 80 AS g, (c_custkey // 80) * 80 + (c_custkey + 1 + c_nationkey % 3) % 80 AS one, (c_custkey // 80) * 80 + floor(abs(c_acctbal))::BIGINT % 80 AS two FROM customer WHERE c_custkey > 0),
+ e AS (SELECT g, k AS src, unnest(CASE WHEN k % 10 = 0 THEN [k, one, one] ELSE [one, two] END) AS dst FROM s WHERE k % 9 <> 0),
+ ns AS (SELECT g, list(k ORDER BY k) AS nodes FROM s GROUP BY g),
+ adj1 AS (SELECT s.g, s.k, list_sort(list(list_position(nodes, e.dst)) FILTER (e.dst IS NOT NULL AND list_contains(nodes, e.dst))) AS a FROM s JOIN ns ON ns.g = s.g LEFT JOIN e ON e.src = s.k GROUP BY s.g, s.k),
+ graph AS (SELECT ns.g, nodes, list(coalesce(a, []) ORDER BY k) AS adj FROM ns JOIN adj1 ON adj1.g = ns.g GROUP BY ns.g, nodes), {_WALK}
+SELECT 'dependency_cycle' AS code, 'error' AS severity, printf('specs/SPEC-%03d/spec.md', path[1]) AS path, 'dependency cycle: ' || array_to_string(list_transform(path, lambda x: printf('SPEC-%03d', x)), ' -> ') AS message FROM found""")
+def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = linked_specs(spark, sf_dir)
+    return cycles.spec_cycles(artifacts.metadata(files), artifacts.entities(files))
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT l_orderkey AS g, l_linenumber AS k, l_partkey % 8 + 1 AS one, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey % 7 + 1 END AS two FROM lineitem),
+ e AS (SELECT g, k AS src, one AS dst FROM t UNION ALL SELECT g, k, two FROM t WHERE two IS NOT NULL),
+ ns AS (SELECT g, list(DISTINCT k ORDER BY k) AS nodes FROM t GROUP BY g),
+ adj1 AS (SELECT ns.g, e.src AS k, list_sort(list(list_position(nodes, e.dst)) FILTER (list_contains(nodes, e.dst))) AS a FROM ns JOIN e ON e.g = ns.g GROUP BY ns.g, e.src),
+ graph AS (SELECT ns.g, nodes, list(coalesce(a, []) ORDER BY k) AS adj FROM ns JOIN adj1 ON adj1.g = ns.g GROUP BY ns.g, nodes), {_WALK}
+SELECT 'task_dependency_cycle' AS code, 'error' AS severity, printf('specs/SPEC-%d/tasks.md#TASK-%03d', g, path[1]) AS path,
+ 'task dependency cycle: ' || array_to_string(list_transform(path, lambda x: printf('SPEC-%d:TASK-%03d', g, x)), ' -> ') AS message FROM found
+UNION ALL SELECT 'invalid_task_dependency', 'error', printf('specs/SPEC-%d/tasks.md#TASK-%03d', g, src), printf('SPEC-%d:TASK-%03d depends on SPEC-%d:TASK-%03d, which does not exist', g, src, g, dst) FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.g = e.g AND t.k = e.dst)""")
+def task_dependency_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.dependency_findings(tasks.rows(linked_tasks(spark, sf_dir)))

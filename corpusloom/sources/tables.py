@@ -78,3 +78,26 @@ def spec_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("---\nid: "), name("FEAT", F.col("s")), F.lit("\ntype: feature\nstatus: active\nparent: PRG-001\n---\n# Feature\n"))
     places = F.explode(F.when(s % 4 == 0, F.array(F.lit("a/"), F.lit("b/"))).otherwise(F.array(F.lit("a/"))))
     return specs.union(table(spark, sf_dir, "supplier").select(s.alias("s"), places.alias("at")).select(F.concat("at", name("FEAT", F.col("s")), F.lit("/feature.md")), text))
+
+
+def linked_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spec file for each customer that depends on two others of its eighty, by its nation and its balance; those of
+    every tenth are itself and one twice, and every ninth has no front matter that ends."""
+    k, name = F.col("c_custkey"), lambda n: F.format_string("SPEC-%03d", n.cast("long"))
+    at = lambda x: F.expr("c_custkey div 80") * 80 + F.pmod(x, F.lit(80))
+    one, two = at(k + 1 + F.col("c_nationkey") % 3), at(F.floor(F.abs("c_acctbal")).cast("long"))
+    deps = F.when(k % 10 == 0, F.concat(name(k), F.lit(", "), name(one), F.lit(", "), name(one))).otherwise(F.concat(name(one), F.lit(", "), name(two), F.lit(", KNOW-001")))
+    content = F.concat(F.lit("---\nid: "), name(k), F.lit("\ntype: spec\nstatus: draft\ndepends_on: ["), deps, F.lit("]\n"), F.when(k % 9 == 0, "").otherwise("---\n"), F.lit("# Spec\n"))
+    return table(spark, sf_dir, "customer").where(k > 0).select(F.concat(F.lit("specs/"), name(k), F.lit("/spec.md")).alias("path"), content.alias("content"))
+
+
+def linked_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task file for each order: a task for each of its lines that depends on two others by the line's part and supplier,
+    some of which aren't there; lines of odd parts are written with tabs and carriage returns."""
+    n, name = F.col("l_linenumber"), lambda x: F.format_string("TASK-%03d", x.cast("long"))
+    deps = F.concat(name(F.col("l_partkey") % 8 + 1), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit(", "), name(F.col("l_suppkey") % 7 + 1))))
+    line = F.when(F.col("l_partkey") % 2 == 1, F.concat(F.lit("\tDepends on:\t"), deps, F.lit("\r"))).otherwise(F.concat(F.lit("Depends on: "), deps))
+    text = F.concat(F.lit("## "), name(n), F.lit(" line\n- [ ] ship\n"), line, F.when(F.col("l_suppkey") % 5 == 0, "\n\tServes:\tSPEC-001:R1\r").otherwise(""))
+    files = table(spark, sf_dir, "lineitem").select("l_orderkey", n, text.alias("text")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "text"))).alias("xs"))
+    path = F.concat(F.lit("specs/SPEC-"), F.col("l_orderkey").cast("string"), F.lit("/tasks.md"))
+    return files.select(path.alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["text"]), "\n")).alias("content"))
