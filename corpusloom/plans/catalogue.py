@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, artifacts, context, cycles, graph, markdown, search, tasks, validation
+from ..operators import architecture, artifacts, context, cycles, graph, impact, markdown, search, tasks, validation
 from ..sources.tables import linked_specs, linked_tasks, part_edges, part_references, spec_files, table, task_files, turn_files
 
 QUERIES: dict = {}
@@ -434,3 +434,33 @@ SELECT 'task_dependency_cycle' AS code, 'error' AS severity, printf('specs/SPEC-
 UNION ALL SELECT 'invalid_task_dependency', 'error', printf('specs/SPEC-%d/tasks.md#TASK-%03d', g, src), printf('SPEC-%d:TASK-%03d depends on SPEC-%d:TASK-%03d, which does not exist', g, src, g, dst) FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.g = e.g AND t.k = e.dst)""")
 def task_dependency_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.dependency_findings(tasks.rows(linked_tasks(spark, sf_dir)))
+
+
+_IMPACT = f"""{_EDGES}, b AS (SELECT dst AS f, src AS t, rel, CASE WHEN rel = 'wikilink' THEN 1000000000000 ELSE 0 END + src AS o FROM (SELECT src, dst, CASE (src + dst) % 4 WHEN 0 THEN 'parent' WHEN 1 THEN 'depends_on' WHEN 2 THEN 'supersedes' ELSE 'wikilink' END AS rel FROM edges)),
+ ch AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 97 = 0), rq AS (SELECT p_partkey AS id, p_size % 4 + 1 AS r FROM part WHERE p_partkey <= 999),
+ w USING KEY (id) AS (SELECT id, [id] AS key, '' AS route FROM ch UNION
+  SELECT b.t, min(list_append(w.key, b.o)), arg_min(w.route || '>' || rel || ':' || b.t, list_append(w.key, b.o)) FROM w JOIN b ON b.f = w.id WHERE b.t NOT IN (SELECT id FROM recurring.w) GROUP BY b.t),
+ p AS (SELECT b.t AS id, [len(w.key)] || list_append(w.key, b.o) AS seq, w.route || '>' || rel || ':' || b.t AS route, rel, b.f FROM w JOIN b ON b.f = w.id WHERE b.t NOT IN (SELECT id FROM ch)),
+ i AS (SELECT id, count(*) AS n_paths, arg_min(route, seq) AS route, arg_min(rel, seq) AS rel, arg_min(f, seq) AS f, sum(len(string_split(route, '>')) - 1)::BIGINT AS hops FROM p GROUP BY id),
+ tk AS (SELECT l_orderkey AS id, l_linenumber AS r, count(*) AS n_paths, min(CASE l_returnflag WHEN 'R' THEN '0failed' WHEN 'N' THEN '2verified' ELSE '1stale' END) AS s FROM lineitem JOIN rq ON rq.id = l_orderkey AND rq.r = l_linenumber WHERE l_partkey % 999 + 1 = l_orderkey GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {_IMPACT}
+SELECT printf('SPEC-%03d', id) AS id, 'parts/' || id || '.md' AS path, CASE WHEN rel = 'wikilink' THEN 'suggested_review' ELSE 'deterministic_invalidation' END AS classification, CASE WHEN rel = 'wikilink' THEN 'low' ELSE 'high' END AS severity,
+ CASE WHEN rel = 'wikilink' THEN printf('SPEC-%03d references SPEC-%03d (from parts/%d.md), which changed between v1 and v2', id, f, id) ELSE printf('SPEC-%03d %s SPEC-%03d, which changed between v1 and v2', id, rel, f) END AS reason, NULL AS reverify, n_paths, route, hops FROM i
+UNION ALL SELECT printf('SPEC-%03d:TASK-%03d', id, r), printf('specs/SPEC-%d/tasks.md#TASK-%03d', id, r), 'deterministic_invalidation', CASE WHEN s = '2verified' THEN 'medium' ELSE 'high' END,
+ printf('TASK-%03d serves SPEC-%03d:R%d, whose content changed between v1 and v2', r, id, r) || CASE WHEN s = '2verified' THEN '' ELSE '; its own recorded evidence is already ' || s[2:] || ' against its current content' END, printf('SPEC-%03d:TASK-%03d', id, r), n_paths, '>' || CASE WHEN s = '2verified' THEN 'coverage:' ELSE 'evidence:' END || printf('%d:TASK-%03d', id, r), n_paths FROM tk
+UNION ALL SELECT printf('SPEC-%03d', id), NULL, 'no_known_relation', NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT id FROM ch UNION SELECT id FROM rq) x WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.id = x.id) AND NOT (x.id IN (SELECT id FROM ch) AND EXISTS (SELECT 1 FROM b WHERE b.f = x.id))""")
+def impact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 97th part changed as a whole and one requirement of each of the first 999: what that reaches over references and tasks."""
+    name = lambda c: F.format_string("SPEC-%03d", F.col(c).cast("long"))
+    e, kind = part_edges(spark, sf_dir), (F.col("src") + F.col("dst")) % 4
+    relation = F.when(kind == 0, "parent").when(kind == 1, "depends_on").when(kind == 2, "supersedes").otherwise("wikilink")
+    refs = e.select(name("src").alias("source_id"), name("dst").alias("target_id"), relation.alias("relation"), F.concat(F.lit("parts/"), F.col("src").cast("string"), F.lit(".md")).alias("source_path"), F.col("src").alias("source_rank"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    whole = parts.where("k % 97 = 0").select(name("k").alias("id"), F.lit(None).cast("int").alias("requirement"), F.lit("").alias("spec_dir"), F.col("k").alias("ord"))
+    some = parts.where("k <= 999").select(name("k"), (F.col("p_size") % 4 + 1).cast("int"), F.concat(F.lit("specs/SPEC-"), F.col("k").cast("string")), F.col("k"))
+    out = impact.analyze(whole.union(some), refs, tasks.rows(task_files(spark, sf_dir)), "v1", "v2")
+    number = lambda x: F.regexp_replace(x, r"\ASPEC-0*", "")
+    route = F.aggregate(F.element_at("paths", 1), F.lit(""), lambda s, h: F.concat(s, F.lit(">"), h["relation"], F.lit(":"), number(h["to_id"])))
+    return out.select("id", "path", "classification", "severity", "reason", "reverify", F.col("n_paths").cast("long").alias("n_paths"), route.alias("route"), F.aggregate("paths", F.lit(0).cast("long"), lambda s, p: s + F.size(p)).alias("hops"))
