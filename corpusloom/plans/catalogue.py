@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, artifacts, context, cycles, graph, impact, markdown, search, tasks, validation
+from ..operators import architecture, artifacts, context, cycles, fulltext, graph, impact, markdown, search, tasks, validation
 from ..sources.tables import linked_specs, linked_tasks, part_edges, part_references, spec_files, table, task_files, turn_files
 
 QUERIES: dict = {}
@@ -464,3 +464,41 @@ def impact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda x: F.regexp_replace(x, r"\ASPEC-0*", "")
     route = F.aggregate(F.element_at("paths", 1), F.lit(""), lambda s, h: F.concat(s, F.lit(">"), h["relation"], F.lit(":"), number(h["to_id"])))
     return out.select("id", "path", "classification", "severity", "reason", "reverify", F.col("n_paths").cast("long").alias("n_paths"), route.alias("route"), F.aggregate("paths", F.lit(0).cast("long"), lambda s, p: s + F.size(p)).alias("hops"))
+
+
+_TERMS = r"""tk AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(source, '') || ' ' || coalesce(lang, ''))), '[\p{L}\p{N}]+') AS hs, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+') AS ts FROM documents),
+ z AS (SELECT doc_id, len(hs) AS nh, len(hs) + len(ts) AS dl, hs || [chr(1)] || ts AS z FROM tk),"""
+
+
+def _bm25_sql(rows: str, phrases: int, holds: str) -> str:
+    """Rank from ``f0..`` and ``h0..`` of ``rows``, the places of each phrase and whether a row has it."""
+    part = lambda k: f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / mean))"
+    counts = ", ".join(f"count(*) FILTER (h{k}) AS d{k}" for k in range(phrases))
+    return f""" s AS (SELECT count(*) AS n, avg(dl) AS mean, {counts} FROM {rows})
+SELECT doc_id, row_number() OVER (ORDER BY rank, doc_id) AS position, round(rank, 6) AS rank FROM (SELECT doc_id, -({" + ".join(map(part, range(phrases)))}) AS rank FROM {rows}, s WHERE {holds}) QUALIFY position <= 100"""
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("lang", F.lit(""))).alias("heading"), F.col("text").alias("content"))
+
+
+def _searched(spark: SparkSession, sf_dir: str, node) -> DataFrame:
+    hits = fulltext.search(fulltext.index(_headed(spark, sf_dir), "doc_id"), node)
+    return context.ranked(hits, F.col("rank"), F.col("id")).select(F.col("id").alias("doc_id"), "position", F.round("rank", 6).alias("rank"))
+
+
+@query(f"""WITH {_TERMS} r AS (SELECT doc_id, dl, len(list_filter(range(1, len(z) + 1), lambda i: z[i] = 'de' AND z[i + 1] = 'la')) AS f0, len(list_filter(z, lambda x: x = 'que')) AS f1, len(list_filter(z, lambda x: x = 'ere')) AS f2, f0 > 0 AS h0, f1 > 0 AS h1, f2 > 0 AS h2 FROM z), {_bm25_sql("r", 3, "h0 AND h1 AND h2")}""")
+def fts_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A free text with a hyphen, an accent, operators' characters and a word without terms."""
+    return _searched(spark, sf_dir, fulltext.free('DE-la ("que ÉRE* --- '))
+
+
+@query(f"""WITH {_TERMS} i AS (SELECT doc_id, dl, z, nh, list_filter(range(1, len(z) + 1), lambda i: z[i] = 'the' AND z[i + 1] = 'of' AND z[i + 2] = 'and') AS p0,
+  list_filter(range(1, len(z) + 1), lambda i: z[i] = 'de' AND z[i + 1] = 'la') AS p1, list_filter(range(1, len(z) + 1), lambda i: z[i] = 'que') AS p2, list_filter(range(nh + 2, len(z) + 1), lambda i: starts_with(z[i], 'enre')) AS p3, list_filter([1, nh + 2], lambda i: z[i] = 'src7') AS p4,
+  list_contains(z[:nh], 'de') OR len(list_filter(range(1, len(z) + 1), lambda i: z[i] = 'und' AND z[i + 1] = 'der')) > 0 AS no FROM z),
+ e AS (SELECT *, list_filter(list_distinct(p1 || p2), lambda m: len(list_filter(p1, lambda y: y <= m AND m <= y + 8)) > 0 AND len(list_filter(p2, lambda y: y <= m AND m <= y + 7)) > 0) AS ends FROM i),
+ r AS (SELECT doc_id, dl, no, len(p0) AS f0, len(list_filter(p1, lambda y: len(list_filter(ends, lambda m: y <= m AND m <= y + 8)) > 0)) AS f1, len(list_filter(p2, lambda y: len(list_filter(ends, lambda m: y <= m AND m <= y + 7)) > 0)) AS f2, len(p3) AS f3, len(p4) AS f4,
+  len(p0) > 0 AS h0, len(p1) > 0 AS h1, len(p2) > 0 AS h2, len(p3) > 0 AS h3, len(p4) > 0 AS h4 FROM e), {_bm25_sql("r", 5, "NOT no AND (f0 > 0 OR (f1 > 0 AND f2 > 0) OR f3 > 0 OR f4 > 0)")}""")
+def fts_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, a prefix in one column, a first word, nearness and exclusion in one expression."""
+    return _searched(spark, sf_dir, fulltext.advanced('("the of" + and OR NEAR("de la" que, 6) OR content : enré* OR ^src7) NOT (heading : de OR "und der")'))
