@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 
 def fence_mask(lines: Column) -> Column:
     """For each line whether it is in a fence, its marks included: only the same mark closes one, and an
@@ -74,5 +76,22 @@ def occurrences(links: DataFrame, secs: DataFrame) -> DataFrame:
 
 
 def units(text: Column) -> Column:
-    """A text cut at blank lines, which stay with the unit before; joined they are the text."""
-    return F.filter(F.split(F.regexp_replace(text, r"(\n[\t ]*(?:\n[\t ]*)*\n)", "$1\u0000"), "\u0000"), lambda x: x != "")
+    """A text cut after blank lines outside fences; those stay with the unit before, leading ones with the first.
+
+    Joined, the units are the text; an empty or null text has none.  A fold over the lines finds the cuts, and units are joined from lines.
+    """
+    def step(s: Column, x: Column) -> Column:
+        blank = ~x["fenced"] & (F.btrim(x["line"], F.lit(S.WHITE)) == "")
+        cut = blank & s["filled"]
+        return F.struct(F.when(cut, False).otherwise(s["filled"] | ~blank).alias("filled"), F.when(cut, F.concat(s["cuts"], F.array(x["i"]))).otherwise(s["cuts"]).alias("cuts"))
+
+    ls = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    each = F.arrays_zip(F.sequence(F.lit(1), F.size(ls)).alias("i"), ls.alias("line"), fence_mask(ls).alias("fenced"))
+    cuts = F.aggregate(each, F.struct(F.lit(False).alias("filled"), F.array().cast("array<int>").alias("cuts")), step, lambda s: s["cuts"])
+    ends = F.array_distinct(F.concat(cuts, F.array(F.size(ls))))
+    # lines and ends are bound to names here, so that they are worked out once
+    def joined(x: Column) -> Column:
+        first = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at(x["ends"], F.greatest(k, F.lit(1))) + 1)
+        return F.transform(x["ends"], lambda end, k: F.concat(F.array_join(F.slice(x["ls"], first(k), end - first(k) + 1), "\n"), F.when(end < F.size(x["ls"]), "\n").otherwise("")))
+
+    return F.filter(F.element_at(F.transform(F.array(F.struct(ls.alias("ls"), ends.alias("ends"))), joined), 1), lambda x: x != "")

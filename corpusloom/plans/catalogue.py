@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, artifacts, context, cycles, fulltext, graph, impact, markdown, search, tasks, validation
-from ..sources.tables import linked_specs, linked_tasks, part_edges, part_references, spec_files, table, task_files, turn_files
+from ..operators import architecture, artifacts, candidates, context, cycles, fulltext, graph, impact, markdown, search, tasks, validation
+from ..sources.tables import customer_references, headed_specs, linked_specs, linked_tasks, part_edges, part_references, spec_files, table, task_files, turn_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -502,3 +502,57 @@ def fts_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fts_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases, a prefix in one column, a first word, nearness and exclusion in one expression."""
     return _searched(spark, sf_dir, fulltext.advanced('("the of" + and OR NEAR("de la" que, 6) OR content : enré* OR ^src7) NOT (heading : de OR "und der")'))
+
+
+_CONTEXT = """c AS (SELECT c_custkey AS k, c_name, c_nationkey, c_mktsegment AS seg, floor(abs(c_acctbal))::BIGINT AS bal FROM customer), q AS (SELECT k FROM c WHERE k % 50 = 0),
+ sec AS (SELECT k, 1 AS o, 1 AS s, 2 AS e, 'Spec ' || k AS heading, '' AS anchor, 'about ' || seg AS body, NULL::VARCHAR AS u1, '' AS up FROM c
+  UNION ALL SELECT k, 2, 3, 6, 'Requirements', 'req', 'R1 ' || c_name || chr(10) || chr(10) || 'R2 nation ' || c_nationkey || ' ' || seg, 'R1 ' || c_name || chr(10) || chr(10), 'Spec ' || k FROM c
+  UNION ALL SELECT k, 3, 7, 7, 'Empty', 'none', '', NULL, 'Spec ' || k FROM c UNION ALL SELECT k, 4, 8, 9, 'Deep', 'deep', 'deep ' || bal, NULL, 'Spec ' || k || '/Empty' FROM c),
+ ref AS (SELECT k AS src, (k * 3 + 1) % 100 AS dst, 'parent' AS rel, 0 AS link, 0 AS o, '' AS ss, 0 AS sl, '' AS ta FROM c UNION ALL SELECT k, (k * 7 + 2) % 100, 'depends_on', 0, 1, '', 0, '' FROM c
+  UNION ALL SELECT k, (k * 11 + 3) % 100, 'wikilink', 1, 2, CASE WHEN k % 2 = 0 THEN 'Requirements' ELSE 'Notes' END, 6, ['', 'deep', 'none', 'missing'][k % 4 + 1] FROM c),
+ one AS (SELECT q.k AS request, dst AS id, [2 + link, src, o] AS seq, 1 + link AS tier, rel, src AS sp, ss, sl, ta FROM q JOIN ref ON src = q.k UNION ALL SELECT q.k, src, [4 + link, src, o], 2, 'backlink', src, ss, sl, ta FROM q JOIN ref ON dst = q.k),
+ named AS (SELECT * FROM one UNION ALL SELECT f.request, r.dst, [6] || f.seq || [r.link, r.src, r.o], 4, r.rel, r.src, r.ss, r.sl, r.ta FROM one f JOIN ref r ON r.src = f.id),
+ base AS (SELECT * FROM named WHERE NOT (rel = 'wikilink' AND ta <> '') UNION ALL SELECT k, k, [1], 0, 'target', NULL, '', 0, '' FROM q UNION ALL SELECT k, 99, [0], 0, 'constitution', NULL, '', 0, '' FROM q),
+ cand AS (SELECT request, id AS k, x.o, x.s, x.e, seq || [x.o] AS seq, tier, rel, sp, ss, sl, ta, 0.0 AS rank, NULL AS up FROM base JOIN sec x ON x.k = id AND body <> ''
+  UNION ALL SELECT request, id, x.o, x.s, x.e, seq || [0], tier, rel, sp, ss, sl, ta, 0.0, up FROM named JOIN sec x ON x.k = id AND x.anchor = ta WHERE rel = 'wikilink' AND ta <> ''
+  UNION ALL SELECT q.k, (q.k + 17) % 100, 4, 8, 9, [7], 3, 'text_match', NULL, '', 0, '', -(q.k % 7) / 2.0, NULL FROM q),
+ rs AS (SELECT request, k, o, s, e, tier, rel, sp, ss, sl, ta, seq, bool_or(tier <> 4) OVER (PARTITION BY request, k, s, e) AS direct FROM (SELECT request, k, o, s, e, tier, rel, sp, ss, sl, ta, min(seq) AS seq FROM cand GROUP BY ALL)),
+ m AS (SELECT request, k, o, s, e, min(tier) AS tier, string_agg(tier || ':' || rel || ':' || coalesce(sp::VARCHAR, '') || ':' || ss || ':' || sl || ':' || ta, ';' ORDER BY seq) AS reasons, max(CASE rel WHEN 'constitution' THEN 100 WHEN 'target' THEN 100 WHEN 'wikilink' THEN 80 WHEN 'backlink' THEN 65 WHEN 'text_match' THEN 0 ELSE 90 END) AS w,
+   bool_or(rel IN ('backlink', 'text_match')) AS liked, bool_or(rel = 'text_match') AS found, bool_or(ss = 'Requirements') AS req FROM rs WHERE tier <> 4 OR NOT direct GROUP BY request, k, o, s, e),
+ ex AS (SELECT request, k, s, e, max_by(rank, seq) FILTER (rel = 'text_match') AS rank, min_by(up, seq) FILTER (up IS NOT NULL) AS up FROM cand GROUP BY ALL),
+ sc AS (SELECT m.*, ex.up, x.body, x.u1, w + CASE WHEN liked THEN 5 ELSE 0 END + CASE WHEN found THEN CASE WHEN rank >= 0 THEN 0 ELSE least(40, floor(-rank * 10))::INT END ELSE least(4, (length(t) - length(replace(t, 'furniture', ''))) // 9) * 10 END + CASE WHEN req THEN 15 ELSE 0 END AS score
+   FROM m JOIN ex USING (request, k, s, e) JOIN (SELECT *, lower(heading || chr(10) || body) AS t FROM sec) x ON x.k = m.k AND x.o = m.o),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY tier, score DESC, 'specs/' || k || '.md', s, e) AS position, (length(body) + 3) // 4 AS tokens, (length(u1) + 3) // 4 AS t1 FROM sc),
+ walk AS (SELECT k AS request, 0::BIGINT AS position, 0::BIGINT AS total, 0::BIGINT AS used, 0 AS how FROM q UNION ALL
+  SELECT r.request, r.position, w.total + CASE WHEN r.tier = 0 OR w.total + tokens <= 150 THEN tokens WHEN t1 <= 150 - w.total THEN t1 ELSE 0 END, CASE WHEN r.tier = 0 OR w.total + tokens <= 150 THEN tokens WHEN t1 <= 150 - w.total THEN t1 ELSE 0 END,
+   CASE WHEN r.tier = 0 OR w.total + tokens <= 150 THEN 2 WHEN t1 <= 150 - w.total THEN 1 ELSE 0 END FROM walk w JOIN rk r ON r.request = w.request AND r.position = w.position + 1)"""
+
+
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth customer's spec as a target: candidates of all sources, ranked, within 150 tokens."""
+    secs = markdown.sections(headed_specs(spark, sf_dir))
+    k = table(spark, sf_dir, "customer").select("c_custkey")
+    asked = k.where("c_custkey % 50 = 0").select(F.col("c_custkey").cast("string").alias("request"))
+    hit = asked.select("request", F.concat(F.lit("specs/"), ((F.col("request").cast("long") + 17) % 100).cast("string"), F.lit(".md")).alias("path"), (-(F.col("request").cast("long") % 7) / 2.0).alias("rank"))
+    hits = hit.join(secs.where("anchor = 'deep'"), "path").select("request", "path", "heading", F.col("body").alias("content"), "start_line", "end_line", "rank")
+    files = k.select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("specs/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"))
+    found = candidates.collect(asked.withColumn("target", F.col("request")), customer_references(spark, sf_dir), files, secs, hits, "specs/99.md")
+    rows = candidates.scored(candidates.merge(found), "validation", ["furniture"], prefer_section=True)
+    return candidates.filled(candidates.ranked(rows), 150, 100)
+
+
+@query(f"""WITH RECURSIVE {_CONTEXT}
+SELECT r.request::VARCHAR AS request, r.position, 'specs/' || k || '.md' AS path, s AS start_line, tier, score, reasons, up AS heading_path, used, CASE how WHEN 2 THEN sha256(body) WHEN 1 THEN sha256(u1) END AS content_sha256,
+ CASE WHEN how = 0 THEN CASE WHEN u1 IS NOT NULL THEN 'no_coherent_unit_fit' ELSE 'did_not_fit_remaining_budget' END END AS exclusion FROM rk r JOIN walk w ON w.request = r.request AND w.position = r.position""")
+def context_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _context(spark, sf_dir)
+    text = F.transform("reasons", lambda r: F.concat_ws(":", r["tier"].cast("string"), r["relation"], F.regexp_extract(r["source_path"], r"([0-9]+)\.md", 1), r["source_section"], r["source_line"].cast("string"), r["target_anchor"]))
+    return out.select("request", F.col("position").cast("long").alias("position"), "path", "start_line", "tier", "score", F.array_join(text, ";").alias("reasons"), F.array_join("heading_path", "/").alias("heading_path"), "used", F.sha2("content_kept", 256).alias("content_sha256"), "exclusion")
+
+
+@query(f"""WITH RECURSIVE {_CONTEXT}
+SELECT r.request::VARCHAR AS request, count(*) AS candidates_considered, count(*) FILTER (how > 0) AS items_selected, sum(tokens)::BIGINT AS tokens_available, sum(used)::BIGINT AS tokens_selected, count(*) FILTER (how = 0) AS exclusions,
+ round((sum(tokens) - sum(used)) / sum(tokens) * 100, 6) AS reduction_percent, greatest(sum(tokens) FILTER (tier = 0) - 100, 0)::BIGINT AS overage FROM rk r JOIN walk w ON w.request = r.request AND w.position = r.position GROUP BY 1""")
+def context_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = candidates.diagnostics(_context(spark, sf_dir), 100)
+    return out.select("request", "candidates_considered", "items_selected", "tokens_available", "tokens_selected", "exclusions", F.round("reduction_percent", 6).alias("reduction_percent"), "overage")

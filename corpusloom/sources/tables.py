@@ -101,3 +101,26 @@ def linked_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "lineitem").select("l_orderkey", n, text.alias("text")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "text"))).alias("xs"))
     path = F.concat(F.lit("specs/SPEC-"), F.col("l_orderkey").cast("string"), F.lit("/tasks.md"))
     return files.select(path.alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["text"]), "\n")).alias("content"))
+
+
+def headed_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spec file of four sections for each customer; one of them is empty, one lies two levels deep."""
+    k, seg = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    content = F.concat(
+        F.lit("# Spec "), k, F.lit("\nabout "), seg, F.lit("\n## Requirements {#req}\nR1 "), F.col("c_name"), F.lit("\n\nR2 nation "), F.col("c_nationkey").cast("string"), F.lit(" "), seg,
+        F.lit("\n## Empty {#none}\n### Deep {#deep}\ndeep "), F.floor(F.abs("c_acctbal")).cast("string"),
+    )
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("specs/"), k, F.lit(".md")).alias("path"), content.alias("content"))
+
+
+def customer_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parent, a dependency and a link of each customer among the first hundred, by arithmetic on its key."""
+    k = F.col("c_custkey")
+    anchor = F.when(k % 4 == 0, "").when(k % 4 == 1, "deep").when(k % 4 == 2, "none").otherwise("missing")
+    ref = lambda rel, to, n: F.struct(F.lit(rel).alias("relation"), to.cast("string").alias("target_id"), F.lit(n).alias("ord"))
+    rows = table(spark, sf_dir, "customer").select(k, F.explode(F.array(ref("parent", (k * 3 + 1) % 100, 0), ref("depends_on", (k * 7 + 2) % 100, 1), ref("wikilink", (k * 11 + 3) % 100, 2))).alias("x"), anchor.alias("a"))
+    link = F.col("x.relation") == "wikilink"
+    return rows.select(
+        k.cast("string").alias("source_id"), "x.target_id", "x.relation", F.concat(F.lit("specs/"), k.cast("string"), F.lit(".md")).alias("source_path"), k.alias("source_rank"), "x.ord",
+        F.when(link, F.when(k % 2 == 0, "Requirements").otherwise("Notes")).alias("source_section"), F.when(link, 6).alias("source_line"), F.when(link, F.col("a")).alias("target_anchor"),
+    )
