@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, artifacts, candidates, context, cycles, fulltext, graph, impact, markdown, search, tasks, validation
-from ..sources.tables import customer_references, headed_specs, linked_specs, linked_tasks, part_edges, part_references, spec_files, table, task_files, turn_files
+from ..operators import architecture, artifacts, candidates, context, cycles, fulltext, graph, impact, markdown, requirements, search, tasks, validation
+from ..sources.saved import saved
+from ..sources.tables import customer_references, headed_specs, linked_specs, linked_tasks, part_edges, part_references, requirement_files, spec_files, table, task_files, turn_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -556,3 +557,29 @@ SELECT r.request::VARCHAR AS request, count(*) AS candidates_considered, count(*
 def context_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = candidates.diagnostics(_context(spark, sf_dir), 100)
     return out.select("request", "candidates_considered", "items_selected", "tokens_available", "tokens_selected", "exclusions", F.round("reduction_percent", 6).alias("reduction_percent"), "overage")
+
+
+_SERVES = """sp AS (SELECT o_orderkey AS k, printf('SPEC-%06d', o_orderkey) AS spec, CASE o_orderstatus WHEN 'F' THEN 'draft' WHEN 'O' THEN 'ready' ELSE 'in_progress' END AS status FROM orders WHERE o_orderkey > 0),
+ rq AS (SELECT k, spec, unnest(range(1, k % 4 + 2)) AS n FROM sp),
+ t AS (SELECT l_orderkey AS k, printf('specs/SPEC-%06d/tasks.md#TASK-%06d', l_orderkey, l_linenumber) AS path, printf('TASK-%06d', l_linenumber) AS task, l_suppkey % 5 = 0 AS bare, CASE WHEN l_suppkey % 6 = 0 THEN l_orderkey + 1 ELSE l_orderkey END AS rk, l_partkey % 5 + 1 AS n, l_suppkey % 4 = 0 AS bad,
+  l_linestatus = 'F' AS checked, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'unverified' ELSE CASE WHEN l_partkey % 2 = 0 THEN 'verified' ELSE 'stale' END END AS state FROM lineitem WHERE l_orderkey IN (SELECT k FROM sp)),
+ gap AS (SELECT * FROM rq WHERE NOT EXISTS (SELECT 1 FROM t WHERE NOT bare AND t.rk = t.k AND t.k = rq.k AND t.n = rq.n))"""
+
+
+@query(f"""WITH {_SERVES}
+SELECT 'duplicate_requirement_id' AS code, 'error' AS severity, 'specs/' || spec || '/spec.md' AS path, spec || ': requirement R1 is declared more than once' AS message FROM sp WHERE k % 6 = 0
+UNION ALL SELECT 'task_without_requirement', 'error', path, task || ' has no Serves: reference' FROM t WHERE bare
+UNION ALL SELECT 'cross_spec_requirement_reference', 'error', path, printf('%s (owned by SPEC-%06d) references SPEC-%06d:R%d — coverage must reference the task''s own Spec', task, k, rk, n) FROM t WHERE NOT bare AND rk <> k
+UNION ALL SELECT 'unknown_requirement_reference', 'error', path, printf('%s references SPEC-%06d:R%d, which does not exist', task, rk, n) FROM t WHERE NOT bare AND rk = k AND n > k % 4 + 1
+UNION ALL SELECT 'unknown_requirement_reference', 'error', path, task || ' has a malformed Serves: reference "R\\"9"' FROM t WHERE NOT bare AND bad
+UNION ALL SELECT 'uncovered_requirement', 'error', 'specs/' || spec || '/spec.md', printf('%s: requirement R%d has no Task serving it', spec, n) FROM gap
+UNION ALL SELECT 'phase_gate_blocked', 'error', 'specs/' || spec || '/spec.md', printf('%s has status "%s" but incomplete requirement coverage — not ready for implementation', spec, status) FROM sp WHERE status <> 'draft' AND (k IN (SELECT k FROM gap) OR k IN (SELECT k FROM t WHERE bare))
+UNION ALL SELECT CASE state WHEN 'failed' THEN 'failed_task_evidence' WHEN 'stale' THEN 'stale_task_evidence' ELSE 'unverified_task' END, 'error', path, task || CASE state WHEN 'failed' THEN ' is checked complete but its most recent Evidence-Result: is "fail"' WHEN 'stale' THEN ' is checked complete but its recorded Evidence-Fingerprint no longer matches its own current content' ELSE ' is checked complete but has no Evidence-Result: at all' END FROM t WHERE checked AND state <> 'verified'""".replace('R\\\\"9', 'R\\"9'))
+def requirement_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of requirements by tasks from both sides, the phase gate, and the evidence of checked tasks."""
+    specs, task_texts = requirement_files(spark, sf_dir)
+    meta, known = saved(artifacts.metadata(specs).select("path", "error", "status", "body"), "metadata"), artifacts.entities(specs)
+    folder = F.regexp_replace("path", r"/[^/]*\z", "")
+    own = meta.where("error is null").join(known, "path").select(folder.alias("folder"), S.format_id("SPEC", F.col("number"), 6).alias("spec"), "status")
+    rows = saved(tasks.rows(task_texts, width=6), "tasks")
+    return requirements.findings(own, meta.where("body is not null").select("path", F.col("body").alias("content")), rows, width=6).unionByName(requirements.evidence_findings(rows, width=6))

@@ -124,3 +124,22 @@ def customer_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.cast("string").alias("source_id"), "x.target_id", "x.relation", F.concat(F.lit("specs/"), k.cast("string"), F.lit(".md")).alias("source_path"), k.alias("source_rank"), "x.ord",
         F.when(link, F.when(k % 2 == 0, "Requirements").otherwise("Notes")).alias("source_section"), F.when(link, 6).alias("source_line"), F.when(link, F.col("a")).alias("target_anchor"),
     )
+
+
+def requirement_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A spec file with one to four requirements for each order, and a task file with a task for each of its lines.
+
+    Every sixth spec declares R1 twice; a line serves its own order's requirement, another order's, none or a malformed one by its part and supplier."""
+    k, spec = F.col("o_orderkey"), lambda n: F.format_string("SPEC-%06d", n.cast("long"))
+    status = F.when(F.col("o_orderstatus") == "F", "draft").when(F.col("o_orderstatus") == "O", "ready").otherwise("in_progress")
+    heads = F.array_join(F.transform(F.sequence(F.lit(1), (k % 4 + 1).cast("int")), lambda i: F.concat(F.repeat(F.lit("#"), i + 1), F.lit(" R"), i.cast("string"), F.lit(": goal\nmust hold\n"))), "")
+    content = F.concat(F.lit("---\nid: "), spec(k), F.lit("\ntype: spec\nstatus: "), status, F.lit("\n---\n# Spec\n"), heads, F.when(k % 6 == 0, "## R1 again\nmust not\n").otherwise(""), F.lit("## R7x no requirement\n"))
+    specs = table(spark, sf_dir, "orders").where(k > 0).select(F.concat(F.lit("specs/"), spec(k), F.lit("/spec.md")).alias("path"), content.alias("content"))
+    n, own, sup = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_suppkey")
+    ref = F.concat(spec(F.when(sup % 6 == 0, own + 1).otherwise(own)), F.lit(":R"), (F.col("l_partkey") % 5 + 1).cast("string"))
+    text = F.concat(F.when(F.col("l_linestatus") == "F", "- [x] ship").otherwise("- [ ] ship"), F.when(sup % 5 == 0, "").otherwise(F.concat(F.lit("\n\tServes: "), ref, F.when(sup % 4 == 0, ', R"9').otherwise(""), F.lit("\r"))))
+    mark = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise("sha256:0")
+    proof = F.when(F.col("l_returnflag") == "A", "").otherwise(F.concat(F.lit("\nEvidence-Result: "), F.when(F.col("l_returnflag") == "R", "fail").otherwise("pass"), F.lit("\nEvidence-Fingerprint: "), mark))
+    lines = table(spark, sf_dir, "lineitem").where(own > 0).select(own, n, F.concat(F.format_string("## TASK-%06d line\n", n.cast("long")), text, proof).alias("task"))
+    files = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "task"))).alias("xs"))
+    return specs, files.select(F.concat(F.lit("specs/"), spec(F.col("l_orderkey")), F.lit("/tasks.md")).alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["task"]), "\n")).alias("content"))
