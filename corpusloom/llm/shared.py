@@ -123,6 +123,14 @@ def links_of_meetings(meets: DataFrame, similarity: float, alike, rounds: int =
     return links
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it a name that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def groups_of(texts: list, size: int = 300_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``size`` characters each; a longer text is by itself."""
     at, n = 0, 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import audio, counts, embeddings, lines, mixing, ngrams, pieces, simhash, toxicity, urls
 
 #: Names that operators use themselves.
-CLASHES = "score fp full block_cut row_cut weight mix_epoch mix_block mix_order lines_dropped piece_ids uid held chunk seg word edges root variant gid size s k host path rule verdict".split()
+CLASHES = "score fp full block_cut row_cut weight mix_epoch mix_block mix_order lines_dropped piece_ids uid held chunk seg word edges root variant gid size s k host path rule verdict tk n __drops __rk __dropped __toxic h1 h2 gid rk id no toxic_score nth text_key own_dropped".split()
 LONG = "alpha beta gamma " * 20_000
 
 
@@ -75,9 +75,27 @@ def test_stages_keep_columns_and_clean_rows(spark, table, clashing, tmp_path):
             assert (n == 0) == docs.isEmpty()
             if name in ("mixing", "sentencepiece"):
                 assert n >= docs.count()
+            if docs is clashing:
+                own = [c for c in CLASHES if c != "piece_ids"]
+                assert [tuple(r) for r in out.select(*[F.col(f"`{c}`") for c in own]).distinct().collect()] == [tuple(own)]
     assert corpus_pipeline.dedup_lines(spark, table, "").where("text is null or text = ''").count() == 2
 
 
+def test_simhash_stage_keeps_rows_of_any_type(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c d e f", {"k": 2}, b"x"), (1, "a b c d e f", {"k": 1}, b"y"), (2, "a b c d e f", {}, None), (3, "other text", None, None)], "doc_id long, text string, n map<string,int>, tk binary")
+    got = sorted((r["doc_id"], r["n"], r["tk"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == [(1, {"k": 1}, bytearray(b"y")), (3, None, None)]
+
+
+def test_alike_pairs_is_alike():
+    rng = np.random.default_rng(11)
+    xs = [" ".join("".join(rng.choice(list("abcd"), int(rng.integers(1, 7)))) for _ in range(int(rng.integers(1, 12)))) for _ in range(120)]
+    ys = [x if k % 3 == 0 else " ".join(w for w in x.split(" ") if rng.random() > 0.15) or "a" if k % 3 == 1 else xs[k - 1] for k, x in enumerate(xs)]
+    assert lines.alike_pairs(xs, ys, 0.8) == [lines.edit_distance(x, y, 10**6) <= int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(xs, ys, strict=True)]
+
+
 def test_line_stage_against_all_pairs(spark):
     import corpus_pipeline
 
