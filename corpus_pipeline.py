@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import lines, mixing, pieces, simhash, toxicity
 from corpusloom.llm.queries import held_out
-from corpusloom.llm.shared import written
+from corpusloom.llm.shared import fresh, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,28 +16,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored 0.7 or more by a model of the labelled ones that are not held out; null and empty texts
     stay, repeated rows share their fate, other columns pass as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(held_out(7).eqNullSafe(False))
-    return toxicity.score(docs, toxicity.fit(docs, labels), keep=tuple(docs.columns), out_col="__toxic").where("__toxic < 0.7").drop("__toxic").select(docs.columns)
+    score = fresh(docs, "toxic_score")
+    return toxicity.score(docs, toxicity.fit(docs, labels), keep=tuple(docs.columns), out_col=score).where(F.col(score) < 0.7).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one occurrence of each group of near-equal lines; drops documents of which nothing is left.  ``n_chars``
     follows the text where lines go; null and empty texts stay; other columns pass as they are."""
-    before = docs.withColumnRenamed("lines_dropped", "__dropped") if "lines_dropped" in docs.columns else docs
+    own = fresh(docs, "own_dropped")
+    before = docs.withColumnRenamed("lines_dropped", own)
     out = lines.dedup_lines(before, similarity=0.8)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("lines_dropped").withColumnRenamed("__dropped", "lines_dropped").select(docs.columns)
+    return out.drop("lines_dropped").withColumnRenamed(own, "lines_dropped").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group that a Jaccard similarity of 5-word shingles of 0.8 connects: of the smallest
-    id, then hash of the text, then the other columns.  Rows that share an id but not a group each stay, and
+    id, then hash of the text, then the other columns written as JSON.  Rows that share an id but not a group each stay, and
     so do rows without an id."""
     low = simhash.near_copies(docs, width=5, similarity=0.8).where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "tk")).alias("low"))
-    kept = docs.where("doc_id is not null").withColumn("tk", F.xxhash64("text")).join(low.select("low.doc_id", "low.tk").distinct(), ["doc_id", "tk"], "left_semi")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    same = Window.partitionBy("doc_id", "tk").orderBy("text", *rest)
-    once = kept.withColumn("n", F.row_number().over(same)).where("n = 1").select(docs.columns)
+    key, n = fresh(docs, "text_key"), fresh(docs, "nth")
+    kept = docs.where("doc_id is not null").withColumn(key, F.xxhash64("text")).join(low.select("low.doc_id", F.col("low.tk").alias(key)).distinct(), ["doc_id", key], "left_semi")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1).alias("x")]))
+    same = Window.partitionBy("doc_id", key).orderBy("text", rest)
+    once = kept.withColumn(n, F.row_number().over(same)).where(F.col(n) == 1).select(docs.columns)
     return once.union(docs.where("doc_id is null"))
 
 
