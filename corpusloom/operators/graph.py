@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.saved import saved
+
 
 def resolve(ids: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     """``key, state, paths``: found, not_found, or ambiguous with all paths in order."""
@@ -31,18 +33,16 @@ def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """``id, hops``: what reaches a changed id against the direction of references, with the fewest hops.
 
     A breadth-first walk: each round joins the frontier with the edges and leaves out what was seen; the
-    changed ids themselves are not reported.  It ends when the frontier is empty.  Rounds are checkpointed.
+    changed ids themselves are not reported.  It ends when the frontier is empty.  Edges and rounds are written tables.
     """
-    back = edges.select(F.col("dst").alias("id"), F.col("src").alias("next"))
-    seen = changed.select("id").distinct().withColumn("hops", F.lit(0))
-    front = seen
-    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.cache())
+    back = saved(edges.select(F.col("dst").alias("id"), F.col("src").alias("next")), "back")
+    seen = front = saved(changed.select("id").distinct().withColumn("hops", F.lit(0)), "front")
     for hop in count(1):
         front = front.select("id").join(back, "id").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
-        front = keep(front)
+        front = saved(front, "front")
         if front.isEmpty():
             break
-        seen = seen.union(front) if hop % 10 else keep(seen.union(front).coalesce(8))
+        seen = saved(seen.union(front), "seen") if hop % 10 == 0 else seen.union(front)
     return seen.where("hops > 0")
 
 

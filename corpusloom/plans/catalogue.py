@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, artifacts, candidates, context, cycles, fulltext, graph, impact, markdown, requirements, search, tasks, validation
-from ..sources.saved import saved
-from ..sources.tables import customer_references, headed_specs, linked_specs, linked_tasks, part_edges, part_references, requirement_files, spec_files, table, task_files, turn_files
+from ..operators import architecture, artifacts, candidates, context, cycles, fulltext, graph, impact, index_tables, markdown, requirements, search, tasks, validation
+from ..sources.saved import saved, shared_dir
+from ..sources.tables import customer_references, headed_specs, linked_specs, linked_tasks, part_edges, part_references, requirement_files, spec_files, spec_versions, table, task_files, turn_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -583,3 +585,19 @@ def requirement_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = meta.where("error is null").join(known, "path").select(folder.alias("folder"), S.format_id("SPEC", F.col("number"), 6).alias("spec"), "status")
     rows = saved(tasks.rows(task_texts, width=6), "tasks")
     return requirements.findings(own, meta.where("body is not null").select("path", F.col("body").alias("content")), rows, width=6).unionByName(requirements.evidence_findings(rows, width=6))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment || CASE WHEN c_custkey % 5 = 2 THEN ' changed' ELSE '' END AS seg, c_custkey * 7 % 97 + 1 AS t FROM customer WHERE c_custkey > 0),
+ a AS (SELECT *, CASE WHEN k % 35 = 3 THEN 'failed' ELSE ['indexed', 'removed', 'updated', 'skipped', 'skipped'][k % 5 + 1] END AS action, length(seg || chr(10) || printf('see [[SPEC-002#req]] [[SPEC-%03d]]', t)) AS one, length('R1 ' || c_name) AS two, CASE WHEN k % 5 IN (0, 2) THEN t % 5 <> 1 ELSE t % 5 <> 0 END AS linked FROM c)
+SELECT printf('programs/PRG-001/features/FEAT-001/specs/SPEC-%03d/spec.md', k) AS path, action, CASE WHEN action NOT IN ('failed', 'removed') THEN 'Spec ' || k END AS title, CASE WHEN action NOT IN ('failed', 'removed') THEN 2 ELSE 0 END::BIGINT AS chunks,
+ CASE WHEN action NOT IN ('failed', 'removed') THEN (one + 3) // 4 + (two + 3) // 4 END::BIGINT AS tokens, CASE WHEN action NOT IN ('failed', 'removed') THEN 2 + CAST(linked AS INT) ELSE 0 END::BIGINT AS links, CASE WHEN action NOT IN ('failed', 'removed') THEN 9 END AS line FROM a""")
+def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of the spec files synced one after another: what the second sync did, and what the tables hold then."""
+    first, second = spec_versions(spark, sf_dir)
+    at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index_tables.sync(first, at, 8)
+    done = index_tables.sync(second, at, 8)
+    docs, chunks, links = (index_tables.table(spark, at, n) for n in ("documents", "chunks", "links"))
+    per = chunks.groupBy("path").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+    out = done.join(docs.select("path", "title"), "path", "left").join(per, "path", "left").join(links.groupBy("path").agg(F.count("*").alias("links"), F.max("source_line").alias("line")), "path", "left")
+    return out.select("path", "action", "title", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), "tokens", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "line")

@@ -143,3 +143,15 @@ def requirement_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     lines = table(spark, sf_dir, "lineitem").where(own > 0).select(own, n, F.concat(F.format_string("## TASK-%06d line\n", n.cast("long")), text, proof).alias("task"))
     files = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "task"))).alias("xs"))
     return specs, files.select(F.concat(F.lit("specs/"), spec(F.col("l_orderkey")), F.lit("/tasks.md")).alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["task"]), "\n")).alias("content"))
+
+
+def spec_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Spec files of the customers at two points in time: a fifth is only in one, another fifth only in the other, a third
+    changes, and some have front matter without an end."""
+    k, name = F.col("c_custkey"), lambda n: F.format_string("SPEC-%03d", n.cast("long"))
+    head = F.concat(F.lit("---\nid: "), name(k), F.lit("\ntype: spec\nstatus: draft\ndepends_on: [SPEC-001]\n"), F.when(k % 35 == 3, "").otherwise("---\n"), F.lit("# Spec "), k.cast("string"), F.lit("\n"), F.col("c_mktsegment"))
+    tail = F.concat(F.lit("\nsee [[SPEC-002#req]] [["), name(k * 7 % 97 + 1), F.lit("]]\n## Requirements {#req}\nR1 "), F.col("c_name"), F.lit("\n"))
+    rows = table(spark, sf_dir, "customer").where(k > 0)
+    path = F.concat(F.lit("programs/PRG-001/features/FEAT-001/specs/"), name(k), F.lit("/spec.md")).alias("path")
+    later = F.concat(head, F.when(k % 5 == 2, " changed").otherwise(""), tail)
+    return rows.where(k % 5 != 0).select(path, F.concat(head, tail).alias("content")), rows.where(k % 5 != 1).select(path, later.alias("content"))
