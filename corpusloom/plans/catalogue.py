@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, artifacts, candidates, context, cycles, fulltext, graph, impact, index_tables, markdown, requirements, search, tasks, validation
+from ..operators import architecture, artifacts, candidates, context, cycles, evaluation, fulltext, graph, impact, index_tables, markdown, requirements, search, tasks, validation
 from ..sources.saved import saved, shared_dir
 from ..sources.tables import customer_references, headed_specs, linked_specs, linked_tasks, part_edges, part_references, requirement_files, spec_files, spec_versions, table, task_files, turn_files
 
@@ -601,3 +601,59 @@ def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = chunks.groupBy("path").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
     out = done.join(docs.select("path", "title"), "path", "left").join(per, "path", "left").join(links.groupBy("path").agg(F.count("*").alias("links"), F.max("source_line").alias("line")), "path", "left")
     return out.select("path", "action", "title", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), "tokens", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "line")
+
+
+_RUNS = """l AS (SELECT doc_id AS id, doc_id // 100 AS pair, doc_id // 100 % 5 = 0 AS task, quality, toxic FROM labels WHERE doc_id IS NOT NULL),
+ r AS (SELECT id, pair, task, CASE WHEN id % 11 = 0 THEN CASE WHEN task THEN 'inconclusive' ELSE 'fail' END WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS b, CASE WHEN id % 13 = 0 THEN CASE WHEN task THEN 'inconclusive' ELSE 'fail' END WHEN toxic = 1 THEN 'fail' ELSE 'pass' END AS c,
+  CASE WHEN id % 3 <> 0 THEN id % 50 END AS i, CASE WHEN id % 4 = 0 THEN id % 20 END AS o FROM l),
+ ch AS (SELECT *, id % 17 = 0 AS odd FROM r WHERE b <> c AND pair % 35 <> 0)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A baseline, a candidate and two repetitions for each hundred labelled documents; of every 35th pair the kinds differ."""
+    rows = table(spark, sf_dir, "labels").where("doc_id is not null").select(F.col("doc_id").alias("id"), F.expr("doc_id div 100").alias("pair"), "quality", "toxic")
+    none = lambda n: F.when(F.col("id") % n == 0, F.when(F.col("pair") % 5 == 0, "inconclusive").otherwise("fail"))
+    base, cand = none(11).otherwise(F.when(F.col("quality") == 1, "pass").otherwise("fail")), none(13).otherwise(F.when(F.col("toxic") == 1, "fail").otherwise("pass"))
+    again = F.when(F.col("id") % 17 == 0, F.when(cand == "pass", "fail").otherwise("pass")).otherwise(cand)
+    name = lambda side: F.concat(F.lit(side), F.col("pair").cast("string"))
+    each = F.explode(F.array(*[F.struct(name(side).alias("run_id"), outcome.alias("outcome")) for side, outcome in (("b", base), ("c", cand), ("r", cand), ("s", again))]))
+    results = rows.select("id", F.lit(0).alias("ord"), F.when(F.col("id") % 3 != 0, F.col("id") % 50).alias("input_tokens"), F.when(F.col("id") % 4 == 0, F.col("id") % 20).alias("output_tokens"), each.alias("x")).select("x.*", "id", "ord", "input_tokens", "output_tokens")
+    pairs = rows.select("pair").distinct()
+    p = F.col("pair")
+    kind, text = F.when(p % 5 == 0, "task_execution").otherwise("retrieval"), lambda x: x.cast("string")
+    config = lambda model, ranking, rep, *more: F.create_map(F.lit("model"), model, F.lit("ranking_version"), ranking, F.lit("repetition_index"), F.lit(rep), *more)
+    runs = pairs.select(name("b").alias("run_id"), kind.alias("kind"), config(text(p % 3), F.lit("1"), "0").alias("config"))
+    runs = runs.union(pairs.select(name("c"), F.when(p % 35 == 0, "retrieval").otherwise(kind), config(text(p % 2), F.when(p % 4 == 0, "2").otherwise("1"), "1", F.lit("note"), F.when(p % 2 == 0, "").otherwise("x"))))
+    return pairs.select(p, name("b").alias("baseline"), name("c").alias("candidate")), runs, results, pairs.select(p, F.explode(F.array(name("r"), name("s"))).alias("run_id"))
+
+
+@query(f"""WITH {_RUNS}, t AS (SELECT pair, any_value(task) AS task, count(*) FILTER (c <> 'inconclusive') AS n, count(*) FILTER (c = 'pass') AS ok, sum(coalesce(i + o, i, o)) FILTER (c <> 'inconclusive') AS tokens FROM r GROUP BY pair),
+ d AS (SELECT pair, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (odd) AS ids FROM ch GROUP BY pair)
+SELECT t.pair, t.pair % 35 <> 0 AS comparable, CASE WHEN t.pair % 35 <> 0 THEN array_to_string(list_filter([CASE WHEN t.pair % 3 <> t.pair % 2 THEN 'model' END, CASE WHEN t.pair % 2 <> 0 THEN 'note' END, CASE WHEN t.pair % 4 = 0 THEN 'ranking_version' END], lambda x: x IS NOT NULL), ',') END AS dimension_diff,
+ CASE WHEN t.pair % 35 <> 0 THEN t.pair % 4 = 0 END AS stale, CASE WHEN t.pair % 35 <> 0 THEN round(CASE WHEN t.n > 0 THEN ok / t.n ELSE 0 END, 9) END AS success_rate, CASE WHEN t.pair % 35 <> 0 AND task AND ok > 0 THEN round(tokens / ok, 9) END AS tokens_per_pass,
+ CASE WHEN t.pair % 35 <> 0 THEN coalesce(d.n, 0) END AS n_changed, CASE WHEN t.pair % 35 <> 0 THEN coalesce(ids, '') END AS inconsistent FROM t LEFT JOIN d ON d.pair = t.pair""")
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, _ = evaluation.compare(*_runs(spark, sf_dir))
+    return report.select("pair", "comparable", F.array_join("dimension_diff", ",").alias("dimension_diff"), "stale", F.round("success_rate", 9).alias("success_rate"), F.round("tokens_per_pass", 9).alias("tokens_per_pass"), "n_changed", F.array_join(F.col("inconsistent").cast("array<string>"), ",").alias("inconsistent"))
+
+
+@query(f"""WITH {_RUNS} SELECT pair, id, b AS baseline_outcome, c AS candidate_outcome, CASE WHEN odd THEN 'neutral' WHEN c = 'pass' THEN 'improved' WHEN b = 'pass' THEN 'regressed' ELSE 'neutral' END AS direction FROM ch""")
+def run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.compare(*_runs(spark, sf_dir))[1].select("pair", "id", "baseline_outcome", "candidate_outcome", "direction")
+
+
+@query(f"""WITH RECURSIVE {_CONTEXT}, it AS (SELECT r.request, k, row_number() OVER (PARTITION BY r.request ORDER BY r.position) AS place FROM rk r JOIN walk w ON w.request = r.request AND w.position = r.position WHERE how > 0),
+ fp AS (SELECT request, k, min(place) AS place FROM it GROUP BY 1, 2), q2 AS (SELECT k AS request, [(k * 3 + 1) % 100, (k + 1) % 100, k] AS must, [(k * 11 + 3) % 100, (k + 51) % 100] AS never FROM q),
+ res AS (SELECT request, list_filter(must, lambda x: NOT list_contains(ks, x)) AS missing, list_filter(never, lambda x: list_contains(ks, x)) AS unexpected, list_filter(must, lambda x: list_contains(ks, x)) AS had, ks, ps FROM q2 JOIN (SELECT request, list(k ORDER BY k) AS ks, list(place ORDER BY k) AS ps FROM fp GROUP BY 1) USING (request))
+SELECT request::VARCHAR AS request, len(missing) = 0 AND len(unexpected) = 0 AS passed, array_to_string(missing, ',') AS missing, array_to_string(unexpected, ',') AS unexpected, array_to_string(list_transform(had, lambda x: x || '@' || ps[list_position(ks, x)]), ',') AS positions FROM res""")
+def retrieval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target three specs that its package must hold and two that it must not."""
+    filled = _context(spark, sf_dir)
+    k = table(spark, sf_dir, "customer").select("c_custkey")
+    ids = lambda *xs: F.array(*[(x % 100 if i else x).cast("string") for x, i in xs])
+    c = F.col("c_custkey")
+    cases = k.where("c_custkey % 50 = 0").select(c.cast("string").alias("request"), ids((c * 3 + 1, 1), (c + 1, 1), (c, 0)).alias("required"), ids((c * 11 + 3, 1), (c + 51, 1)).alias("forbidden"))
+    files = k.select(c.cast("string").alias("id"), F.concat(F.lit("specs/"), c.cast("string"), F.lit(".md")).alias("path"))
+    out = evaluation.run_cases(cases, filled, files).join(cases, "request")
+    found = F.transform(F.filter("required", lambda x: F.map_contains_key("positions", x)), lambda x: F.concat(x, F.lit("@"), F.try_element_at("positions", x).cast("string")))
+    return out.select("request", "passed", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"), F.array_join(found, ",").alias("positions"))
