@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, artifacts, candidates, context, cycles, evaluation, fulltext, graph, impact, index_tables, markdown, requirements, search, tasks, validation
+from ..operators import architecture, artifacts, candidates, context, cycles, evaluation, fulltext, graph, impact, index_tables, markdown, packs, requirements, search, tasks, validation
 from ..sources.saved import saved, shared_dir
 from ..sources.tables import customer_references, headed_specs, linked_specs, linked_tasks, part_edges, part_references, requirement_files, spec_files, spec_versions, table, task_files, turn_files
 
@@ -657,3 +657,31 @@ def retrieval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluation.run_cases(cases, filled, files).join(cases, "request")
     found = F.transform(F.filter("required", lambda x: F.map_contains_key("positions", x)), lambda x: F.concat(x, F.lit("@"), F.try_element_at("positions", x).cast("string")))
     return out.select("request", "passed", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"), F.array_join(found, ",").alias("positions"))
+
+
+@query("""WITH e AS (SELECT event_id AS ord, user_id AS cache, event_type || '-' || floor(value)::BIGINT % 5 AS pack_id, floor(epoch(ts))::BIGINT AS created_at, props FROM events WHERE user_id IS NOT NULL),
+ old AS (SELECT * FROM (SELECT cache, pack_id, arg_max(created_at, ord) AS created_at, arg_max(props, ord) AS props, min(ord) AS seq FROM e WHERE ord % 2 = 0 AND pack_id IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cache ORDER BY created_at DESC, seq DESC) <= 6),
+ new AS (SELECT cache, pack_id, arg_max(created_at, ord) AS created_at, arg_max(props, ord) AS props, min(ord) + 1000000000000 AS seq FROM e WHERE ord % 2 = 1 AND pack_id IS NOT NULL GROUP BY 1, 2)
+SELECT coalesce(o.cache, n.cache) AS cache, coalesce(o.pack_id, n.pack_id) AS pack_id, coalesce(n.created_at, o.created_at) AS created_at, coalesce(n.props, o.props) AS items, coalesce(o.seq, n.seq) AS seq
+FROM old o FULL JOIN new n ON n.cache = o.cache AND n.pack_id = o.pack_id QUALIFY row_number() OVER (PARTITION BY coalesce(o.cache, n.cache) ORDER BY coalesce(n.created_at, o.created_at) DESC, coalesce(o.seq, n.seq) DESC) <= 6""")
+def pack_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of each user saved in two goes into a cache of six: some replaced, the oldest evicted."""
+    e = table(spark, sf_dir, "events").where("user_id is not null")
+    name = F.concat("event_type", F.lit("-"), (F.floor("value").cast("long") % 5).cast("string"))
+    rows = e.select(F.col("event_id").alias("ord"), F.col("user_id").alias("cache"), name.alias("pack_id"), F.lit("h").alias("config_hash"), F.lit("t").alias("target"), F.unix_timestamp("ts").alias("created_at"), F.col("props").alias("items"))
+    none = rows.withColumnRenamed("ord", "seq").limit(0)
+    first = packs.upsert(none, rows.where("ord % 2 = 0"), 6)
+    return packs.upsert(first, rows.where("ord % 2 = 1").withColumn("ord", F.col("ord") + 1_000_000_000_000), 6).select("cache", "pack_id", "created_at", "items", "seq")
+
+
+@query(f"""WITH RECURSIVE {_CONTEXT}, it AS (SELECT r.request, k, s, e, CASE how WHEN 2 THEN body ELSE u1 END AS text FROM rk r JOIN walk w ON w.request = r.request AND w.position = r.position WHERE how > 0),
+ b AS (SELECT request, k, s, e, CASE WHEN k % 3 = 0 THEN text || '!' ELSE text END AS text FROM it WHERE k % 4 <> 1)
+SELECT it.request::VARCHAR AS request, count(*) FILTER (b.text = it.text) AS items_reused, count(*) FILTER (b.text IS DISTINCT FROM it.text) AS items_sent, coalesce(sum((length(b.text) + 3) // 4) FILTER (b.text = it.text), 0)::BIGINT AS tokens_saved_estimate
+FROM it LEFT JOIN b ON b.request = it.request AND b.k = it.k AND b.s = it.s AND b.e = it.e GROUP BY 1""")
+def pack_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages against base packages of which some items are missing and some say something else."""
+    items = candidates.package_items(_context(spark, sf_dir))
+    k = F.regexp_extract("path", r"([0-9]+)\.md", 1).cast("long")
+    text = F.when(k % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    base = items.where(k % 4 != 1).select("request", "path", "start_line", "end_line", S.fingerprint(text).alias("fingerprint"), F.col("position").alias("base_index"), text.alias("content"))
+    return packs.reuse_stats(packs.reuse(items, base))
