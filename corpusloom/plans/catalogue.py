@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import architecture, artifacts, candidates, context, cycles, evaluation, fulltext, graph, impact, index_tables, markdown, packs, requirements, search, tasks, validation
+from ..operators import architecture, artifacts, candidates, context, cycles, evaluation, fulltext, graph, impact, index_tables, markdown, packs, preparation, requirements, search, tasks, validation
 from ..sources.saved import saved, shared_dir
-from ..sources.tables import customer_references, headed_specs, linked_specs, linked_tasks, part_edges, part_references, requirement_files, spec_files, spec_versions, table, task_files, turn_files
+from ..sources.tables import customer_references, headed_specs, linked_specs, linked_tasks, part_edges, part_references, planned_tasks, requirement_files, spec_files, spec_versions, table, task_files, turn_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -685,3 +685,32 @@ def pack_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
     base = items.where(k % 4 != 1).select("request", "path", "start_line", "end_line", S.fingerprint(text).alias("fingerprint"), F.col("position").alias("base_index"), text.alias("content"))
     return packs.reuse_stats(packs.reuse(items, base))
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AS done, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey > 0),
+ e AS (SELECT c, n, n - 1 AS d FROM o WHERE k % 3 = 0 AND n > 1 UNION ALL SELECT c, n, n + 1 FROM o WHERE k % 7 = 0),
+ cyc AS (SELECT DISTINCT a.c, a.n FROM e a JOIN e b ON b.c = a.c AND b.n = a.d AND b.d = a.n),
+ held AS (SELECT DISTINCT e.c, e.n FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c = e.c AND o.n = e.d AND o.done) UNION SELECT * FROM cyc),
+ nx AS (SELECT c, min(n) AS n FROM o WHERE NOT done AND NOT EXISTS (SELECT 1 FROM held h WHERE h.c = o.c AND h.n = o.n) GROUP BY c),
+ s AS (SELECT nx.c, nx.n, k % 5 + 1 AS a, nx.n % 5 + 1 AS b FROM nx JOIN o ON o.c = nx.c AND o.n = nx.n),
+ x AS (SELECT *, list_filter([a, b], lambda r: r <= 4) AS rs, list_filter([a, b], lambda r: r <= 2) AS p1, list_filter([a, b], lambda r: r = 3) AS p2 FROM s)
+SELECT printf('specs/SPEC-%06d/tasks.md', c) AS path, n AS number, array_to_string(list_transform(rs, lambda r: printf('SPEC-%06d:R%d=', c, r) || ['one', 'two', 'three', 'four'][r]), ';') AS requirements,
+ array_to_string(list_filter([CASE WHEN len(p1) > 0 THEN 'First:' || array_to_string(p1, ',') END, CASE WHEN len(p2) > 0 THEN 'Second:' || array_to_string(p2, ',') END], lambda y: y IS NOT NULL), ';') AS plan FROM x""")
+def task_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next task of each customer's file, the texts of what it serves and the plan's sections on that."""
+    files, specs, plans = planned_tasks(spark, sf_dir)
+    out = preparation.prepare(saved(tasks.rows(files, width=6), "tasks"), specs, plans)
+    reqs = F.array_join(F.transform("requirements", lambda x: F.concat(x["ref"], F.lit("="), x["content"])), ";")
+    plan = F.array_join(F.transform("plan_sections", lambda x: F.concat(x["heading"], F.lit(":"), F.array_join(F.transform(x["matched"], lambda r: F.substring_index(r, ":R", -1)), ","))), ";")
+    return out.select("path", F.col("number").cast("long").alias("number"), reqs.alias("requirements"), plan.alias("plan"))
+
+
+@query(f"""WITH RECURSIVE {_CONTEXT}, it AS (SELECT r.*, w.used, CASE how WHEN 2 THEN body ELSE u1 END AS content, lag(tier) OVER (PARTITION BY r.request ORDER BY r.position) AS was FROM rk r JOIN walk w ON w.request = r.request AND w.position = r.position WHERE how > 0)
+SELECT request::VARCHAR AS request, sha256('# Context for ' || request || ' (validation)' || chr(10) || chr(10) || string_agg(CASE WHEN was IS DISTINCT FROM tier THEN '## ' || ['mandatory', 'structural', 'semantic', 'text', 'second_hop'][tier + 1] || chr(10) || chr(10) ELSE '' END
+ || '### specs/' || it.k || '.md — ' || heading || chr(10) || chr(10) || content || chr(10) || chr(10) || '_Reasons: ' || array_to_string(list_transform(string_split(reasons, ';'), lambda x: string_split(x, ':')[2]), ', ') || ' — Tokens: ' || used || '_' || chr(10) || chr(10), '' ORDER BY position)) AS text_sha256
+FROM it JOIN (SELECT k, o, heading FROM sec) h ON h.k = it.k AND h.o = it.o GROUP BY request""")
+def context_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packages as Markdown texts."""
+    items = candidates.package_items(_context(spark, sf_dir))
+    out = preparation.render(items, items.select("request", F.col("request").alias("target")).distinct(), "validation")
+    return out.select("request", F.sha2("text", 256).alias("text_sha256"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -155,3 +155,20 @@ def spec_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     path = F.concat(F.lit("programs/PRG-001/features/FEAT-001/specs/"), name(k), F.lit("/spec.md")).alias("path")
     later = F.concat(head, F.when(k % 5 == 2, " changed").otherwise(""), tail)
     return rows.where(k % 5 != 0).select(path, F.concat(head, tail).alias("content")), rows.where(k % 5 != 1).select(path, later.alias("content"))
+
+
+def planned_tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For each customer with orders a task file with a task for each order, a spec of four requirements and a plan that names some of them."""
+    o, k = table(spark, sf_dir, "orders").where("o_custkey > 0"), F.col("o_orderkey")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    spec, task = F.format_string("SPEC-%06d", "o_custkey"), lambda x: F.format_string("TASK-%06d", x)
+    rows = o.select("o_custkey", k, "o_orderstatus", n.alias("n"))
+    deps = F.array_compact(F.array(F.when((k % 3 == 0) & (F.col("n") > 1), task(F.col("n") - 1)), F.when(k % 7 == 0, task(F.col("n") + 1))))
+    text = F.concat(F.when(F.col("o_orderstatus") == "F", "- [x] do").otherwise("- [ ] do"), F.lit("\nServes: "), spec, F.lit(":R"), (k % 5 + 1).cast("string"), F.lit(", "), spec, F.lit(":R"), (F.col("n") % 5 + 1).cast("string"), F.when(F.size(deps) > 0, F.concat(F.lit("\nDepends on: "), F.array_join(deps, ", "))).otherwise(""))
+    mark = F.when(k % 2 == 0, F.concat(F.lit("\nEvidence-Result: pass\nEvidence-Fingerprint: sha256:"), F.sha2(text, 256))).otherwise("")
+    each = rows.select(spec.alias("spec"), F.struct("n", F.concat(F.lit("## "), task(F.col("n")), F.lit(" order\n"), text, mark).alias("t")).alias("x"))
+    files = each.groupBy("spec").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    at = lambda name: F.concat(F.lit("specs/"), F.col("spec"), F.lit(f"/{name}.md")).alias("path")
+    specs = files.select(at("spec"), F.concat(F.lit("# "), "spec", F.lit("\n## R1\none\n## R2\ntwo\n### R3\nthree\n## R4\nfour")).alias("content"))
+    plans = files.select(at("plan"), F.concat(F.lit("# Plan\n## First\ndo R1, then R2.\n## Second\nfor "), "spec", F.lit(":R3\n## Rest\nR44 later")).alias("content"))
+    return files.select(at("tasks"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["t"]), "\n")).alias("content")), specs, plans
