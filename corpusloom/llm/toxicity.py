@@ -253,13 +253,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     as texts without terms, long ones whole, repeated rows each; an empty table gives none.  A kept column of the
     name ``out_col`` is replaced."""
     names = [c for c in dict.fromkeys([id_col, *keep]) if c != out_col]
-    kinds = ", ".join(f"__{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[[f"__{k}" for k in range(len(names))]].copy()
-            out["__score"] = np.array([model.score(t) for t in b["__text"]], dtype=np.float64)
-            yield out
+    @F.pandas_udf("double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for each in texts:
+            yield pd.Series([model.score(t) for t in each], dtype="float64")
 
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(names)], F.col(f"`{text_col}`").alias("__text")).mapInPandas(run, f"{kinds}, __score double")
-    return rows.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(names)], F.col("__score").alias(out_col))
+    # only texts go to the workers and only scores come back; what is kept stays where it is
+    return docs.select(*[F.col(f"`{c}`") for c in names], run(F.col(f"`{text_col}`")).alias(out_col))
