@@ -96,6 +96,29 @@ def test_alike_pairs_is_alike():
     assert lines.alike_pairs(xs, ys, 0.8) == [lines.edit_distance(x, y, 10**6) <= int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(xs, ys, strict=True)]
 
 
+def test_alike_pairs_of_long_lines():
+    rng = np.random.default_rng(31)
+    xs, ys = [], []
+    for k, n in enumerate([1, 2, 20, 63, 64, 65, 127, 128, 129, 300, 700, 5000] * 8):
+        x = "".join(rng.choice(list("abcdé中😀 " if k % 2 else "ab "), n))
+        y = "".join(c for c in x if rng.random() > 0.03 * (k // 12)) + "z" * (k % 3)
+        xs.append(x if k % 5 else y)
+        ys.append(y if k % 5 else x)
+    want = [lines.edit_distance(x, y, 10**6) <= int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(xs, ys, strict=True)]
+    assert lines.alike_pairs(xs, ys, 0.8) == want and 10 < sum(want) < 90
+
+
+def test_parts_bound_the_edit_distance():
+    rng = np.random.default_rng(32)
+    flat = [rng.integers(97, 101, int(rng.integers(1, 400))).astype("<u4") for _ in range(60)]
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(flat[::2], flat[1::2], strict=True)]
+    pairs += [(x[: len(x) - 3], x) for x in flat if len(x) > 3]
+    text = lambda x: x.tobytes().decode("utf-32-le")
+    full = [lines.edit_distance(text(x), text(y), 10**6) for x, y in pairs]
+    low = lines._parted([x for x, _ in pairs], [y for _, y in pairs], np.array(full))
+    assert all(a <= b for a, b in zip(low.tolist(), full, strict=True)) and (low > 0).any()
+
+
 def test_line_stage_against_all_pairs(spark):
     import corpus_pipeline
 
