@@ -25,8 +25,8 @@ def fingerprint(text: Column) -> Column:
 
 def without_evidence(body: Column) -> Column:
     """A task body without its ``Evidence-X:`` lines."""
-    kept = F.filter(F.split(body, "\n", -1), lambda x: ~x.rlike(r"^[\t\n\f\r ]*Evidence-[A-Za-z]+:"))
-    return F.array_join(kept, "\n")
+    kept = F.regexp_replace(F.concat(F.lit("\n"), body), r"\n[\t\f\r ]*Evidence-[A-Za-z]+:[^\n]*", "")
+    return F.when(F.contains(body, F.lit("Evidence-")), F.substr(kept, F.lit(2))).otherwise(body)
 
 
 def stripped(text: Column) -> Column:
@@ -34,9 +34,16 @@ def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
+def after_label(body: Column, label: str, value: str) -> Column:
+    """What the group of ``value`` holds after ``label:`` on each line that starts with it; one pattern over the whole text, which starts with a plain line end
+    so that most places are passed over at once."""
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), body), F.lit(rf"\n[ \t\x0B\f\r]*{label}:{value}"), F.lit(1))
+    return F.when(F.contains(body, F.lit(f"{label}:")), found).otherwise(F.when(body.isNotNull(), F.array().cast("array<string>")))
+
+
 def evidence_field(body: Column, name: str) -> Column:
     """The value of the last ``Evidence-name:`` line, or null."""
-    rows = F.filter(F.split(body, "\n", -1), lambda x: stripped(x).startswith(f"Evidence-{name}:"))
+    rows = after_label(body, f"Evidence-{name}", r"([^\n]*)")
     return stripped(F.substring_index(F.try_element_at(rows, F.lit(-1)), f"Evidence-{name}:", -1))
 
 
@@ -44,7 +51,8 @@ def evidence_state(body: Column) -> Column:
     """failed, unverified, stale or verified, by the result and the fingerprint of what else the body says."""
     result = evidence_field(body, "Result")
     current = fingerprint(without_evidence(body))
-    return F.when(result == "fail", "failed").when(F.coalesce(result, F.lit("")) != "pass", "unverified").when(~evidence_field(body, "Fingerprint").eqNullSafe(current), "stale").otherwise("verified")
+    passed = F.when(evidence_field(body, "Fingerprint").eqNullSafe(current), "verified").otherwise("stale")
+    return F.when(result == "pass", passed).when(result == "fail", "failed").otherwise("unverified")
 
 
 def parse_id(text: Column) -> Column:

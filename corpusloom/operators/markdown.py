@@ -29,28 +29,56 @@ def lines(files: DataFrame) -> DataFrame:
     return rows.select("path", (F.col("i") + 1).alias("n"), F.col("x.ls").alias("line"), F.col("x.fenced").alias("fenced"))
 
 
+#: A line end before a heading; of a text without fences every such line starts a section.
+_BREAK = r"\n(?=#{1,6}(?:[\t\f ]|\r(?!\n|\z)))"
+
+
+def _folded(content: Column) -> Column:
+    """A text with fences cut before its headings, by a fold over its lines; what comes before the first is the first piece, without a line end of its own."""
+    ls = F.split(content, "\n", -1)
+    bare = lambda x: F.regexp_replace(x, r"\r\z", "")
+    # lines and heads are bound to names: named inside a lambda, the mask would be folded again for each line
+    each = F.arrays_zip(F.sequence(F.lit(1), F.size(ls)).alias("i"), ls.alias("line"), fence_mask(ls).alias("fenced"))
+    heads = F.transform(F.filter(each, lambda x: ~x["fenced"] & bare(x["line"]).rlike(r"(?d)\A#{1,6}[\t\f\r ]+")), lambda x: x["i"])
+
+    def cut(x: Column) -> Column:
+        size, n = F.size(x["ls"]), F.size(x["heads"])
+        end = lambda k: F.when(k < n, F.try_element_at(x["heads"], k + 1) - 1).otherwise(size)
+        first = F.when(end(F.lit(0)) > 0, F.concat(F.lit("\n"), F.array_join(F.slice(x["ls"], 1, end(F.lit(0))), "\n"))).otherwise("")
+        return F.concat(F.array(first), F.transform(x["heads"], lambda at, k: F.array_join(F.slice(x["ls"], at, end(k + 1) - at + 1), "\n")))
+
+    return F.element_at(F.transform(F.array(F.struct(ls.alias("ls"), heads.alias("heads"))), cut), 1)
+
+
 def sections(files: DataFrame) -> DataFrame:
     """``path, ord, level, heading, anchor, start_line, end_line, body``: a section for each heading outside
-    fences, and one of level 0 for what comes first.  A file's sections are made in one row by a fold, so
-    there is no shuffle."""
-    parts = files.select("path", F.split("content", "\n", -1).alias("ls"))
-    bare = lambda x: F.regexp_replace(x, r"\r\z", "")
-    # the mask is part of the filtered array: named inside the lambda, it would be folded again for each line
-    each = F.arrays_zip(F.sequence(F.lit(1), F.size("ls")).alias("i"), F.col("ls").alias("line"), fence_mask(F.col("ls")).alias("fenced"))
-    heads = F.filter(each, lambda x: ~x["fenced"] & bare(x["line"]).rlike(r"(?d)\A#{1,6}[\t\f\r ]+"))
-    parts = parts.withColumn("heads", F.concat(F.array(F.lit(0)), F.transform(heads, lambda x: x["i"])))
-    rows = parts.select("path", "ls", "heads", F.posexplode("heads").alias("ord", "at"))
-    end = F.when(F.col("ord") + 1 < F.size("heads"), F.try_element_at("heads", F.col("ord") + 2) - 1).otherwise(F.size("ls"))
-    raw = bare(F.when(F.col("at") > 0, F.try_element_at("ls", F.greatest("at", F.lit(1)))))
-    text = F.regexp_extract(raw, r"(?d)\A(#{1,6})[\t\f\r ]+(.*)\z", 2)
-    body = F.array_join(F.slice("ls", F.col("at") + 1, F.greatest(end - F.col("at"), F.lit(0))), "\n")
-    out = rows.select(
-        "path", "ord", F.when(F.col("at") > 0, F.length(F.regexp_extract(raw, r"\A(#{1,6})", 1))).otherwise(0).alias("level"),
-        F.coalesce(F.regexp_replace(text, r"[\t ]*\{#[^}]*\}[\t ]*\z", ""), F.lit("")).alias("heading"), F.nullif(F.regexp_extract(text, r"\{#([^}]*)\}[\t ]*\z", 1), F.lit("")).alias("anchor"),
-        F.greatest("at", F.lit(1)).alias("start_line"), end.alias("end_line"), body.alias("body"),
-    )
+    fences, and one of level 0 for what comes first.  A file's sections are made in one row, so
+    there is no shuffle.
+
+    A text without a fence is cut by one pattern; only a text with one takes a fold over its lines.
+    """
+    n = lambda piece: F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+    fenced = F.col("content").rlike(r"(?:\A|\n)[ \t]*(?:```|~~~)")
+    parts = files.select("path", F.when(fenced, _folded(F.col("content"))).otherwise(F.split(F.concat(F.lit("\n"), "content"), _BREAK, -1)).alias("pieces"))
+    # lines before each piece, of use to line numbers alone: the first piece has a line end for each of its lines, any other one less
+    before = F.transform(F.col("pieces"), lambda x, i: n(x) + F.when(i > 0, 1).otherwise(0))
+    sums = F.aggregate(before, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    # outer: else pieces would be made once more by a filter that Spark puts before; a null text has one row without a number, which goes below
+    rows = parts.select("path", sums.alias("sums"), F.posexplode_outer("pieces").alias("ord", "piece"))
+    # patterns are kept to texts that need them: each is worth more than all else that is done for a section
+    rows = rows.select("path", "sums", "ord", "piece", F.when(F.col("ord") > 0, F.substring_index("piece", "\n", 1)).otherwise("").alias("line"))
     # one line end that closes a body is not part of it
-    return out.withColumn("body", F.regexp_replace("body", r"\n\z", "")).where("level > 0 or body <> ''")
+    body = F.expr("substring(piece, length(line) + 2, length(piece) - length(line) - if(endswith(piece, '\n'), 2, 1))")
+    rows = rows.select("path", "sums", "ord", F.when(F.endswith("line", F.lit("\r")), F.regexp_replace("line", r"\r\z", "")).otherwise(F.col("line")).alias("raw"), body.alias("body")).where("ord > 0 or body <> ''")
+    text = F.when(F.col("ord") > 0, F.regexp_extract("raw", r"(?d)\A(#{1,6})[\t\f\r ]+(.*)\z", 2)).otherwise("")
+    rows = rows.select("path", "sums", "ord", "raw", text.alias("text"), "body")
+    anchored = F.contains("text", F.lit("{#"))
+    at = lambda k: F.get("sums", k)
+    return rows.select(
+        "path", "ord", F.when(F.col("ord") > 0, F.length(F.regexp_extract("raw", r"\A(#{1,6})", 1))).otherwise(0).alias("level"),
+        F.when(anchored, F.regexp_replace("text", r"[\t ]*\{#[^}]*\}[\t ]*\z", "")).otherwise(F.col("text")).alias("heading"), F.when(anchored, F.nullif(F.regexp_extract("text", r"\{#([^}]*)\}[\t ]*\z", 1), F.lit(""))).alias("anchor"),
+        F.when(F.col("ord") > 0, at(F.col("ord")) + 1).otherwise(1).alias("start_line"), at(F.col("ord") + 1).alias("end_line"), "body",
+    )
 
 
 def chunks(secs: DataFrame) -> DataFrame:

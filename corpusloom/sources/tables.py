@@ -46,9 +46,9 @@ def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", text.alias("text"))
     mark = F.concat(F.lit("sha256:"), F.sha2("text", 256))
     task = F.concat(F.format_string("## TASK-%03d line\n", n), F.col("text"), F.when(F.col("l_returnflag") == "R", "\nEvidence-Result: fail").otherwise("\nEvidence-Result: pass"), F.lit("\nEvidence-Fingerprint: "), F.when(F.col("l_returnflag") == "N", mark).otherwise("sha256:0"))
-    files = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", task.alias("task")))).alias("xs"))
+    files = t.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", task.alias("task")))).alias("xs"))
     path = F.concat(F.lit("specs/SPEC-"), F.col("l_orderkey").cast("string"), F.lit("/tasks.md"))
-    return files.select(path.alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["task"]), "\n")).alias("content"))
+    return files.select(path.alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join("xs.task", "\n")).alias("content"))
 
 
 def part_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +98,9 @@ def linked_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     deps = F.concat(name(F.col("l_partkey") % 8 + 1), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit(", "), name(F.col("l_suppkey") % 7 + 1))))
     line = F.when(F.col("l_partkey") % 2 == 1, F.concat(F.lit("\tDepends on:\t"), deps, F.lit("\r"))).otherwise(F.concat(F.lit("Depends on: "), deps))
     text = F.concat(F.lit("## "), name(n), F.lit(" line\n- [ ] ship\n"), line, F.when(F.col("l_suppkey") % 5 == 0, "\n\tServes:\tSPEC-001:R1\r").otherwise(""))
-    files = table(spark, sf_dir, "lineitem").select("l_orderkey", n, text.alias("text")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "text"))).alias("xs"))
+    files = table(spark, sf_dir, "lineitem").select("l_orderkey", n, text.alias("text")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "text"))).alias("xs"))
     path = F.concat(F.lit("specs/SPEC-"), F.col("l_orderkey").cast("string"), F.lit("/tasks.md"))
-    return files.select(path.alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["text"]), "\n")).alias("content"))
+    return files.select(path.alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join("xs.text", "\n")).alias("content"))
 
 
 def headed_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +141,8 @@ def requirement_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     mark = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise("sha256:0")
     proof = F.when(F.col("l_returnflag") == "A", "").otherwise(F.concat(F.lit("\nEvidence-Result: "), F.when(F.col("l_returnflag") == "R", "fail").otherwise("pass"), F.lit("\nEvidence-Fingerprint: "), mark))
     lines = table(spark, sf_dir, "lineitem").where(own > 0).select(own, n, F.concat(F.format_string("## TASK-%06d line\n", n.cast("long")), text, proof).alias("task"))
-    files = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "task"))).alias("xs"))
-    return specs, files.select(F.concat(F.lit("specs/"), spec(F.col("l_orderkey")), F.lit("/tasks.md")).alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["task"]), "\n")).alias("content"))
+    files = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "task"))).alias("xs"))
+    return specs, files.select(F.concat(F.lit("specs/"), spec(F.col("l_orderkey")), F.lit("/tasks.md")).alias("path"), F.concat(F.lit("# Tasks\n"), F.array_join("xs.task", "\n")).alias("content"))
 
 
 def spec_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -167,8 +167,8 @@ def planned_tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     text = F.concat(F.when(F.col("o_orderstatus") == "F", "- [x] do").otherwise("- [ ] do"), F.lit("\nServes: "), spec, F.lit(":R"), (k % 5 + 1).cast("string"), F.lit(", "), spec, F.lit(":R"), (F.col("n") % 5 + 1).cast("string"), F.when(F.size(deps) > 0, F.concat(F.lit("\nDepends on: "), F.array_join(deps, ", "))).otherwise(""))
     mark = F.when(k % 2 == 0, F.concat(F.lit("\nEvidence-Result: pass\nEvidence-Fingerprint: sha256:"), F.sha2(text, 256))).otherwise("")
     each = rows.select(spec.alias("spec"), F.struct("n", F.concat(F.lit("## "), task(F.col("n")), F.lit(" order\n"), text, mark).alias("t")).alias("x"))
-    files = each.groupBy("spec").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    files = each.groupBy("spec").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     at = lambda name: F.concat(F.lit("specs/"), F.col("spec"), F.lit(f"/{name}.md")).alias("path")
     specs = files.select(at("spec"), F.concat(F.lit("# "), "spec", F.lit("\n## R1\none\n## R2\ntwo\n### R3\nthree\n## R4\nfour")).alias("content"))
     plans = files.select(at("plan"), F.concat(F.lit("# Plan\n## First\ndo R1, then R2.\n## Second\nfor "), "spec", F.lit(":R3\n## Rest\nR44 later")).alias("content"))
-    return files.select(at("tasks"), F.concat(F.lit("# Tasks\n"), F.array_join(F.transform("xs", lambda x: x["t"]), "\n")).alias("content")), specs, plans
+    return files.select(at("tasks"), F.concat(F.lit("# Tasks\n"), F.array_join("xs.t", "\n")).alias("content")), specs, plans

@@ -38,3 +38,18 @@ def test_affected_walks_long_chains(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(53)], "src int, dst int").coalesce(1)
     got = graph.affected(edges, spark.createDataFrame([(0,)], "id int")).collect()
     assert sorted((r["id"], r["hops"]) for r in got) == [(i, i) for i in range(1, 54)]
+
+
+def test_files_are_parsed_once(spark, capsys):
+    files = spark.createDataFrame([("s/SPEC-001/tasks.md", "## TASK-001 a\nServes: SPEC-001:R1\nDepends on: TASK-002\n")], "path string, content string")
+    for f in (tasks.findings, tasks.readiness, tasks.dependency_findings):
+        capsys.readouterr()
+        f(tasks.rows(files)).explain()
+        plan = capsys.readouterr().out
+        assert "content" not in plan and "FileScan parquet" in plan
+
+
+def test_fields_at_line_ends_and_with_odd_white_space(spark):
+    text = "## TASK-001 a\r\n\x0bServes: SPEC-001:R1 ,, \x0b\r\nVerify: \nVerify:go\x0b\n  Depends on: NONE, TASK-002\r\nEvidence-Result: fail\nEvidence-Result:\tpass \nEvidence-Fingerprint: sha256:0"
+    (got,) = tasks.rows(spark.createDataFrame([("p", text), ("q", None)], "path string, content string")).collect()
+    assert (got.serves, got.bad_serves, got.verify, got.depends_on, got.bad_depends_on, got.state) == (["SPEC-001:R1"], [], "go", [2], [], "stale")
