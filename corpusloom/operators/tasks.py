@@ -27,8 +27,9 @@ def _entries(body: Column, label: str) -> Column:
 
 
 def _number(width: int) -> str:
-    """Digits of an id, padded to ``width``."""
-    return rf"(?=0*[1-9])[0-9]{{{width}}}"
+    """Digits of an id as it is written: padded to ``width``, or longer and unpadded; what doesn't fit an int is no id."""
+    longer = rf"|[1-9][0-9]{{{width},8}}" if width < 9 else ""
+    return rf"(?:(?=0*[1-9])[0-9]{{{width}}}{longer})"
 
 
 def rows(files: DataFrame, width: int = 3) -> DataFrame:
@@ -37,7 +38,7 @@ def rows(files: DataFrame, width: int = 3) -> DataFrame:
     ``path, number, ord, checked, state, status, serves, bad_serves, depends_on, bad_depends_on, verify, scope``:
     a section is a task if its heading starts with ``TASK-`` and digits; the first checkbox counts; a task is
     complete if it is checked and its evidence is verified.  ``serves`` and ``depends_on`` have the
-    well-formed references of all their lines (numbers of ``width`` digits), the others are kept apart; "none" as a dependency is none.
+    well-formed references of all their lines (numbers padded to ``width`` digits, longer ones whole), the others are kept apart; "none" as a dependency is none.
     The last ``Verify:`` and ``Scope:`` lines count, absent ones are empty.  A file without tasks has no rows.
     """
     found = markdown.sections(files).withColumn("number", F.regexp_extract("heading", r"\ATASK-([0-9]+)\b", 1).try_cast("int")).where("number is not null")

@@ -42,3 +42,15 @@ def test_findings(made):
 def test_evidence(made):
     got = sorted((r["code"], r["path"][:11], r["message"]) for r in requirements.evidence_findings(made[2]).where("path like '%001/%'").collect())
     assert got == [("failed_task_evidence", "s/SPEC-001/", 'TASK-002 is checked complete but its most recent Evidence-Result: is "fail"'), ("unverified_task", "s/SPEC-001/", "TASK-001 is checked complete but has no Evidence-Result: at all")]
+
+
+def test_numbers_longer_than_the_width(spark):
+    body = "## TASK-1000 a\n- [ ] x\nServes: SPEC-1000:R1, SPEC-0100:R1, SPEC-99999999999:R1\nDepends on: TASK-1001, TASK-0100, TASK-99999999999\n"
+    rows = tasks.rows(spark.createDataFrame([("s/SPEC-1000/tasks.md", body)], "path string, content string"))
+    (got,) = rows.collect()
+    assert got.serves == ["SPEC-1000:R1"] and got.bad_serves == ["SPEC-0100:R1", "SPEC-99999999999:R1"]
+    assert got.depends_on == [1001] and got.bad_depends_on == ["TASK-0100", "TASK-99999999999"]
+    specs = spark.createDataFrame([("s/SPEC-1000", "SPEC-1000", "ready")], "folder string, spec string, status string")
+    bodies = spark.createDataFrame([("s/SPEC-1000/spec.md", "## R1\nmust\n")], "path string, content string")
+    codes = {r.code for r in requirements.findings(specs, bodies, rows).collect()}
+    assert codes == {"unknown_requirement_reference"}
