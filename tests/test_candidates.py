@@ -1,6 +1,7 @@
 """Candidates, their merge, ranks and budgets against plain loops over the same files."""
 
 import random
+import time
 
 from corpusloom.operators import candidates as C
 from corpusloom.operators import markdown
@@ -181,3 +182,21 @@ def test_sources_merge_and_rank(spark):
     assert {r["path"] for r in out if r["request"] == "S9"} == {"c.md"}
     items = C.package_items(C.filled(C.ranked(C.scored(merged)), 60)).collect()
     assert items and all(i["fingerprint"].startswith("sha256:") and i["used"] == tokens(i["content"]) for i in items)
+
+
+def test_many_candidates_of_one_request(spark):
+    """Time in proportion to the rows: 40,000 of one request, and a chunk with 8,000 reasons."""
+    began = time.time()
+    df = spark.range(1, 40_001).selectExpr("'a' as request", "cast(id as int) as position", "'f' as path", "'h' as heading", "repeat('w', cast(1 + id % 30 as int)) as content", "cast(id as int) as start_line", "cast(id as int) as end_line", "if(id = 1, 0, 1) as tier")
+    want, used = [], 0
+    for i in range(1, 40_001):
+        t = (1 + i % 30 + 3) // 4
+        if i == 1 or used + t <= 60_000:
+            used += t
+            want.append(i)
+    assert [x["position"] for x in C.filled(df, 60_000).where("kept").orderBy("position").collect()] == want
+    reason = "named_struct('tier', if(id < 8000, 4, 2), 'relation', 'backlink', 'source_path', cast(id % 8000 as string), 'source_section', '', 'source_line', 0, 'target_anchor', '')"
+    many = spark.range(16_000).selectExpr("'a' as request", "array(6L, id) as seq", "'f' as path", "'h' as heading", "'c' as content", "1 as start_line", "2 as end_line", f"{reason} as reason", "0D as text_rank", "cast(null as array<string>) as heading_path")
+    (row,) = C.merge(many).collect()
+    assert row["tier"] == 2 and [r["source_path"] for r in row["reasons"]] == [str(i) for i in range(8000)]
+    assert time.time() - began < 90
