@@ -77,6 +77,12 @@ def propagate(changed: DataFrame, hops: DataFrame) -> DataFrame:
     return out
 
 
+def served_files(changed: DataFrame, files: DataFrame) -> DataFrame:
+    """Task files of ``path, content`` in the folder of a changed requirement: no other can serve one, so no other need be parsed."""
+    folders = changed.where("requirement is not null").select("spec_dir").distinct()
+    return files.withColumn("spec_dir", F.regexp_replace("path", r"/tasks\.md\z", "")).join(folders, "spec_dir", "left_semi").drop("spec_dir")
+
+
 def coverage(changed: DataFrame, tasks: DataFrame) -> DataFrame:
     """``item, seq, hops``: tasks of a spec that serve a changed requirement of it; each is a path of one hop.
 

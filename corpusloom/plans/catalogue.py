@@ -463,7 +463,8 @@ def impact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")
     whole = parts.where("k % 97 = 0").select(name("k").alias("id"), F.lit(None).cast("int").alias("requirement"), F.lit("").alias("spec_dir"), F.col("k").alias("ord"))
     some = parts.where("k <= 999").select(name("k"), (F.col("p_size") % 4 + 1).cast("int"), F.concat(F.lit("specs/SPEC-"), F.col("k").cast("string")), F.col("k"))
-    out = impact.analyze(whole.union(some), refs, tasks.rows(task_files(spark, sf_dir)), "v1", "v2")
+    changed = whole.union(some)
+    out = impact.analyze(changed, refs, tasks.rows(impact.served_files(changed, task_files(spark, sf_dir))), "v1", "v2")
     number = lambda x: F.regexp_replace(x, r"\ASPEC-0*", "")
     route = F.aggregate(F.element_at("paths", 1), F.lit(""), lambda s, h: F.concat(s, F.lit(">"), h["relation"], F.lit(":"), number(h["to_id"])))
     return out.select("id", "path", "classification", "severity", "reason", "reverify", F.col("n_paths").cast("long").alias("n_paths"), route.alias("route"), F.aggregate("paths", F.lit(0).cast("long"), lambda s, p: s + F.size(p)).alias("hops"))

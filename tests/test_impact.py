@@ -64,3 +64,12 @@ def test_requirements_tasks_and_what_has_no_relation(spark):
     # KNOW-002 changed too, so it is no item; that it refers to KNOW-001 is a relation of KNOW-001
     assert out["SPEC-002"]["classification"] == out["KNOW-002"]["classification"] == "no_known_relation"
     assert impact.analyze(changed.where("false"), refs, rows, "a", "b").count() == 0
+
+
+def test_files_that_serve_no_change_are_not_parsed(spark):
+    changed = spark.createDataFrame([("SPEC-001", 1, "s/SPEC-001", 1), ("SPEC-002", None, "s/SPEC-002", 2), ("SPEC-003", 2, None, 3)], "id string, requirement int, spec_dir string, ord bigint")
+    files = spark.createDataFrame([(f"s/SPEC-00{k}/tasks.md", f"## TASK-001 a\nServes: SPEC-00{k}:R1\n") for k in (1, 2, 3)] + [(None, "x")], "path string, content string")
+    some = impact.served_files(changed, files)
+    assert [r.path for r in some.collect()] == ["s/SPEC-001/tasks.md"] and some.columns == files.columns
+    of = lambda fs: [r.item for r in impact.coverage(changed, tasks.rows(fs)).collect()]
+    assert of(some) == of(files) == ["SPEC-001:TASK-001"]
