@@ -18,18 +18,24 @@ def _plain(value: Column) -> Column:
     return F.regexp_replace(bare, r"""\A(["'])(.*)\1\z""", "$2")
 
 
+#: White space within a line, and what a key is.
+_SPACE, _KEY = r"[ \t\x0B\f\r]", r"[A-Za-z_][\w-]*"
+
+
 def _field(block: Column, name: str) -> Column:
-    rows = F.filter(block, lambda x: x.rlike(rf"\A{name}:(\s|\z)"))
-    return F.coalesce(_plain(F.regexp_extract(F.try_element_at(rows, F.lit(1)), rf"\A{name}:(.*)\z", 1)), F.lit(""))
+    """``block``: a text of lines, each after a line end."""
+    row = F.regexp_extract(block, rf"\n({name}:(?:{_SPACE}[^\n]*)?)(?=\n|\z)", 1)
+    return F.coalesce(F.when(row == "", "").otherwise(_plain(F.regexp_extract(row, rf"\A{name}:(.*)\z", 1))), F.lit(""))
 
 
 def _list(block: Column, name: str) -> Column:
     """``[a, b]`` on the field's own line, or ``- a`` on the lines below it."""
     own = _field(block, name)
-    below = F.regexp_extract(F.array_join(block, "\n"), rf"(?:\A|\n){name}:[ \t]*(?:#[^\n]*)?((?:\n[ \t]*-[ \t][^\n]*)+)", 1)
+    below = F.regexp_extract(block, rf"\n{name}:[ \t]*(?:#[^\n]*)?((?:\n[ \t]*-[ \t][^\n]*)+)", 1)
     flow = F.split(F.regexp_replace(own, r"\A\[|\]\z", ""), ",", -1)
     rows = F.transform(F.split(below, "\n", -1), lambda x: F.regexp_replace(x, r"\A[ \t]*-[ \t]+", ""))
-    return F.filter(F.transform(F.when(own.startswith("["), flow).otherwise(rows), _plain), lambda x: x != "")
+    given = F.filter(F.transform(F.when(own.startswith("["), flow).otherwise(rows), _plain), lambda x: x != "")
+    return F.when((own == "") & (below == ""), F.array().cast("array<string>")).otherwise(given)
 
 
 def metadata(files: DataFrame) -> DataFrame:
@@ -40,15 +46,16 @@ def metadata(files: DataFrame) -> DataFrame:
     line ``---`` and the next one: fields of one line, quoted or not, and lists of either form.  Anything else
     between them, a field given twice and an id that isn't one are malformed.  Without front matter ``body`` is null.
     """
-    ls = F.transform(F.split("content", "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
-    parts = files.select("path", ls.alias("ls"), F.split("content", "\n", -1).alias("raw"))
+    bare = F.when(F.contains("content", F.lit("\r")), F.regexp_replace("content", r"\r(?=\n|\z)", "")).otherwise(F.col("content"))
+    parts = files.select("path", F.split(bare, "\n", -1).alias("ls"), F.split("content", "\n", -1).alias("raw"))
     end = F.array_position(F.slice("ls", 2, F.greatest(F.size("ls"), F.lit(1))), "---").cast("int")
     parts = parts.withColumn("end", F.when((F.get("ls", F.lit(0)) == "---") & (end > 0), end))
-    block = F.filter(F.slice("ls", 2, F.col("end") - 1), lambda x: ~x.rlike(r"\A\s*(#.*)?\z"))
+    # lines between the marks, each after a line end, without blank ones and comments: patterns look at all of them at once
+    block = F.when(F.col("end") > 1, F.regexp_replace(F.concat(F.lit("\n"), F.array_join(F.slice("ls", 2, F.col("end") - 1), "\n")), rf"\n{_SPACE}*(?:#.*)?(?=\n|\z)", "")).when(F.col("end") == 1, "")
     body = F.array_join(F.slice("raw", F.col("end") + 2, F.size("raw")), "\n")
     parts = parts.select("path", "end", block.alias("block"), body.alias("body"))
-    names = F.filter(F.transform("block", lambda x: F.regexp_extract(x, r"\A([A-Za-z_][\w-]*):(?:\s|\z)", 1)), lambda x: x != "")
-    odd = F.exists("block", lambda x: ~x.rlike(r"\A([A-Za-z_][\w-]*:(\s.*)?|\s*-\s.*)\z")) | (F.size(F.array_distinct(names)) < F.size(names))
+    names = F.regexp_extract_all("block", F.lit(rf"\n({_KEY}):(?={_SPACE}|\n|\z)"), F.lit(1))
+    odd = F.col("block").rlike(rf"\n(?!(?:{_KEY}:(?:{_SPACE}.*)?|{_SPACE}*-{_SPACE}.*)(?=\n|\z))") | (F.size(F.array_distinct(names)) < F.size(names))
     fields = {n: _field(F.col("block"), n) for n in ("id", "type", "status", "parent", "for")} | {n: _list(F.col("block"), n) for n in LISTS}
     out = parts.select("path", "end", "body", odd.alias("odd"), *[c.alias(n) for n, c in fields.items()])
     bad = F.lit(False)
